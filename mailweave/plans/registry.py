@@ -35,4 +35,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{mod}")
 
 
-PLAN_MODULES = ["analytics_plans", "search_plans"]
+PLAN_MODULES = ["analytics_plans", "search_plans", "store_plans"]
