@@ -44,3 +44,17 @@ ORDERS_TL = """ot AS (SELECT concat('o', o_orderkey) AS message_id, o_orderdate
 def with_m(body: str, *extra_ctes: str) -> str:
     ctes = ", ".join([M, *extra_ctes])
     return f"WITH {ctes}\n{body}"
+
+HTML_STRIP = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</(script|style|template)>|<[^>]+>"
+
+
+def html_text(expr: str) -> str:
+    """DuckDB twin of ``functions.text.html_to_text``."""
+    s = f"regexp_replace({expr}, '{HTML_STRIP}', '', 'g')"
+    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]:
+        s = f"replace({s}, '{a}', '{b}')"
+    return s
+
+
+LABEL_ID = ("CASE event_type WHEN 'click' THEN 'L0' WHEN 'error' THEN 'L1' WHEN 'purchase' THEN 'L2' "
+            "WHEN 'signup' THEN 'L3' WHEN 'view' THEN 'L4' END")

@@ -40,7 +40,7 @@ MESSAGE_COLUMNS = [f.name for f in MESSAGES.fields]
 # The schema version the migration step brings a table to,
 # and the column it adds with its default.
 CURRENT_SCHEMA_VERSION = 1
-EVOLUTION_STEPS = {1: ("is_deleted", F.lit(False))}
+EVOLUTION_STEPS = {1: ("is_deleted", False)}
 
 
 def conform(df: DataFrame) -> DataFrame:
@@ -59,7 +59,8 @@ def evolve_schema(df: DataFrame, from_version: int = 0) -> DataFrame:
     for version in sorted(EVOLUTION_STEPS):
         if version <= from_version:
             continue
-        name, default = EVOLUTION_STEPS[version]
+        name, value = EVOLUTION_STEPS[version]
+        default = F.lit(value)
         if name not in df.columns:
             df = df.withColumn(name, default)
         else:

@@ -76,3 +76,22 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 __all__ = ["build_session", "ensure_utc", "work_dir", "scratch_path", "exists", "local_path", "os"]
+
+
+def spread(df, *keys: str):
+    """Make sure CPU-heavy per-row work runs on every core/executor.
+
+    A small input file is a single row group and thus a single task; when
+    a frame has fewer partitions than the cluster's default parallelism it
+    is hash-partitioned by ``keys`` (deterministic on retry). Inputs that
+    already have enough partitions (any large table) pass through, so this
+    adds no shuffle at scale.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df
+    have = df.rdd.getNumPartitions()
+    if have >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)

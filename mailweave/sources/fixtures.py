@@ -10,6 +10,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import conform
+from ..session import spread
 from .tables import table
 
 # The evaluation clock for "now"-relative queries (events
@@ -31,7 +32,8 @@ def _ts(c: Column) -> Column:
 
 def flat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIXTURES 3.1 flat ``m`` plus ``event_id`` (kept for derivations)."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"),
+               "event_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     e = e.withColumn("_doc_key", F.col("event_id") % n_docs)
@@ -178,3 +180,95 @@ def attachments_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "modificationTime", F.length("content").cast("bigint").alias("length"), "content",
         "message_id", "filename",
     )
+
+
+# ------------------------------------------------------------------ raw JSON
+# Header-name spellings used to land raw messages (the
+# parser must match names case-insensitively).
+SUBJECT_SPELLINGS = ["Subject", "SUBJECT", "subject", "SuBjEcT"]
+
+
+def _hdr(name, value) -> Column:
+    return F.struct(F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"),
+                    value.alias("value"))
+
+
+def raw_messages(spark: SparkSession, sf_dir: str, body_source: str = "documents") -> DataFrame:
+    """``raw``: one JSON text per message in the REST shape (FIXTURES 2).
+
+    Rules (all by ``event_id``): ``% 100 = 37`` truncated (broken) JSON;
+    ``% 13 = 5`` no ``internalDate`` (Date header used); ``% 23 = 0`` no
+    ``sizeEstimate``; ``% 29 = 0`` no ``labelIds``; ``% 9 = 0`` an unknown
+    label id; ``% 11 = 0`` an earlier stale duplicate Subject header;
+    ``% 17 = 3`` body at top level instead of in parts; ``% 6 = 0`` an
+    attachment part; Date header zone offset ``(event_id % 5 - 2) * 90`` min.
+    With ``body_source='pages'`` the body is the HTML of a page (``raw_html``).
+    """
+    from ..functions.dates import rfc2822
+    from ..functions.mime import b64url_encode
+
+    f = flat_messages(spark, sf_dir)
+    eid = F.col("event_id")
+    if body_source == "pages":
+        pages = table(spark, sf_dir, "pages").select("page_id", "html")
+        n = pages.select(F.count(F.lit(1))).scalar()
+        f = f.withColumn("_pk", eid % n)
+        f = f.join(pages, f["_pk"] == pages["page_id"], "left").withColumn("body", F.col("html"))
+
+    label_id = F.create_map(*[x for t, i in USER_LABEL_IDS.items() for x in (F.lit(t), F.lit(i))])
+    ids = F.filter(F.array(
+        label_id[F.col("event_type")], F.col("label_2"), F.col("label_3"),
+        F.when(F.col("is_outgoing"), F.lit("SENT")),
+        F.when(eid % 9 == 0, F.lit(UNKNOWN_LABEL_ID))), lambda x: x.isNotNull())
+
+    subj_name = F.element_at(F.array(*[F.lit(s) for s in SUBJECT_SPELLINGS]), (eid % 4 + 1).cast("int"))
+    from_value = F.when(eid % 2 == 0, F.concat(F.lit('"'), F.col("sender_name"), F.lit('" <'),
+                                               F.col("sender_email"), F.lit(">"))) \
+                  .otherwise(F.concat(F.col("sender_name"), F.lit(" <"), F.col("sender_email"), F.lit(">")))
+    offset = ((eid % 5 - 2) * 90).cast("int")
+    headers = F.filter(F.array(
+        F.when((eid % 11 == 0) & F.col("subject").isNotNull(), _hdr("Subject", F.lit("stale"))),
+        F.when(F.col("subject").isNotNull(), _hdr(subj_name, F.col("subject"))),
+        F.when(F.col("sender_email").isNotNull(), _hdr("From", from_value)),
+        _hdr("To", F.col("to_email")),
+        F.when(F.col("cc_email").isNotNull(), _hdr("Cc", F.col("cc_email"))),
+        _hdr("Date", rfc2822(F.col("timestamp"), offset)),
+    ), lambda h: h.isNotNull())
+
+    data = b64url_encode(F.col("body"))
+    leaf = lambda mt, d: F.struct(F.lit(mt).alias("mimeType"),
+                                  F.struct(d.alias("data"), F.length(F.col("body")).alias("size")).alias("body"))
+    alt = F.struct(
+        F.lit("multipart/alternative").alias("mimeType"),
+        F.struct(F.lit(0).alias("size")).alias("body"),
+        F.array(leaf("text/plain", data),
+                leaf("text/html", b64url_encode(F.concat(F.lit("<div>"), F.col("body"), F.lit("</div>"))))
+                ).alias("parts"))
+    attach = F.struct(
+        F.lit("application/pdf").alias("mimeType"),
+        F.concat(F.lit("report "), eid, F.lit(".pdf")).alias("filename"),
+        F.array(_hdr("Content-Disposition", F.concat(F.lit('attachment; filename="report '), eid, F.lit('.pdf"'))),
+                _hdr("Content-ID", F.concat(F.lit("<att"), eid, F.lit(">")))).alias("headers"),
+        F.struct(F.concat(F.lit("att-"), eid).alias("attachmentId"), (F.col("size") % 100000).alias("size"))
+         .alias("body"))
+    top_level = eid % 17 == 3
+    parts = F.when(~top_level, F.filter(
+        F.array(F.to_json(alt), F.when(eid % 6 == 0, F.to_json(attach))), lambda x: x.isNotNull()))
+    payload = F.struct(
+        F.when(top_level, F.lit("text/plain")).otherwise(F.lit("multipart/mixed")).alias("mimeType"),
+        headers.alias("headers"),
+        F.when(top_level, F.struct(data.alias("data"), F.length("body").alias("size")))
+         .otherwise(F.struct(F.lit(None).cast("string").alias("data"), F.lit(0).alias("size"))).alias("body"),
+        F.transform(parts, lambda p: F.parse_json(p)).alias("parts"),
+    )
+    doc = F.struct(
+        F.col("message_id").alias("id"),
+        F.col("thread_id").alias("threadId"),
+        F.when(eid % 23 != 0, F.col("size")).alias("sizeEstimate"),
+        F.when(eid % 13 != 5, F.unix_millis(F.col("timestamp").cast("timestamp")).cast("string")).alias("internalDate"),
+        F.when(eid % 29 != 0, ids).alias("labelIds"),
+        payload.alias("payload"),
+    )
+    js = F.to_json(doc)
+    value = F.when(eid % 100 == 37, F.substring(js, 1, 80)).otherwise(js)
+    return f.select(value.alias("value"))
