@@ -16,7 +16,7 @@ TOKEN_SEP = r"[^\p{L}\p{N}]+"
 
 # Card-number pattern (16 digits in groups of four with an
 # optional space or dash) and its replacement.
-CARD_PATTERN = r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b"
+CARD_PATTERN = r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b"
 CARD_REPLACEMENT = "[CREDIT_CARD_REDACTED]"
 
 # Urgency words and the phone pattern of the enrichment example.
