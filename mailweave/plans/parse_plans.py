@@ -21,7 +21,7 @@ def _emails(key):
     return F.array_join(F.transform(F.try_element_at("recipients", F.lit(key)), lambda r: r["email"]), ",")
 
 
-PARSED_SQL = with_m(f"""SELECT message_id, thread_id,
+PARSED_COLS = f"""message_id, thread_id,
   CASE WHEN sender_email IS NULL THEN NULL ELSE sender_name END AS sender_name, sender_email,
   to_email AS to_emails, cc_email AS cc_emails,
   CASE WHEN event_id % 29 = 0 THEN '' ELSE array_to_string(list_filter(
@@ -31,13 +31,16 @@ PARSED_SQL = with_m(f"""SELECT message_id, thread_id,
   CASE WHEN event_id % 13 = 5 THEN date_trunc('second', timestamp) ELSE date_trunc('millisecond', timestamp) END
     AS timestamp,
   CASE WHEN event_id % 29 = 0 THEN false ELSE is_read END AS is_read,
-  CASE WHEN event_id % 29 = 0 THEN false ELSE is_outgoing END AS is_outgoing
-FROM m WHERE event_id % 100 <> 37""")
+  CASE WHEN event_id % 29 = 0 THEN false ELSE is_outgoing END AS is_outgoing"""
+PARSED_SQL = with_m(f"SELECT {PARSED_COLS} FROM m WHERE event_id % 100 <> 37")
 
 
 @register("parse_raw", PARSED_SQL)
 def q_parse_raw(spark, sf):
-    g = _parsed(spark, sf)
+    return flat_parsed(_parsed(spark, sf))
+
+
+def flat_parsed(g):
     return g.select("message_id", "thread_id", F.col("sender.name").alias("sender_name"),
                     F.col("sender.email").alias("sender_email"), _emails("to").alias("to_emails"),
                     _emails("cc").alias("cc_emails"), F.array_join("labels", ",").alias("labels"),

@@ -193,7 +193,8 @@ def _hdr(name, value) -> Column:
                     value.alias("value"))
 
 
-def raw_messages(spark: SparkSession, sf_dir: str, body_source: str = "documents") -> DataFrame:
+def raw_messages(spark: SparkSession, sf_dir: str, body_source: str = "documents",
+                 keep_key: bool = False) -> DataFrame:
     """``raw``: one JSON text per message in the REST shape (FIXTURES 2).
 
     Rules (all by ``event_id``): ``% 100 = 37`` truncated (broken) JSON;
@@ -271,4 +272,14 @@ def raw_messages(spark: SparkSession, sf_dir: str, body_source: str = "documents
     )
     js = F.to_json(doc)
     value = F.when(eid % 100 == 37, F.substring(js, 1, 80)).otherwise(js)
-    return f.select(value.alias("value"))
+    return f.select(value.alias("value"), "event_id") if keep_key else f.select(value.alias("value"))
+
+
+def label_literal(spark: SparkSession, max_entries: int = 10000) -> Column:
+    """The label dictionary as a literal map for streaming plans (scalar
+    subqueries are batch-only). Its size is checked before it is shipped."""
+    d = label_dict(spark)
+    if d.count() > max_entries:
+        raise ValueError("label dictionary too large for a literal map; use a broadcast join")
+    rows = d.collect()
+    return F.create_map(*[F.lit(x) for r in rows for x in (r["label_id"], r["label_name"])])
