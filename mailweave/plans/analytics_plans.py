@@ -262,3 +262,9 @@ def q_contact_response(spark, sf):
 FROM r""", REPLIES))
 def q_response_stats(spark, sf):
     return A.response_stats(_m(spark, sf))
+
+
+@register("summary_report")
+def q_summary_report(spark, sf):
+    from ..operators.report import summary_report
+    return summary_report(_m(spark, sf), fx.AS_OF)
