@@ -57,22 +57,46 @@ def _node_fields(nodes: Column) -> Column:
     ))
 
 
-def select_body(v: Column) -> tuple[Column, Column]:
+def with_part_levels(df: DataFrame, v: Column, depth: int = MAX_DEPTH, prefix: str = "_lvl") -> DataFrame:
+    """B13, staged: one projected column per tree level, each built from
+    the previous column, so no level is evaluated twice. Every node is
+    ``struct(path, top, node)`` where ``top`` is its top-level ancestor's
+    MIME type."""
+    empty = F.array().cast("array<variant>")
+    kids = lambda n: F.coalesce(F.try_variant_get(n, "$.parts", "array<variant>"), empty)
+    df = df.withColumn(f"{prefix}0", F.transform(
+        F.coalesce(F.try_variant_get(v, "$.payload.parts", "array<variant>"), empty),
+        lambda p, i: F.struct(F.lpad(i.cast("string"), 4, "0").alias("path"),
+                              F.try_variant_get(p, "$.mimeType", "string").alias("top"), p.alias("node"))))
+    for k in range(1, depth):
+        df = df.withColumn(f"{prefix}{k}", F.flatten(F.transform(F.col(f"{prefix}{k - 1}"), lambda x: F.transform(
+            kids(x["node"]), lambda c, j: F.struct(
+                F.concat(x["path"], F.lit("."), F.lpad(j.cast("string"), 4, "0")).alias("path"),
+                x["top"].alias("top"), c.alias("node"))))))
+    return df
+
+
+def level_columns(depth: int = MAX_DEPTH, prefix: str = "_lvl") -> list[str]:
+    return [f"{prefix}{k}" for k in range(depth)]
+
+
+def select_body(v: Column, nodes: Column) -> tuple[Column, Column]:
     """Top-level ``body.data`` first; otherwise, among top-level parts
     of a supported type in order, the first depth-first non-empty data
-    that decodes. Returns (raw text before HTML stripping, chosen path)."""
+    that decodes. Candidates are sorted by path and decoded lazily: the
+    fold stops decoding at the first success. Returns (text before HTML
+    stripping, chosen path)."""
     top = b64url_decode(F.try_variant_get(v, "$.payload.body.data", "string"))
-    top_mime = F.map_from_entries(F.transform(
-        F.coalesce(F.try_variant_get(v, "$.payload.parts", "array<variant>"), F.array().cast("array<variant>")),
-        lambda p, i: F.struct(F.lpad(i.cast("string"), 4, "0"),
-                              F.try_variant_get(p, "$.mimeType", "string"))))
-    nodes = _node_fields(part_nodes(F.try_variant_get(v, "$.payload.parts", "array<variant>")))
-    decoded = F.transform(nodes, lambda n: F.struct(n["path"].alias("path"),
-                                                    b64url_decode(n["data"]).alias("text")))
-    ok = F.filter(decoded, lambda d: (F.coalesce(F.length(d["text"]), F.lit(0)) > 0)
-                  & F.coalesce(F.element_at(top_mime, F.substring(d["path"], 1, 4))
-                               .isin(*SUPPORTED_BODY_TYPES), F.lit(False)))
-    first = F.try_element_at(F.array_sort(ok), F.lit(1))
+    cands = F.array_sort(F.filter(
+        F.transform(nodes, lambda n: F.struct(n["path"].alias("path"),
+                                              F.try_variant_get(n["node"], "$.body.data", "string").alias("data"),
+                                              n["top"].alias("top"))),
+        lambda c: c["data"].isNotNull() & (c["data"] != "") & F.coalesce(c["top"].isin(*SUPPORTED_BODY_TYPES),
+                                                                           F.lit(False))))
+    none = F.lit(None).cast("struct<path:string,text:string>")
+    first = F.aggregate(cands, none, lambda acc, c: F.coalesce(
+        acc, F.when(F.length(b64url_decode(c["data"])) > 0,
+                    F.struct(c["path"].alias("path"), b64url_decode(c["data"]).alias("text")))))
     has_top = top.isNotNull()
     return (F.when(has_top, top).otherwise(first["text"]),
             F.when(has_top, F.lit("payload")).otherwise(first["path"]))
@@ -85,6 +109,8 @@ def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value") -> D
     d = raw.select(F.col(value_col), v.alias("_v"), labels.alias("_dict"))
     labels = F.col("_dict")
     v = F.col("_v")
+    d = with_part_levels(d, v)
+    nodes = F.concat(*[F.col(c) for c in level_columns()])
     headers = F.coalesce(F.try_variant_get(v, "$.payload.headers", HEADERS_T),
                          F.array().cast(HEADERS_T))
     ids = F.try_variant_get(v, "$.labelIds", "array<string>")
@@ -98,7 +124,7 @@ def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value") -> D
         F.struct(F.lit(k).alias("key"),
                  F.when(header(headers, k).isNotNull(), parse_address_list(header(headers, k))).alias("value"))
         for k in ("to", "cc", "bcc")]), lambda e: e["value"].isNotNull()))
-    body_raw, body_path = select_body(v)
+    body_raw, body_path = select_body(v, nodes)
     parsed = d.select(
         F.col(value_col),
         F.try_variant_get(v, "$.id", "string").alias("message_id"),
@@ -119,12 +145,18 @@ def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value") -> D
         F.when(ids.isNull(), F.lit(False)).otherwise(F.array_contains(ids, "SENT")).alias("is_outgoing"),
         F.lit(False).alias("is_deleted"),
         v.alias("_v"),
+        # Catalyst inlines aliases into a filter above a deterministic
+        # projection and pushes it down (here: below the spread repartition),
+        # which would evaluate the whole parse twice, once single-threaded at
+        # the scan. A partition-id column makes this projection a barrier, so
+        # the quarantine split below filters on computed columns.
+        F.spark_partition_id().alias("_barrier"),
     )
     reason = (F.when(F.col("_v").isNull(), F.lit("unparseable_json"))
                .when(F.col("message_id").isNull(), F.lit("missing_id"))
                .when(F.col("thread_id").isNull(), F.lit("missing_thread_id"))
                .when(F.col("timestamp").isNull(), F.lit("missing_timestamp")))
-    return parsed.withColumn("_reason", reason)
+    return parsed.withColumn("_reason", reason).drop("_barrier")
 
 
 def parse_messages(raw: DataFrame, labels: Column, indexed_at=None) -> tuple[DataFrame, DataFrame]:
@@ -141,10 +173,15 @@ def parse_messages(raw: DataFrame, labels: Column, indexed_at=None) -> tuple[Dat
 def parts_table(raw: DataFrame) -> DataFrame:
     """One row per MIME part at any depth (explode happens only
     here, where a row per part is the requested output)."""
-    v = F.try_parse_json(F.col("value"))
-    d = raw.select(F.try_variant_get(v, "$.id", "string").alias("message_id"),
-                   _node_fields(part_nodes(F.try_variant_get(v, "$.payload.parts", "array<variant>"))).alias("n"))
-    e = d.filter(F.col("message_id").isNotNull()).select("message_id", F.explode("n").alias("p"))
+    d = raw.select(F.try_parse_json(F.col("value")).alias("_v"))
+    d = with_part_levels(d, F.col("_v"))
+    nodes = F.concat(*[F.col(c) for c in level_columns()])
+    d = d.select(F.try_variant_get("_v", "$.id", "string").alias("message_id"),
+                 _node_fields(F.transform(nodes, lambda n: F.struct(n["path"].alias("path"),
+                                                                    n["node"].alias("node")))).alias("n"),
+                 F.spark_partition_id().alias("_barrier"))   # see parse_variant
+    e = (d.select("message_id", F.explode_outer("n").alias("p"))
+          .filter(F.col("message_id").isNotNull() & F.col("p").isNotNull()))
     return e.select("message_id", "p.path", F.size(F.split("p.path", r"\.")).alias("depth"),
                     "p.mime_type", "p.data", "p.attachment_id", "p.size", "p.filename", "p.headers",
                     "p.n_children")
