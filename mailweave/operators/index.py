@@ -25,14 +25,16 @@ TEXT_FIELDS = ["subject", "body", "sender_email", "sender_name"]
 INDEX_BUCKETS = 64
 
 
-def recipients_text(c: Column = F.col("recipients")) -> Column:
+def recipients_text(c: Column | None = None) -> Column:
     """Every recipient as ``"email name "`` joined by spaces."""
+    c = F.col("recipients") if c is None else c
     flat = F.flatten(F.map_values(c))
     return F.array_join(F.transform(flat, lambda r: F.concat_ws(" ", r["email"], r["name"])), " ")
 
 
-def labels_text(c: Column = F.col("labels")) -> Column:
+def labels_text(c: Column | None = None) -> Column:
     """B16."""
+    c = F.col("labels") if c is None else c
     return F.array_join(c, " ")
 
 
@@ -64,11 +66,14 @@ def token_rows(messages: DataFrame, fields=FIELDS) -> DataFrame:
     return per_field.select("message_id", "field", F.posexplode("toks").alias("pos", "term"))
 
 
-def build_index(messages: DataFrame, fields=FIELDS) -> DataFrame:
-    """Postings with term frequency and sorted positions."""
+def build_index(messages: DataFrame, fields=FIELDS, positions: bool = True) -> DataFrame:
+    """Postings with term frequency and (optionally) sorted positions;
+    ranking needs no positions, which keeps its aggregate a plain count."""
     t = token_rows(messages, fields)
-    p = t.groupBy("term", "field", "message_id").agg(
-        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    aggs = [F.count(F.lit(1)).alias("tf")]
+    if positions:
+        aggs.append(F.array_sort(F.collect_list("pos")).alias("positions"))
+    p = t.groupBy("term", "field", "message_id").agg(*aggs)
     return p.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int"))
 
 

@@ -149,7 +149,7 @@ GROUP BY message_id ORDER BY score DESC, message_id LIMIT 20""",
     "dft AS (SELECT term, count(*) AS df FROM q GROUP BY 1)"))
 def q_fts_bm25(spark, sf):
     m = _m(spark, sf)
-    p = IX.build_index(m)
+    p = IX.build_index(m, ["body"], positions=False)
     freq, rare = _kw(p)
     terms = freq.select("term").unionByName(rare)
     live = m.filter(~F.col("is_deleted")).select("message_id")
