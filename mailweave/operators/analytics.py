@@ -301,22 +301,25 @@ def replies(df: DataFrame) -> DataFrame:
         F.lag("message_id").over(w).alias("prev_id"),
     )
     r = p.filter(F.col("is_outgoing") & (~F.col("prev_out")))
-    hours = (F.unix_micros(F.col("timestamp").cast("timestamp"))
-             - F.unix_micros(F.col("prev_ts").cast("timestamp"))) / F.lit(3600e6)
+    micros = (F.unix_micros(F.col("timestamp").cast("timestamp"))
+              - F.unix_micros(F.col("prev_ts").cast("timestamp")))
     return r.select("thread_id", F.col("prev_id").alias("incoming_id"), F.col("message_id").alias("reply_id"),
-                    F.col("prev_email").alias("email"), hours.alias("response_hours"))
+                    F.col("prev_email").alias("email"), (micros / F.lit(3600e6)).alias("response_hours"),
+                    micros.alias("response_micros"))
 
 
 def contact_response(df: DataFrame) -> DataFrame:
     """G1: average reply delay in hours per e-mail of the incoming sender."""
     r = replies(df).filter(F.col("email").isNotNull() & (F.col("email") != ""))
-    return r.groupBy("email").agg(F.avg("response_hours").alias("avg_response_hours"),
+    # averaged in exact integer microseconds, so the result does not
+    # depend on the order partial sums are combined in
+    return r.groupBy("email").agg((F.avg("response_micros") / F.lit(3600e6)).alias("avg_response_hours"),
                                   F.count(F.lit(1)).alias("replies"))
 
 
 def response_stats(df: DataFrame) -> DataFrame:
     """Average and median reply delay; rate = replied incoming / incoming."""
-    r = replies(df).agg(F.avg("response_hours").alias("avg_response_hours"),
+    r = replies(df).agg((F.avg("response_micros") / F.lit(3600e6)).alias("avg_response_hours"),
                         F.median("response_hours").alias("median_response_hours"),
                         F.count(F.lit(1)).alias("replied"))
     inc = live(df).agg(F.count_if(~F.col("is_outgoing")).alias("incoming"))

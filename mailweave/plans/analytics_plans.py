@@ -237,7 +237,8 @@ def q_metrics_upsert(spark, sf):
 
 # -------------------------------------------------------------- windows
 REPLIES = """r AS (SELECT thread_id, prev_id AS incoming_id, message_id AS reply_id, prev_email AS email,
-  (epoch_us(timestamp) - epoch_us(prev_ts)) / 3600e6 AS response_hours
+  (epoch_us(timestamp) - epoch_us(prev_ts)) / 3600e6 AS response_hours,
+  epoch_us(timestamp) - epoch_us(prev_ts) AS response_micros
 FROM (SELECT thread_id, message_id, timestamp, is_outgoing,
         lag(timestamp) OVER w AS prev_ts, lag(is_outgoing) OVER w AS prev_out,
         lag(sender_email) OVER w AS prev_email, lag(message_id) OVER w AS prev_id
@@ -250,13 +251,13 @@ def q_replies(spark, sf):
     return A.replies(_m(spark, sf))
 
 
-@register("contact_response", with_m("""SELECT email, avg(response_hours) AS avg_response_hours,
+@register("contact_response", with_m("""SELECT email, avg(response_micros) / 3600e6 AS avg_response_hours,
   count(*) AS replies FROM r WHERE email IS NOT NULL AND email <> '' GROUP BY email""", REPLIES))
 def q_contact_response(spark, sf):
     return A.contact_response(_m(spark, sf))
 
 
-@register("response_stats", with_m("""SELECT coalesce(avg(response_hours), 0.0) AS avg_response_hours,
+@register("response_stats", with_m("""SELECT coalesce(avg(response_micros) / 3600e6, 0.0) AS avg_response_hours,
   coalesce(median(response_hours), 0.0) AS median_response_hours, count(*) AS replied,
   count(*) * 100.0 / nullif((SELECT count_if(NOT is_outgoing) FROM live), 0) AS response_rate_percentage
 FROM r""", REPLIES))
