@@ -159,3 +159,31 @@ def bm25(postings: DataFrame, terms: DataFrame, field: str = "body", k: int = 10
                                        / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("s")))
     agg = scored.groupBy("message_id").agg(F.round(F.sum("s"), 9).alias("score"))
     return agg.orderBy(F.col("score").desc(), F.col("message_id").asc()).limit(k)
+
+
+def body_term_df(messages: DataFrame, field: str = "body") -> DataFrame:
+    """Document frequency per term of one field without a postings
+    shuffle: terms are made distinct inside each row, so the map-side
+    partial count collapses each task to one row per term seen."""
+    toks = spread(messages, "message_id").select(F.array_distinct(tokens(F.col(field))).alias("t"))
+    return toks.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def bm25_messages(messages: DataFrame, terms: DataFrame, field: str = "body", k: int = 100,
+                  k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """D6 straight from the messages: document length is ``size(tokens)``
+    per row (no aggregate), and only occurrences of the (few) query terms
+    are exploded, semi-joined and shuffled. Same scores as :func:`bm25`."""
+    docs = spread(messages, "message_id").select("message_id", tokens(F.col(field)).alias("toks"))
+    docs = docs.withColumn("dl", F.size("toks")).filter(F.col("dl") > 0)
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
+    avgdl = docs.select(F.avg("dl")).scalar()
+    occ = docs.select("message_id", "dl", F.explode("toks").alias("term")) \
+              .join(terms.select("term").distinct(), "term", "left_semi")
+    tf = occ.groupBy("term", "message_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    scored = tf.join(df_t, "term").select(
+        "message_id", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("s"))
+    agg = scored.groupBy("message_id").agg(F.round(F.sum("s"), 9).alias("score"))
+    return agg.orderBy(F.col("score").desc(), F.col("message_id").asc()).limit(k)

@@ -49,6 +49,10 @@ def _m(spark, sf):
 def _kw(post):
     """``kw``: 2 most frequent and 2 rarest (df >= 2) body terms."""
     bdf = post.filter(F.col("field") == "body").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _kw_from_df(bdf)
+
+
+def _kw_from_df(bdf):
     freq = bdf.orderBy(F.col("df").desc(), "term").limit(2)
     w = Window.orderBy(F.col("df").desc(), "term")
     freq = freq.withColumn("r", F.row_number().over(w))
@@ -149,11 +153,9 @@ GROUP BY message_id ORDER BY score DESC, message_id LIMIT 20""",
     "dft AS (SELECT term, count(*) AS df FROM q GROUP BY 1)"))
 def q_fts_bm25(spark, sf):
     m = _m(spark, sf)
-    p = IX.build_index(m, ["body"], positions=False)
-    freq, rare = _kw(p)
+    freq, rare = _kw_from_df(IX.body_term_df(m))
     terms = freq.select("term").unionByName(rare)
-    live = m.filter(~F.col("is_deleted")).select("message_id")
-    return IX.bm25(p, terms, "body", k=20, live_ids=live)
+    return IX.bm25_messages(m.filter(~F.col("is_deleted")), terms, "body", k=20)
 
 
 @register("fts_filtered", sql("SELECT message_id FROM live WHERE size BETWEEN 1000 AND 20000 AND NOT is_read"))
