@@ -6,7 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailweave.sources.tables import table
 
-from . import hosts, mixing, warc
+from . import decontaminate, fingerprints, hosts, mixing, parity, warc
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and the likeness to it and to the next document."""
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item's best aligned window."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of 3-word shingles and component under links of Jaccard 0.9 or more."""
+    rows, _ = parity.joined(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +42,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op7_mix_sources, op9_url_filters, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_decontaminate, op5_jaccard_join, op7_mix_sources, op9_url_filters, op10_warc)}
 ORACLES = {"op7_mix_sources": mixing.SQL, "op9_url_filters": hosts.SQL,
            "op10_warc": warc.SQL}

@@ -92,9 +92,10 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def train_dictionary(pages: DataFrame) -> bytes:
     """Dictionary from a bounded sample of payloads; empty if there are too few to train one."""
     size = F.octet_length("html")
-    per = DICT_SAMPLE_BYTES // DICT_SAMPLES
-    rows = (pages.where(size.between(200, 4 * per)).orderBy(F.xxhash64("page_id", "html"))
-            .limit(DICT_SAMPLES).select("html").collect())
+    few = pages.where(size.between(200, 4 * (DICT_SAMPLE_BYTES // DICT_SAMPLES))).select("page_id", "html")
+    share = min(1.0, DICT_SAMPLES / max(1, few.count()))
+    drawn = F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    rows = sorted(few.where(drawn).collect(), key=lambda r: (r.page_id is None, r.page_id, r.html))
     samples, used = [], 0
     for r in rows:
         x = r.html.encode()
