@@ -27,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import vec
-from .common import components, staged
-from .families import link_pairs
+from . import families, parity, vec
+from .common import components, empty, staged
 
 PERMS, SHINGLE, BANDS = 128, 5, 32
-LIKE = 0.8
 
 _A = (vec.stream(21, PERMS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (vec.stream(22, PERMS) >> np.uint64(32)).astype(np.uint32)
@@ -156,19 +154,58 @@ def edit_report(docs: DataFrame) -> DataFrame:
     return in_order(docs).mapInArrow(run, SCHEMA)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = LIKE) -> tuple[DataFrame, DataFrame]:
-    """(links a, b, similarity) between documents of different fingerprints, and
-    (doc_id, class_id, component_id) of every document. Signature bands are
-    joined in Spark; the exact Jaccard similarity of the shingle sets decides."""
-    shown = staged(fingerprints(docs), "fp")
-    classes = staged(shown.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "fp_classes")
-    width = 4 * PERMS // BANDS
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substr("fingerprint", F.lit(1 + i * width), F.lit(width)))
-                      for i in range(BANDS)])
-    keys = classes.where(F.col("fingerprint") != "f" * (4 * PERMS)).select(
-        F.col("class_id").alias("doc_id"), F.explode(bands).alias("key"))
-    links = link_pairs(docs, keys, classes.select(F.col("class_id").alias("doc_id")), SHINGLE, threshold, "fp")
-    parts = components(links, "fp")
-    member = shown.join(classes, "fingerprint").select("doc_id", "class_id")
-    member = member.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left")
-    return links, member.select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+_COEF = vec.stream(23, PERMS)
+
+
+def nodes_of(sig: np.ndarray) -> np.ndarray:
+    """64-bit id of each signature."""
+    return vec.mix((sig.astype(np.uint64) * _COEF).sum(1, dtype=np.uint64)).view(np.int64)
+
+
+def band_rows(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(doc_id, node, size, payload, keys): signature and a key for each band; no
+    keys for a text without words."""
+    width = PERMS // BANDS
+
+    def run(batches):
+        for b in batches:
+            for part, data, off in vec.text_slices(b):
+                sig = signatures(data, off, k)
+                some = ~(sig == EMPTY).all(1)
+                keys = np.stack([vec.mix((sig[:, i:i + width].astype(np.uint64) * _COEF[i:i + width]).sum(1, dtype=np.uint64)
+                                         + np.uint64(i)) for i in range(0, PERMS, width)], 1)
+                row = np.repeat(np.flatnonzero(some), BANDS)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(nodes_of(sig)), pa.array(np.ones(len(part), np.int64)),
+                     pa.array([r.tobytes() for r in sig], pa.binary()),
+                     vec.lists(row, keys[some].ravel().view(np.int64), len(part))],
+                    names=["doc_id", "node", "size", "payload", "keys"])
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, node long, size long, payload binary, keys array<bigint>")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(links, rows): links (a, b, shared, total) between nodes (distinct
+    fingerprints), rows (doc_id, node, component_id) of every document. Bands of
+    four positions are the join keys (recall at similarity 0.8 above 0.999999);
+    what shares one and looks alike is verified by the exact Jaccard similarity
+    of the shingle sets."""
+    rows = staged(band_rows(docs, k), "fp_rows")
+    one = staged(rows.where(F.size("keys") > 0).withColumn("band", F.lit(0)).dropDuplicates(["node"]), "fp_nodes")
+    members = families.members_of(one.select("band", "node", F.explode("keys").alias("key")), "fp")
+    least = percent / 100 - 0.2
+
+    def close(x, n, xs, ns):
+        return (xs.view(np.uint16) == x.view(np.uint16)).mean(1) >= least
+
+    def node_of(data, off, doc, h, n):
+        return nodes_of(signatures(data, off, k))
+    links = families.links(members, one.select("band", "node", "size", "payload"), close,
+                           lambda pairs: parity.verified(docs, pairs, k, percent, "fp", node_of), "fp")
+    parts = components(links.select("a", "b"), "fp") if not links.isEmpty() \
+        else empty(docs.sparkSession, "id long, component long")
+    every = rows.select("doc_id", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
+    every = every.withColumn("_group", F.coalesce("component", "node"))
+    first = staged(every.groupBy(F.col("_group").alias("_g")).agg(F.min("doc_id").alias("_first")), "fp_first")
+    return links, (every.join(first, F.col("_group") == F.col("_g"))
+                   .select("doc_id", "node", F.coalesce("_first", "doc_id").alias("component_id")))

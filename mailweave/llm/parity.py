@@ -101,18 +101,20 @@ def sketches(doc, h, n, percent: int):
         yield rows, band[rows], base, words, key
 
 
-def _sets(batch, k):
+def _sets(batch, k, node_of=None):
+    """(batch part, documents, hashes, set sizes, nodes) of each slice; equal sets
+    are one node unless ``node_of`` says otherwise."""
     for part, data, off in vec.text_slices(batch):
         doc, h = sets_of(data, off, k)
         n = np.bincount(doc, minlength=len(part)).astype(np.int64)
-        yield part, doc, h, n
+        yield part, doc, h, n, node_of(data, off, doc, h, n) if node_of else nodes_of(doc, h, n)
 
 
 def keys_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(key) of every chunk of every document."""
     def run(batches):
         for b in batches:
-            for _, doc, h, n in _sets(b, k):
+            for _, doc, h, n, _ in _sets(b, k):
                 for *_, key in sketches(doc, h, n, percent):
                     yield pa.RecordBatch.from_arrays([pa.array(key[key != 0].view(np.int64))], names=["key"])
     return docs.select("text").mapInArrow(run, "key long")
@@ -130,7 +132,7 @@ def rows_of(docs: DataFrame, k: int, percent: int, shared: bytes) -> DataFrame:
     def run(batches):
         words_seen = np.frombuffer(told.value, np.uint32)
         for b in batches:
-            for part, doc, h, n in _sets(b, k):
+            for part, doc, h, n, node in _sets(b, k):
                 got: list[list] = [[] for _ in range(len(part))]
                 for rows, band, base, words, key in sketches(doc, h, n, percent):
                     hit = (key != 0) & families.passes(words_seen, key)
@@ -139,12 +141,12 @@ def rows_of(docs: DataFrame, k: int, percent: int, shared: bytes) -> DataFrame:
                         got[rows[i]].append({"band": int(band[i]), "payload": words[own].astype(np.uint32).tobytes(),
                                              "keys": key[own][hit[own]].view(np.int64)})
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(nodes_of(doc, h, n)), pa.array(got, kind)],
+                    [part.column(0), pa.array(n), pa.array(node), pa.array(got, kind)],
                     names=["doc_id", "n_shingles", "node", "sketches"])
     return docs.select("doc_id", "text").mapInArrow(run, ROW)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str, node_of=None) -> DataFrame:
     """(a, b, ok, shared, total) of every pair of nodes, on whole shingle sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     told = docs.sparkSession.sparkContext.broadcast(families.bitmap(ends, "node"))
@@ -152,8 +154,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str)
     def run(batches):
         wanted = np.frombuffer(told.value, np.uint32)
         for b in batches:
-            for _, doc, h, n in _sets(b, k):
-                node = nodes_of(doc, h, n)
+            for _, doc, h, n, node in _sets(b, k, node_of):
                 use = families.passes(wanted, node.view(np.uint64)) & (n > 0)
                 use[np.setdiff1d(np.arange(len(n)), np.unique(node, return_index=True)[1])] = False
                 pick = use[doc]
@@ -161,7 +162,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[use]), vec.lists(at, h[pick].view(np.int64), int(use.sum()))], names=["node", "items"])
     sets = docs.select("text").mapInArrow(run, "node long, items array<bigint>").join(ends, "node", "left_semi")
-    sets = staged(sets.groupBy("node").agg(F.first("items").alias("items")), f"{name}_sets")
+    sets = staged(sets.groupBy("node").agg(F.min("items").alias("items")), f"{name}_sets")
     left = pairs.join(sets.withColumnsRenamed({"node": "a", "items": "x"}), "a")
     both = left.join(sets.withColumnsRenamed({"node": "b", "items": "y"}), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
