@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailweave.sources.tables import table
 
-from . import decontaminate, fingerprints, hosts, mixing, parity, warc
+from . import decontaminate, fingerprints, hosts, langid, mixing, parity, warc
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language; learned from the documents that are not held out."""
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item's best aligned window."""
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -42,6 +47,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_decontaminate, op5_jaccard_join, op7_mix_sources, op9_url_filters, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_language_id, op4_decontaminate, op5_jaccard_join, op7_mix_sources, op9_url_filters, op10_warc)}
 ORACLES = {"op7_mix_sources": mixing.SQL, "op9_url_filters": hosts.SQL,
            "op10_warc": warc.SQL}

@@ -88,11 +88,11 @@ def slices(lengths: np.ndarray, limit: int = SLICE_BYTES):
         at = to
 
 
-def text_slices(batch, column: str = "text"):
+def text_slices(batch, column: str = "text", limit: int = SLICE_BYTES):
     """Cut a record batch into (batch part, bytes, offsets)."""
     col = batch.column(batch.schema.get_field_index(column))
     data, off = buffers(col)
-    for a, b in slices(np.diff(off)):
+    for a, b in slices(np.diff(off), limit):
         yield batch.slice(a, b - a), data[off[a]:off[b]], off[a:b + 1] - off[a]
 
 
