@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailweave.sources.tables import table
 
-from . import decontaminate, fingerprints, hosts, langid, mixing, parity, warc
+from . import decontaminate, fingerprints, hosts, langid, mixing, parity, spans, warc
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that repeat a span of an earlier place."""
+    return spans.deduplicated(table(spark, sf_dir, "documents"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +52,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_language_id, op4_decontaminate, op5_jaccard_join, op7_mix_sources, op9_url_filters, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fingerprints, op3_language_id, op4_decontaminate, op5_jaccard_join, op7_mix_sources, op9_url_filters, op10_warc)}
 ORACLES = {"op7_mix_sources": mixing.SQL, "op9_url_filters": hosts.SQL,
            "op10_warc": warc.SQL}
