@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailweave.sources.tables import table
 
-from . import decontaminate, fingerprints, hosts, langid, mixing, parity, spans, warc
+from . import decontaminate, fingerprints, hosts, langid, mixing, parity, pii, spans, warc
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    return pii.replaced(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, fitting rule and verdict."""
     out = hosts.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
@@ -52,6 +57,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fingerprints, op3_language_id, op4_decontaminate, op5_jaccard_join, op7_mix_sources, op9_url_filters, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fingerprints, op3_language_id, op4_decontaminate, op5_jaccard_join, op7_mix_sources, op8_pii, op9_url_filters, op10_warc)}
 ORACLES = {"op7_mix_sources": mixing.SQL, "op9_url_filters": hosts.SQL,
            "op10_warc": warc.SQL}
