@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailweave.sources.tables import table
 
-from . import decontaminate, fingerprints, hosts, langid, mixing, parity, pii, spans, warc
+from . import decontaminate, fingerprints, hosts, langid, licenses, mixing, parity, pii, spans, warc
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence family and passages, by a classifier trained on the spot."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scanned(docs, licenses.train(docs))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to 150 % of all words, weights 3, 1, 2, at most two epochs."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -57,6 +63,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fingerprints, op3_language_id, op4_decontaminate, op5_jaccard_join, op7_mix_sources, op8_pii, op9_url_filters, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fingerprints, op3_language_id, op4_decontaminate, op5_jaccard_join, op6_licenses, op7_mix_sources, op8_pii, op9_url_filters, op10_warc)}
 ORACLES = {"op7_mix_sources": mixing.SQL, "op9_url_filters": hosts.SQL,
            "op10_warc": warc.SQL}
