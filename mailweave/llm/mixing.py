@@ -11,7 +11,7 @@ Defined cases: a null text has size 0 and nothing is taken of it; a null source
 is a source of its own, ordered last; rows with the same doc_id count each;
 identical rows may be told apart only by what is taken of them (the same
 multiset on every run); an empty table gives no rows; other columns of the
-input are ignored unless named in ``keep``.
+input are ignored unless named in ``keep``, where a name of the result wins.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import ranked, staged, word_count
 
 SEED = "mix-1"
+OUT = ("doc_id", "size", "source_size", "target", "repeats", "taken")
 
 
 def sized(docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -66,6 +67,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """Rows (``keep`` columns, doc_id, size, source_size, target, repeats,
     taken): ``taken`` words of each document, ``repeats`` whole passes among
     them."""
+    keep = tuple(c for c in keep if c.lower() not in OUT)
     d = sized(docs, seed, keep)
     h = staged(d.groupBy("_source", "_b1", "_b2").agg(F.sum("_size").alias("_sum")), "mix_ranges")
     sources = h.groupBy("_source").agg(F.sum("_sum").alias("_source_size"))
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     d = d.join(h2, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_b1") == F.col("_s1"))
                & (F.col("_b2") == F.col("_s2")))
     extra = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_base") - F.col("_in")))
-    return d.select(*[F.col(f"_keep_{c}").alias(c) for c in keep if c != "doc_id"], F.col("_id").alias("doc_id"),
+    return d.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("_id").alias("doc_id"),
                     F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
                     F.col("_target").alias("target"), F.col("_whole").cast("long").alias("repeats"),
                     (F.col("_whole") * F.col("_size") + extra).cast("long").alias("taken"))

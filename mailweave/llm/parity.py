@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import families, vec
@@ -120,7 +120,7 @@ def keys_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long")
 
 
-ROW = ("doc_id long, n_shingles long, node long, "
+ROW = ("doc_id long, tie long, n_shingles long, node long, "
        "sketches array<struct<band:int,payload:binary,keys:array<bigint>>>")
 
 
@@ -141,9 +141,9 @@ def rows_of(docs: DataFrame, k: int, percent: int, shared: bytes) -> DataFrame:
                         got[rows[i]].append({"band": int(band[i]), "payload": words[own].astype(np.uint32).tobytes(),
                                              "keys": key[own][hit[own]].view(np.int64)})
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(node), pa.array(got, kind)],
-                    names=["doc_id", "n_shingles", "node", "sketches"])
-    return docs.select("doc_id", "text").mapInArrow(run, ROW)
+                    [part.column(0), part.column(2), pa.array(n), pa.array(node), pa.array(got, kind)],
+                    names=["doc_id", "tie", "n_shingles", "node", "sketches"])
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, ROW)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str, node_of=None) -> DataFrame:
@@ -171,8 +171,9 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str,
 
 
 def joined(docs: DataFrame, k: int = 3, percent: int = 90, name: str = "op5") -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (doc_id, n_shingles, node, component_id) of every
-    document; links (a, b, shared, total) between nodes, enough of them to
+    """(rows, links): rows (doc_id, tie, n_shingles, node, group_id, component_id) of
+    every document (``tie``: hash of its text, ``group_id``: null if it has no
+    words); links (a, b, shared, total) between nodes, enough of them to
     connect whatever is linked, each verified."""
     spark: SparkSession = docs.sparkSession
     shared = keys_of(docs, k, percent).groupBy("key").count().where("count > 1")
@@ -190,10 +191,30 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90, name: str = "op5") ->
     found = families.links(members, sketch.select("band", "node", "size", "payload"), close,
                            lambda pairs: verified(docs, pairs, k, percent, name), name)
     parts = components(found.select("a", "b"), name) if not found.isEmpty() else empty(spark, "id long, component long")
-    every = rows.select("doc_id", "n_shingles", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
+    every = rows.select("doc_id", "tie", "n_shingles", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
     every = every.withColumn("_group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     first = staged(every.where("_group is not null").groupBy(F.col("_group").alias("_g")).agg(F.min("doc_id").alias("_first")),
                    f"{name}_first")
     every = (every.join(first, F.col("_group") == F.col("_g"), "left")
-             .select("doc_id", "n_shingles", "node", F.coalesce("_first", "doc_id").alias("component_id")))
+             .select("doc_id", "tie", "n_shingles", "node", F.col("_group").alias("group_id"),
+                     F.coalesce("_first", "doc_id").alias("component_id")))
     return every, found
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, name: str = "op5_stage") -> DataFrame:
+    """The document of smallest doc_id of every group of linked documents (null
+    ids last, ties by a hash of the text, one of equal rows), all columns
+    unchanged; documents without words all stay."""
+    rows, _ = joined(docs, k, percent, name)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    rows = staged(rows.where("group_id is not null").select("doc_id", "tie", "group_id", place.alias("place")), f"{name}_groups")
+    first = rows.groupBy(F.col("group_id").alias("_g")).agg(F.min("place").alias("_first"))
+    told = staged(rows.join(first, F.col("group_id") == F.col("_g")).groupBy("doc_id", "tie")
+                  .agg(F.max((F.col("place") == F.col("_first"))).alias("_stays"))
+                  .withColumnsRenamed({"doc_id": "_id", "tie": "_t"}), f"{name}_told")
+    mine = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"),
+                       F.xxhash64("text").alias("_tie"))
+    mine = mine.join(told, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")), "left")
+    again = F.row_number().over(Window.partitionBy("_doc", "_tie").orderBy("_tie"))
+    kept = mine.where("_stays is null or _stays").withColumn("_n", again).where("_stays is null or _n = 1")
+    return kept.select("_row.*")

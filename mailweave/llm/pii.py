@@ -271,6 +271,7 @@ def replacements(docs: DataFrame, key: str, name: str) -> DataFrame:
 
 def replaced(docs: DataFrame, key: str = KEY, keep: tuple[str, ...] = (), name: str = "pii") -> DataFrame:
     """(doc_id, ``keep``, text, n_entities) of every document, its entities replaced."""
+    keep = tuple(c for c in keep if c.lower() not in ("doc_id", "text", "n_entities"))
     fakes = staged(replacements(docs, key, name), f"{name}_fakes")
     text = F.col("text")
     mine = docs.select("doc_id", "text", *[F.col(c).alias(f"_keep_{c}") for c in keep])

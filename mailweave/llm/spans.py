@@ -15,7 +15,7 @@ Defined cases: a null text stays null, with no sentences; a text shorter than a
 span loses nothing unless a longer one covers it, so never; equal spans in one
 document count too; documents with a null doc_id come last; rows equal in doc_id
 and text are one document and are treated alike; an empty table gives no rows;
-other columns are ignored, or pass through ``deduplicated``'s ``keep``.
+other columns are ignored, or pass through ``keep`` (a name of the result wins).
 """
 
 from __future__ import annotations
@@ -133,6 +133,7 @@ def cut(texts, cuts) -> tuple[list, list[int], list[int]]:
 def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), name: str = "spans") -> DataFrame:
     """(doc_id, ``keep``, text, n_sentences, n_removed, first_docs) of every
     document, its text without the sentences that repeat an earlier span."""
+    keep = tuple(c for c in keep if c.lower() not in ("doc_id", "text", "n_sentences", "n_removed", "first_docs"))
     lost = staged(repeats(docs, name), f"{name}_lost")
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     lost = lost.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
