@@ -8,10 +8,10 @@ that grant none. A temperature and the least probability of a family are
 calibrated on passages kept out of the training.
 
 Every line of every text is scored, long ones in overlapping windows of ``WINDOW``
-words. A passage whose likeliest class is a family is confirmed if it contains
-enough of the word 3-grams of one of the family's notices and its probability
-passes the calibrated least; a passage that is more likely licence than not and
-shows a trace of a notice, but isn't confirmed, is ``unknown``.
+words. A passage that is more likely licence than not is given the likely family whose
+notices it resembles most; it is confirmed if it contains enough of the word
+3-grams of its name or notice and its probability of a licence passes the calibrated least; one that shows a trace of a notice or speaks of a licence, but isn't confirmed, is
+``unknown``.
 
 Defined cases: null and empty texts, and texts without licence passages, have
 licence null and an empty list; a document with several families carries that of
@@ -35,8 +35,10 @@ BITS = 20
 #: Corpus paragraphs drawn as negatives, at most, and their longest length in characters.
 NEGATIVES, NEGATIVE_CHARS = 1500, 2000
 VARIANTS, ROUNDS, PENALTY = 48, 60, 1e-4
-#: Share of a notice's 3-grams that confirms its family, and the least share that an unknown licence shows of any.
+#: Share of the 3-grams of a licence's name or notice that confirms its family, and the least share of an unknown licence.
 CONFIRM, TRACE = 0.5, 0.1
+#: Families of at least this share of the likeliest one's probability are compared with the passage too.
+RIVAL = 0.05
 UNKNOWN = "unknown"
 
 #: Names by family (fixed values).
@@ -154,9 +156,9 @@ class Model:
     """Weights (features x classes; the last class is none), bias, temperature and least probability."""
 
     def __init__(self, negatives: list[str], seed: int = 7):
-        self.templates = {k: [_grams(t) for f, t in notices() if f == k] for k in FAMILIES}
+        self.templates = {k: [_grams(t) for t in (*NAMES[k], *NOTICES.get(k, ()))] for k in FAMILIES}
         every = [g for v in self.templates.values() for g in v]
-        negatives = [t for t in negatives if max((contained(g, _grams(t)) for g in every), default=0.0) < 0.3]
+        negatives = [t for t in negatives if max((contained(g, _runs(t)) for g in every), default=0.0) < 0.3]
         rng = np.random.default_rng(seed)
         prose = [w for t in negatives[:500] for w in t.split()][:20000] or ["text"]
         texts, labels = [], []
@@ -213,8 +215,8 @@ class Model:
             best = min(best, (-np.log(np.maximum(p[np.arange(len(z)), labels], 1e-9)).mean(), heat))
         self.heat = best[1]
         p = _softmax(z / self.heat)
-        pick, top = p.argmax(1), p.max(1)
-        wrong = top[(pick != labels) & (pick < len(FAMILIES))]
+        pick = p.argmax(1)
+        wrong = 1 - p[labels == len(FAMILIES), -1]
         self.least = float(min(0.9, max(0.3, wrong.max() if len(wrong) else 0.3)))
         self.accuracy = float((pick == labels).mean())
 
@@ -237,13 +239,13 @@ class Model:
             return out
         p = _softmax(self._logits(len(a), *features(h, a, z)) / self.heat)
         for i in np.flatnonzero(p[:, -1] < 0.5):
-            k = int(p[i, :-1].argmax())
-            own = _grams(data[lo[i]:hi[i]].tobytes().decode("utf-8", "replace"))
-            like = max(contained(g, own) for g in self.templates[FAMILIES[k]])
-            if like < TRACE:
+            own = _runs(data[lo[i]:hi[i]].tobytes().decode("utf-8", "replace"))
+            like, chance, k = max((max(contained(g, own) for g in self.templates[FAMILIES[k]]), p[i, k], -k)
+                                  for k in np.flatnonzero(p[i, :-1] >= RIVAL * p[i, :-1].max()))
+            if like < TRACE and not any(w[0].startswith("licen") for w in own[0]):
                 continue
-            sure = p[i, k] >= self.least and like >= CONFIRM
-            out[doc[i]].append((FAMILIES[k] if sure else UNKNOWN, float(p[i, k]), float(like), int(lo[i]), int(hi[i])))
+            sure = 1 - p[i, -1] >= self.least and like >= CONFIRM
+            out[doc[i]].append((FAMILIES[-k] if sure else UNKNOWN, float(chance), float(like), int(lo[i]), int(hi[i])))
         return out
 
 
@@ -252,15 +254,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def _grams(text: str) -> frozenset:
-    w = [x for x in re.findall(r"[0-9a-z.+\-]+", text.lower().replace("\"", " ")) if x.strip(".-")]
-    w = [x.strip(".-") for x in w]
-    return frozenset(tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2)))
+def _words(text: str) -> list[str]:
+    found = re.findall(r"[0-9a-z.+\-]+", text.lower())
+    return [w for w in (x.strip(".-") for x in found) if w]
 
 
-def contained(small: frozenset, big: frozenset) -> float:
-    """Share of the 3-grams of ``small`` that ``big`` holds."""
-    return len(small & big) / max(1, len(small))
+def _grams(text: str, k: int = 3) -> frozenset:
+    """Runs of k words; of a shorter text its whole sequence."""
+    w = _words(text)
+    k = min(k, len(w))
+    return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if k else frozenset()
+
+
+def contained(small: frozenset, big: tuple[frozenset, ...]) -> float:
+    """Share of the runs of ``small`` that ``big`` (runs of 1, 2 and 3 words) holds."""
+    return sum(len(g) <= len(big) and g in big[len(g) - 1] for g in small) / max(1, len(small))
+
+
+def _runs(text: str) -> tuple[frozenset, ...]:
+    return tuple(_grams(text, k) for k in (1, 2, 3))
 
 
 def _vary(text: str, prose: list[str], rng, j: int) -> str:
