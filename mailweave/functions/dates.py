@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # RFC 2822 layouts tried in order after the weekday and any
-# comment are removed; named UTC zones are rewritten to +0000 first.
+# comment are removed; named zones are rewritten to their offset first.
 RFC2822_PATTERNS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yy HH:mm:ss Z"]
 
 
+# Zone names of RFC 2822 and their offsets.
+ZONES = {"GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600",
+         "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
 def from_epoch_millis(c: Column) -> Column:
     """Epoch-ms text → UTC wall-clock timestamp."""
     return F.timestamp_millis(c.try_cast("bigint")).cast("timestamp_ntz")
@@ -18,8 +23,10 @@ def parse_rfc2822(c: Column) -> Column:
     """RFC 2822 date text → UTC wall-clock timestamp, null on failure."""
     s = F.regexp_replace(c, r"\([^)]*\)", " ")                 # comments
     s = F.regexp_replace(s, r"^\s*[A-Za-z]{3},", " ")           # weekday
-    s = F.regexp_replace(s, r"\s+(GMT|UTC|UT|Z)\s*$", " +0000")
     s = F.trim(F.regexp_replace(s, r"\s+", " "))
+    zone = F.upper(F.substring_index(s, " ", -1))
+    offset = F.try_element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), zone)
+    s = F.when(offset.isNotNull(), F.concat(F.substr(s, F.lit(1), F.length(s) - F.length(zone)), offset)).otherwise(s)
     tries = [F.try_to_timestamp(s, F.lit(p)) for p in RFC2822_PATTERNS]
     return F.coalesce(*tries).cast("timestamp_ntz")
 

@@ -4,12 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The HTML tag-stripping pattern (comments, script/style/
-# template blocks with their content, then any remaining tag) and the
-# entity replacements applied after it, '&amp;' last.
-HTML_STRIP = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</(script|style|template)>|<[^>]+>"
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-                 ("&amp;", "&")]
+# What is taken out of a body: comments, script / style /
+# template blocks with their content, then tags and declarations. A tag opens
+# only before a letter, '/' and a letter, '!' or '?', so 'a < b' stays text.
+HTML_STRIP = (r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</(script|style|template)>"
+              r"|</?[a-z][^>]*>|<[!?][^>]*>")
+
+# Named character references and their code points.
+HTML_ENTITIES = {
+    "amp": 38, "lt": 60, "gt": 62, "quot": 34, "apos": 39, "nbsp": 32, "iexcl": 161, "cent": 162, "pound": 163, "yen": 165,
+    "sect": 167, "copy": 169, "laquo": 171, "shy": 173, "reg": 174, "deg": 176, "plusmn": 177, "acute": 180, "micro": 181,
+    "para": 182, "middot": 183, "raquo": 187, "frac14": 188, "frac12": 189, "frac34": 190, "iquest": 191,
+    "Agrave": 192, "Aacute": 193, "Acirc": 194, "Atilde": 195, "Auml": 196, "Aring": 197, "AElig": 198, "Ccedil": 199,
+    "Egrave": 200, "Eacute": 201, "Ecirc": 202, "Euml": 203, "Igrave": 204, "Iacute": 205, "Icirc": 206, "Iuml": 207,
+    "Ntilde": 209, "Ograve": 210, "Oacute": 211, "Ocirc": 212, "Otilde": 213, "Ouml": 214, "times": 215, "Oslash": 216,
+    "Ugrave": 217, "Uacute": 218, "Ucirc": 219, "Uuml": 220, "Yacute": 221, "szlig": 223,
+    "agrave": 224, "aacute": 225, "acirc": 226, "atilde": 227, "auml": 228, "aring": 229, "aelig": 230, "ccedil": 231,
+    "egrave": 232, "eacute": 233, "ecirc": 234, "euml": 235, "igrave": 236, "iacute": 237, "icirc": 238, "iuml": 239,
+    "ntilde": 241, "ograve": 242, "oacute": 243, "ocirc": 244, "otilde": 245, "ouml": 246, "divide": 247, "oslash": 248,
+    "ugrave": 249, "uacute": 250, "ucirc": 251, "uuml": 252, "yacute": 253, "yuml": 255, "OElig": 338, "oelig": 339,
+    "ndash": 8211, "mdash": 8212, "lsquo": 8216, "rsquo": 8217, "sbquo": 8218, "ldquo": 8220, "rdquo": 8221, "bdquo": 8222,
+    "bull": 8226, "hellip": 8230, "prime": 8242, "lsaquo": 8249, "rsaquo": 8250, "euro": 8364, "trade": 8482,
+    "larr": 8592, "uarr": 8593, "rarr": 8594, "darr": 8595, "minus": 8722,
+}
+ENTITY = r"&(?:#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 # Tokeniser separator class (anything not a letter or digit).
 TOKEN_SEP = r"[^\p{L}\p{N}]+"
@@ -24,13 +42,29 @@ URGENT_PATTERN = r"(?i)(urgent|asap|emergency)"
 PHONE_PATTERN = r"\b\d{3}-\d{3}-\d{4}\b"
 
 
+def _character(ref: Column) -> Column:
+    """One character reference → its character; unknown ones stay as they are."""
+    names = F.create_map(*[F.lit(x) for kv in HTML_ENTITIES.items() for x in kv])
+    code = (F.when(ref.rlike("^&#[xX]"), F.conv(F.substr(ref, F.lit(4), F.length(ref) - 4), 16, 10).try_cast("int"))
+            .when(ref.startswith("&#"), F.substr(ref, F.lit(3), F.length(ref) - 3).try_cast("int"))
+            .otherwise(F.try_element_at(names, F.substr(ref, F.lit(2), F.length(ref) - 2))))
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(ref)
+
+
+def unescape(c: Column) -> Column:
+    """Named and numeric character references → characters, in one pass (what a
+    reference yields is not read again)."""
+    refs = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), _character)
+    whole = F.array_join(F.zip_with(F.split(c, ENTITY, -1), refs, lambda t, r: F.concat(t, F.coalesce(r, F.lit("")))), "")
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
+
+
 def html_to_text(c: Column) -> Column:
-    """Strip markup with one linear-time regex pass, then unescape the
-    common entities. Applied to every chosen body, plain or HTML."""
-    out = F.regexp_replace(c, HTML_STRIP, "")
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Strip markup with one linear-time regex pass, then replace character
+    references. Applied to every chosen body, plain or HTML; a text without
+    '<' and '&' is passed on untouched."""
+    return unescape(F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, HTML_STRIP, "")).otherwise(c))
 
 
 def normalized(c: Column) -> Column:

@@ -46,7 +46,7 @@ def safe_name(name: Column) -> Column:
 def sniff_mime(content: Column, name: Column) -> Column:
     """M7: content signature, then the file extension, else octet-stream."""
     head = F.hex(F.substring(content, 1, 16))
-    txt = F.lower(F.ltrim(F.substring(content, 1, 64).cast("string")))
+    txt = F.lower(F.substring(F.ltrim(content.cast("string"), F.lit(" \t\r\n\f\v")), 1, 16))
     by_magic = F.coalesce(*[F.when(head.startswith(h), F.lit(m)) for h, m in MAGIC],
                           F.when(txt.startswith("<!doctype html") | txt.startswith("<html"), F.lit("text/html")))
     by_ext = F.element_at(F.create_map(*[F.lit(x) for kv in EXT_MIME.items() for x in kv]), extension(name))

@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokens
-from ..session import spread
 
 FIELDS = ["subject", "body", "sender_email", "sender_name", "recipients"]
 TEXT_FIELDS = ["subject", "body", "sender_email", "sender_name"]
@@ -58,7 +57,7 @@ def index_document(messages: DataFrame) -> DataFrame:
 
 def token_rows(messages: DataFrame, fields=FIELDS) -> DataFrame:
     """One row per token occurrence: (message_id, field, pos, term)."""
-    docs = spread(messages, "message_id").select(
+    docs = messages.select(
         "message_id", F.col("subject"), F.col("body"), F.col("sender.email").alias("sender_email"),
         F.col("sender.name").alias("sender_name"), recipients_text().alias("recipients"))
     arr = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields])
@@ -165,7 +164,7 @@ def body_term_df(messages: DataFrame, field: str = "body") -> DataFrame:
     """Document frequency per term of one field without a postings
     shuffle: terms are made distinct inside each row, so the map-side
     partial count collapses each task to one row per term seen."""
-    toks = spread(messages, "message_id").select(F.array_distinct(tokens(F.col(field))).alias("t"))
+    toks = messages.select(F.array_distinct(tokens(F.col(field))).alias("t"))
     return toks.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -174,7 +173,7 @@ def bm25_messages(messages: DataFrame, terms: DataFrame, field: str = "body", k:
     """D6 straight from the messages: document length is ``size(tokens)``
     per row (no aggregate), and only occurrences of the (few) query terms
     are exploded, semi-joined and shuffled. Same scores as :func:`bm25`."""
-    docs = spread(messages, "message_id").select("message_id", tokens(F.col(field)).alias("toks"))
+    docs = messages.select("message_id", tokens(F.col(field)).alias("toks"))
     docs = docs.withColumn("dl", F.size("toks")).filter(F.col("dl") > 0)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     avgdl = docs.select(F.avg("dl")).scalar()

@@ -1,9 +1,10 @@
 """Raw message JSON → typed ``messages`` rows.
 
 The raw text is parsed once into a ``VARIANT`` column; every field is a
-``try_variant_get`` path. The recursive MIME tree is unrolled to a fixed
-depth with array higher-order functions *inside each row*: no explode, no
-shuffle, so parsing is a single narrow stage that scales with the input.
+``try_variant_get`` path. The recursive MIME tree is walked level by level
+with an ``aggregate`` *inside each row* that runs as often as the row has
+``parts``, so any depth is reached without an explode, a shuffle or a driver
+loop, and parsing stays a single narrow stage that scales with the input.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from ..functions.mime import SUPPORTED_BODY_TYPES, b64url_decode
 from ..functions.text import html_to_text
 from ..schema import conform
 
-MAX_DEPTH = 5
 HEADERS_T = "array<struct<name:string,value:string>>"
 
 
@@ -26,66 +26,64 @@ def header(headers: Column, name: str) -> Column:
     return F.try_element_at(hits, F.lit(-1))["value"]
 
 
-def part_nodes(parts: Column, depth: int = MAX_DEPTH) -> Column:
-    """Flatten the part tree to ``array<struct<path, node>>``.
+NODES_T = "array<struct<path:array<int>,top:string,node:variant>>"
+WALK_T = f"struct<done:{NODES_T},open:{NODES_T}>"
 
-    ``path`` is the zero-padded index chain (``0000.0001``), so sorting by
-    it gives depth-first pre-order. ``depth`` levels are unrolled."""
-    level = F.transform(F.coalesce(parts, F.array().cast("array<variant>")),
-                        lambda p, i: F.struct(F.lpad(i.cast("string"), 4, "0").alias("path"), p.alias("node")))
-    levels = [level]
-    for _ in range(depth - 1):
-        level = F.flatten(F.transform(level, lambda x: F.transform(
-            F.coalesce(F.try_variant_get(x["node"], "$.parts", "array<variant>"), F.array().cast("array<variant>")),
-            lambda c, j: F.struct(F.concat(x["path"], F.lit("."), F.lpad(j.cast("string"), 4, "0")).alias("path"),
-                                  c.alias("node")))))
-        levels.append(level)
-    return F.concat(*levels)
+
+def _children(v: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _nesting(value: Column) -> Column:
+    """An upper bound of a message's MIME depth: its ``"parts"`` keys, or, where
+    the text holds escapes that could spell the key, its objects."""
+    count = lambda what: ((F.length(value) - F.length(F.replace(value, F.lit(what), F.lit("")))) / len(what)).cast("int")
+    return F.when(F.contains(value, F.lit("\\u00")), count("{")).otherwise(count('"parts"'))
+
+
+def part_nodes(v: Column, value: Column) -> Column:
+    """Every part of the tree as ``struct(path, top, node)``: ``path`` is the
+    chain of sibling indexes (arrays compare in depth-first pre-order), ``top``
+    the MIME type of the top-level ancestor. Null for unparseable rows."""
+    first = F.transform(_children(v, "$.payload.parts"), lambda p, i: F.struct(
+        F.array(i).alias("path"), F.try_variant_get(p, "$.mimeType", "string").alias("top"), p.alias("node")))
+    start = F.struct(F.array().cast(NODES_T).alias("done"), first.cast(NODES_T).alias("open")).cast(WALK_T)
+
+    def deeper(walk, _):
+        below = F.flatten(F.transform(walk["open"], lambda x: F.transform(
+            _children(x["node"], "$.parts"), lambda c, j: F.struct(
+                F.concat(x["path"], F.array(j)).alias("path"), x["top"].alias("top"), c.alias("node")))))
+        return F.struct(F.concat(walk["done"], walk["open"]).alias("done"), below.cast(NODES_T).alias("open")).cast(WALK_T)
+    return F.when(v.isNotNull(), F.aggregate(F.sequence(F.lit(0), _nesting(value)), start, deeper,
+                                             lambda walk: F.concat(walk["done"], walk["open"])))
+
+
+def path_text(path: Column) -> Column:
+    """``[0, 1]`` → ``0000.0001``; longer indexes are written whole."""
+    return F.array_join(F.transform(path, lambda i: F.when(i < 10000, F.lpad(i.cast("string"), 4, "0"))
+                                    .otherwise(i.cast("string"))), ".")
 
 
 def _node_fields(nodes: Column) -> Column:
     return F.transform(nodes, lambda n: F.struct(
-        n["path"].alias("path"),
+        n["path"].alias("chain"),
         F.try_variant_get(n["node"], "$.mimeType", "string").alias("mime_type"),
         F.try_variant_get(n["node"], "$.body.data", "string").alias("data"),
         F.try_variant_get(n["node"], "$.body.attachmentId", "string").alias("attachment_id"),
         F.try_variant_get(n["node"], "$.body.size", "bigint").alias("size"),
         F.try_variant_get(n["node"], "$.filename", "string").alias("filename"),
         F.try_variant_get(n["node"], "$.headers", HEADERS_T).alias("headers"),
-        F.size(F.coalesce(F.try_variant_get(n["node"], "$.parts", "array<variant>"),
-                          F.array().cast("array<variant>"))).alias("n_children"),
+        F.size(_children(n["node"], "$.parts")).alias("n_children"),
     ))
 
 
-def with_part_levels(df: DataFrame, v: Column, depth: int = MAX_DEPTH, prefix: str = "_lvl") -> DataFrame:
-    """B13, staged: one projected column per tree level, each built from
-    the previous column, so no level is evaluated twice. Every node is
-    ``struct(path, top, node)`` where ``top`` is its top-level ancestor's
-    MIME type."""
-    empty = F.array().cast("array<variant>")
-    kids = lambda n: F.coalesce(F.try_variant_get(n, "$.parts", "array<variant>"), empty)
-    df = df.withColumn(f"{prefix}0", F.transform(
-        F.coalesce(F.try_variant_get(v, "$.payload.parts", "array<variant>"), empty),
-        lambda p, i: F.struct(F.lpad(i.cast("string"), 4, "0").alias("path"),
-                              F.try_variant_get(p, "$.mimeType", "string").alias("top"), p.alias("node"))))
-    for k in range(1, depth):
-        df = df.withColumn(f"{prefix}{k}", F.flatten(F.transform(F.col(f"{prefix}{k - 1}"), lambda x: F.transform(
-            kids(x["node"]), lambda c, j: F.struct(
-                F.concat(x["path"], F.lit("."), F.lpad(j.cast("string"), 4, "0")).alias("path"),
-                x["top"].alias("top"), c.alias("node"))))))
-    return df
-
-
-def level_columns(depth: int = MAX_DEPTH, prefix: str = "_lvl") -> list[str]:
-    return [f"{prefix}{k}" for k in range(depth)]
-
-
-def select_body(v: Column, nodes: Column) -> tuple[Column, Column]:
+def select_body(v: Column, nodes: Column) -> Column:
     """Top-level ``body.data`` first; otherwise, among top-level parts
     of a supported type in order, the first depth-first non-empty data
-    that decodes. Candidates are sorted by path and decoded lazily: the
-    fold stops decoding at the first success. Returns (text before HTML
-    stripping, chosen path)."""
+    that decodes. Candidates are sorted by path, and the fold decodes each at
+    most once and none after the first success. Returns struct(text, part):
+    the top-level text, or null and the chosen part's path and text, before
+    HTML stripping."""
     top = b64url_decode(F.try_variant_get(v, "$.payload.body.data", "string"))
     cands = F.array_sort(F.filter(
         F.transform(nodes, lambda n: F.struct(n["path"].alias("path"),
@@ -93,38 +91,37 @@ def select_body(v: Column, nodes: Column) -> tuple[Column, Column]:
                                               n["top"].alias("top"))),
         lambda c: c["data"].isNotNull() & (c["data"] != "") & F.coalesce(c["top"].isin(*SUPPORTED_BODY_TYPES),
                                                                            F.lit(False))))
-    none = F.lit(None).cast("struct<path:string,text:string>")
-    first = F.aggregate(cands, none, lambda acc, c: F.coalesce(
-        acc, F.when(F.length(b64url_decode(c["data"])) > 0,
-                    F.struct(c["path"].alias("path"), b64url_decode(c["data"]).alias("text")))))
-    has_top = top.isNotNull()
-    return (F.when(has_top, top).otherwise(first["text"]),
-            F.when(has_top, F.lit("payload")).otherwise(first["path"]))
+    none = F.lit(None).cast("struct<path:array<int>,text:string>")
+    decoded = lambda c: F.try_element_at(F.filter(F.transform(
+        F.array(b64url_decode(c["data"])), lambda t: F.struct(c["path"].alias("path"), t.alias("text"))),
+        lambda x: F.length(x["text"]) > 0), F.lit(1))
+    first = F.aggregate(cands, none, lambda acc, c: F.coalesce(acc, decoded(c)))
+    return F.struct(top.alias("text"), F.when(top.isNull(), first).alias("part"))
 
 
 def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value") -> DataFrame:
-    """Parse step shared by batch and stream: adds ``_v`` and the typed
-    columns plus ``_reason`` (null when the row is good)."""
-    v = F.try_parse_json(F.col(value_col))
-    d = raw.select(F.col(value_col), v.alias("_v"), labels.alias("_dict"))
-    labels = F.col("_dict")
-    v = F.col("_v")
-    d = with_part_levels(d, v)
-    nodes = F.concat(*[F.col(c) for c in level_columns()])
-    headers = F.coalesce(F.try_variant_get(v, "$.payload.headers", HEADERS_T),
-                         F.array().cast(HEADERS_T))
-    ids = F.try_variant_get(v, "$.labelIds", "array<string>")
-    internal = F.try_variant_get(v, "$.internalDate", "string")
+    """The parse step: adds the typed columns and ``_reason`` (null when the
+    row is good). Each expensive part is one column of its own projection."""
+    d = raw.select(F.col(value_col), F.try_parse_json(F.col(value_col)).alias("_v"), labels.alias("_dict"))
+    v, labels = F.col("_v"), F.col("_dict")
+    d = d.select("*", part_nodes(v, F.col(value_col)).alias("_nodes"),
+                 F.coalesce(F.try_variant_get(v, "$.payload.headers", HEADERS_T),
+                            F.array().cast(HEADERS_T)).alias("_headers"),
+                 F.try_variant_get(v, "$.labelIds", "array<string>").alias("_ids"),
+                 F.try_variant_get(v, "$.internalDate", "string").alias("_internal"))
+    d = d.select("*", select_body(v, F.col("_nodes")).alias("_body"),
+                 *[header(F.col("_headers"), k).alias(f"_{k}") for k in ("from", "to", "cc", "bcc")])
+    headers, ids, internal = F.col("_headers"), F.col("_ids"), F.col("_internal")
     date_hdrs = F.filter(F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == "date"),
                                      lambda h: parse_rfc2822(h["value"])), lambda t: t.isNotNull())
     ts = F.when(internal.isNotNull(), from_epoch_millis(internal)) \
           .otherwise(F.try_element_at(date_hdrs, F.lit(1)))
-    sender = parse_address(header(headers, "from"))
+    sender = parse_address(F.col("_from"))
     rcpt = F.map_from_entries(F.filter(F.array(*[
         F.struct(F.lit(k).alias("key"),
-                 F.when(header(headers, k).isNotNull(), parse_address_list(header(headers, k))).alias("value"))
+                 F.when(F.col(f"_{k}").isNotNull(), parse_address_list(F.col(f"_{k}"))).alias("value"))
         for k in ("to", "cc", "bcc")]), lambda e: e["value"].isNotNull()))
-    body_raw, body_path = select_body(v, nodes)
+    text = F.coalesce("_body.text", "_body.part.text")
     parsed = d.select(
         F.col(value_col),
         F.try_variant_get(v, "$.id", "string").alias("message_id"),
@@ -137,26 +134,26 @@ def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value") -> D
          .otherwise(F.transform(F.filter(ids, lambda x: F.map_contains_key(labels, x)),
                                 lambda x: F.element_at(labels, x))).alias("labels"),
         header(headers, "subject").alias("subject"),
-        F.when(body_raw.isNotNull(), html_to_text(body_raw)).alias("body"),
-        body_path.alias("body_path"),
+        F.when(text.isNotNull(), html_to_text(text)).alias("body"),
+        F.when(F.col("_body.text").isNotNull(), F.lit("payload"))
+         .otherwise(path_text(F.col("_body.part.path"))).alias("body_path"),
         F.coalesce(F.try_variant_get(v, "$.sizeEstimate", "bigint"), F.lit(0).cast("bigint")).alias("size"),
         ts.alias("timestamp"),
         F.when(ids.isNull(), F.lit(False)).otherwise(~F.array_contains(ids, "UNREAD")).alias("is_read"),
         F.when(ids.isNull(), F.lit(False)).otherwise(F.array_contains(ids, "SENT")).alias("is_outgoing"),
         F.lit(False).alias("is_deleted"),
-        v.alias("_v"),
-        # Catalyst inlines aliases into a filter above a deterministic
-        # projection and pushes it down (here: below the spread repartition),
-        # which would evaluate the whole parse twice, once single-threaded at
-        # the scan. A partition-id column makes this projection a barrier, so
-        # the quarantine split below filters on computed columns.
+        v.isNull().alias("_broken"),
         F.spark_partition_id().alias("_barrier"),
     )
-    reason = (F.when(F.col("_v").isNull(), F.lit("unparseable_json"))
+    # ``_reason`` reads ``_barrier``, which Catalyst may not move: so the split on
+    # ``_reason`` filters columns that were computed once instead of being pushed
+    # below the projection together with a second copy of the whole parse.
+    reason = (F.when(F.col("_barrier") < 0, F.lit(None).cast("string"))
+               .when(F.col("_broken"), F.lit("unparseable_json"))
                .when(F.col("message_id").isNull(), F.lit("missing_id"))
                .when(F.col("thread_id").isNull(), F.lit("missing_thread_id"))
                .when(F.col("timestamp").isNull(), F.lit("missing_timestamp")))
-    return parsed.withColumn("_reason", reason).drop("_barrier")
+    return parsed.withColumn("_reason", reason).drop("_barrier", "_broken")
 
 
 def parse_messages(raw: DataFrame, labels: Column, indexed_at=None) -> tuple[DataFrame, DataFrame]:
@@ -173,16 +170,13 @@ def parse_messages(raw: DataFrame, labels: Column, indexed_at=None) -> tuple[Dat
 def parts_table(raw: DataFrame) -> DataFrame:
     """One row per MIME part at any depth (explode happens only
     here, where a row per part is the requested output)."""
-    d = raw.select(F.try_parse_json(F.col("value")).alias("_v"))
-    d = with_part_levels(d, F.col("_v"))
-    nodes = F.concat(*[F.col(c) for c in level_columns()])
+    d = raw.select("value", F.try_parse_json(F.col("value")).alias("_v"))
+    d = d.select("_v", part_nodes(F.col("_v"), F.col("value")).alias("_nodes"))
     d = d.select(F.try_variant_get("_v", "$.id", "string").alias("message_id"),
-                 _node_fields(F.transform(nodes, lambda n: F.struct(n["path"].alias("path"),
-                                                                    n["node"].alias("node")))).alias("n"),
-                 F.spark_partition_id().alias("_barrier"))   # see parse_variant
-    e = (d.select("message_id", F.explode_outer("n").alias("p"))
-          .filter(F.col("message_id").isNotNull() & F.col("p").isNotNull()))
-    return e.select("message_id", "p.path", F.size(F.split("p.path", r"\.")).alias("depth"),
+                 _node_fields(F.col("_nodes")).alias("n"), F.spark_partition_id().alias("_barrier"))   # see parse_variant
+    e = (d.filter(F.col("message_id").isNotNull() & (F.col("_barrier") >= 0))
+          .select("message_id", F.explode("n").alias("p")))
+    return e.select("message_id", path_text(F.col("p.chain")).alias("path"), F.size("p.chain").alias("depth"),
                     "p.mime_type", "p.data", "p.attachment_id", "p.size", "p.filename", "p.headers",
                     "p.n_children")
 
@@ -211,7 +205,7 @@ MIME_EXTENSIONS = {
 
 def attachment_filename(filename: Column, headers: Column, mime_type: Column) -> Column:
     """M2: part file name, else Content-Disposition ``filename=``, else
-    Content-Type ``name=``, else ``attachment`` + extension of the type."""
+    Content-Type ``name=``, else ``attachment`` + extension of the type (``.bin`` if unknown)."""
     disp = header(headers, "content-disposition")
     ctype = header(headers, "content-type")
     pat = lambda key: rf'(?i){key}\s*=\s*"?([^";]+)"?'
@@ -220,5 +214,5 @@ def attachment_filename(filename: Column, headers: Column, mime_type: Column) ->
         F.nullif(filename, F.lit("")),
         F.nullif(F.regexp_extract(F.coalesce(disp, F.lit("")), pat("filename"), 1), F.lit("")),
         F.nullif(F.regexp_extract(F.coalesce(ctype, F.lit("")), pat("name"), 1), F.lit("")),
-        F.concat(F.lit("attachment"), F.coalesce(F.element_at(ext, F.lower(mime_type)), F.lit(""))),
+        F.concat(F.lit("attachment"), F.coalesce(F.element_at(ext, F.lower(mime_type)), F.lit(".bin"))),
     )

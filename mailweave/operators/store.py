@@ -1,10 +1,9 @@
 """Table maintenance: keyed upsert (A5/E3), delete detection (E2/I1),
-soft delete (A6/E5), incremental range (I3) and snapshot writes.
+soft delete (A6/E5), incremental range (I3).
 
-Joins are written so that AQE can pick the strategy from the *measured*
-size of each side at runtime: a small sync batch becomes a broadcast
-hash join and the large stored table is never shuffled; a full re-sync
-falls back to a sort-merge join. No side is broadcast on a guess.
+A batch of changes is landed first and its files are measured: up to
+``BROADCAST_BYTES`` it is broadcast, so the stored table is filtered and updated
+where it lies and never shuffled; beyond that both sides are shuffled by id.
 """
 
 from __future__ import annotations
@@ -12,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import MESSAGE_COLUMNS
+from ..session import landed
+
+#: Parquet bytes up to which a landed batch of ids and flags is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def _now(now) -> Column:
@@ -19,20 +22,34 @@ def _now(now) -> Column:
 
 
 def latest_per_id(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """One row per ``message_id``, the latest by ``last_indexed`` (K3)."""
-    order = order or [F.col("last_indexed").desc_nulls_last()]
+    """One row per ``message_id``, the latest by ``last_indexed`` (K3); of equal
+    times the one whose flags and labels sort last."""
+    order = order or [F.col("last_indexed").desc_nulls_last(), F.col("is_read").desc(), F.col("is_deleted"),
+                      F.col("labels").desc(), F.xxhash64("subject", "body", "size")]
     w = Window.partitionBy("message_id").orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def _sized(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(landed frame, the same with a broadcast hint if its files are small)."""
+    df, size = landed(df, "batch", name)
+    return df, (F.broadcast(df) if size <= BROADCAST_BYTES else df)
+
+
+def matching(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """Stored rows with one of the ids."""
+    _, ids = _sized(ids.select("message_id").distinct(), "ids")
+    return stored.join(ids, "message_id", "left_semi")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, now=None, dedupe: bool = True) -> DataFrame:
     """A5: insert new ids; for an id already stored update **only**
     ``is_read``, ``labels``, ``last_indexed`` and clear ``is_deleted``;
     subject, body, size, thread and time are never changed."""
     ts = _now(now)
-    inc = latest_per_id(incoming) if dedupe else incoming
-    upd = inc.select("message_id", F.col("is_read").alias("_read"), F.col("labels").alias("_labels"),
-                     F.lit(True).alias("_hit"))
+    inc, _ = landed(latest_per_id(incoming) if dedupe else incoming, "batch", "incoming")
+    _, upd = _sized(inc.select("message_id", F.col("is_read").alias("_read"), F.col("labels").alias("_labels"),
+                               F.lit(True).alias("_hit")), "changes")
     kept = existing.join(upd, "message_id", "left").select(
         *[
             (F.coalesce("_read", "is_read").alias(c) if c == "is_read" else
@@ -42,7 +59,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, now=None, dedupe: bool = Tr
              F.col(c))
             for c in MESSAGE_COLUMNS
         ])
-    new = (inc.join(existing.select("message_id"), "message_id", "left_anti")
+    known = existing.select("message_id").join(upd, "message_id", "left_semi")
+    new = (inc.join(known, "message_id", "left_anti")
               .withColumn("is_deleted", F.lit(False)).withColumn("last_indexed", ts)
               .select(*MESSAGE_COLUMNS))
     return kept.unionByName(new)
@@ -58,7 +76,7 @@ def deleted_ids(local: DataFrame, remote_ids: DataFrame) -> DataFrame:
 def mark_deleted(messages: DataFrame, ids: DataFrame, now=None) -> DataFrame:
     """Set ``is_deleted`` and ``last_indexed`` for the given ids.
     An empty id set leaves the table as it was."""
-    hit = ids.select("message_id").distinct().withColumn("_hit", F.lit(True))
+    _, hit = _sized(ids.select("message_id").distinct().withColumn("_hit", F.lit(True)), "deleted")
     j = messages.join(hit, "message_id", "left")
     return j.select(*[
         (F.when(F.col("_hit"), F.lit(True)).otherwise(F.col(c)).alias(c) if c == "is_deleted" else
@@ -79,18 +97,3 @@ def incremental_range(stored: DataFrame, candidates: DataFrame) -> DataFrame:
     lo = stored.select(F.min("timestamp")).scalar()
     t = F.col("timestamp")
     return candidates.filter((t > hi) | (t < lo) | hi.isNull())
-
-
-def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                   mode: str = "errorifexists") -> str:
-    """Write a new snapshot directory (never the path being read), laid
-    out by month so date filters prune files."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path
-
-
-def with_month(df: DataFrame) -> DataFrame:
-    return df.withColumn("month", F.date_format("timestamp", "yyyy-MM"))

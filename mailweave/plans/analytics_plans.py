@@ -16,7 +16,7 @@ RANGE_END = _dt.datetime(2024, 1, 20, 12, 0, 0)
 
 
 def _m(spark, sf):
-    return fx.messages(spark, sf)
+    return fx.messages(spark, sf, text=False)
 
 
 BASIC_SQL = """SELECT count(*) AS total_messages, count_if(is_outgoing) AS total_sent,

@@ -104,7 +104,7 @@ def q_attachment_expired(spark, sf):
 SELECT m.message_id, CAST(count(att.message_id) AS BIGINT) AS attachment_count
 FROM m LEFT JOIN att ON m.message_id = att.message_id GROUP BY m.message_id""")
 def q_attachment_counts(spark, sf):
-    return AT.attachment_counts(fx.messages(spark, sf).select("message_id"), _att(spark, sf))
+    return AT.attachment_counts(fx.messages(spark, sf, text=False).select("message_id"), _att(spark, sf))
 
 
 @register("attachment_names", f"""WITH {M}

@@ -47,7 +47,18 @@ def flat_parsed(g):
                     "subject", "body", "size", "timestamp", "is_read", "is_outgoing")
 
 
-@register("parse_quarantine")
+# The landed text as to_json writes it, far enough for the 80 characters that broken rows keep.
+QUARANTINE_SQL = with_m(f"""SELECT substr(concat('{{"id":"', message_id, '","threadId":"', thread_id, '"',
+  CASE WHEN event_id % 23 <> 0 THEN concat(',"sizeEstimate":', size) ELSE '' END,
+  CASE WHEN event_id % 13 <> 5 THEN concat(',"internalDate":"', epoch_us(timestamp) // 1000, '"') ELSE '' END,
+  CASE WHEN event_id % 29 <> 0 THEN concat(',"labelIds":["', concat_ws('","', {LABEL_ID}, label_2, label_3,
+    CASE WHEN is_outgoing THEN 'SENT' END, CASE WHEN event_id % 9 = 0 THEN 'L9' END), '"]') ELSE '' END,
+  ',"payload":{{"mimeType":"', CASE WHEN event_id % 17 = 3 THEN 'text/plain' ELSE 'multipart/mixed' END,
+  '","headers":[{{"name":"'), 1, 80) AS value, 'unparseable_json' AS reason
+FROM m WHERE event_id % 100 = 37""")
+
+
+@register("parse_quarantine", QUARANTINE_SQL)
 def q_parse_quarantine(spark, sf):
     _, bad = P.parse_messages(fx.raw_messages(spark, sf), fx.label_map(spark), fx.AS_OF)
     return bad

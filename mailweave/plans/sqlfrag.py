@@ -45,13 +45,20 @@ def with_m(body: str, *extra_ctes: str) -> str:
     ctes = ", ".join([M, *extra_ctes])
     return f"WITH {ctes}\n{body}"
 
-HTML_STRIP = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</(script|style|template)>|<[^>]+>"
+# Markup of the oracle, written out on its own: comments, blocks, tags, declarations.
+HTML_MARKUP = ["(?is)<!--.*?-->", "(?is)<script\\b[^>]*>.*?</script>", "(?is)<style\\b[^>]*>.*?</style>",
+               "(?is)<template\\b[^>]*>.*?</template>", "(?i)</?[a-z][^>]*>", "<[!?][^>]*>"]
+# Character references that the input tables hold.
+HTML_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "\u00a9"),
+                   ("&middot;", "\u00b7"), ("&amp;", "&")]
 
 
 def html_text(expr: str) -> str:
-    """DuckDB twin of ``functions.text.html_to_text``."""
-    s = f"regexp_replace({expr}, '{HTML_STRIP}', '', 'g')"
-    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]:
+    """Text of a body: markup removed kind by kind, then the references of the tables."""
+    s = expr
+    for p in HTML_MARKUP:
+        s = f"regexp_replace({s}, '{p}', '', 'g')"
+    for a, b in HTML_REFERENCES:
         s = f"replace({s}, '{a}', '{b}')"
     return s
 

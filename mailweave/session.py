@@ -8,7 +8,6 @@ fresh scratch folder.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -48,10 +47,14 @@ def ensure_utc(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for derived tables: ``spark.checkpoint.dir``.
 
-    Read from the session; set our own only when it is unset (tests).
+    Read from the session. Where it is unset, a fresh folder of this machine
+    serves a local session (tests); a cluster has to name one, because its
+    executors would not see each other's files.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="mailweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -64,10 +67,6 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([work_dir(spark), "mailweave", *parts, uuid.uuid4().hex])
 
 
-def local_path(p: str) -> str:
-    return p[len("file:"):] if p.startswith("file:") else p
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -75,23 +74,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-__all__ = ["build_session", "ensure_utc", "work_dir", "scratch_path", "exists", "local_path", "os"]
-
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder (none if it isn't there)."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [st.getPath().getName() for st in fs.listStatus(hpath)] if fs.exists(hpath) else []
 
-def spread(df, *keys: str):
-    """Make sure CPU-heavy per-row work runs on every core/executor.
 
-    A small input file is a single row group and thus a single task; when
-    a frame has fewer partitions than the cluster's default parallelism it
-    is hash-partitioned by ``keys`` (deterministic on retry). Inputs that
-    already have enough partitions (any large table) pass through, so this
-    adds no shuffle at scale.
-    """
+def landed(df, *parts: str):
+    """(frame, bytes): ``df`` written as Parquet into the shared folder and read
+    back, and the size of its files, for choices that hang on a measured size."""
     spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.isStreaming:
-        return df
-    have = df.rdd.getNumPartitions()
-    if have >= want:
-        return df
-    return df.repartition(want, *keys) if keys else df.repartition(want)
+    path = scratch_path(spark, *parts)
+    df.write.parquet(path)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.schema(df.schema).parquet(path), int(fs.getContentSummary(hpath).getLength())
+
+
+def dealt(df, *keys: str):
+    """Deal rows over the session's shuffle partitions by ``keys``: a small file is
+    one row group and so one task, however much work a row is."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
+__all__ = ["build_session", "dealt", "ensure_utc", "exists", "folders", "landed", "scratch_path", "work_dir"]

@@ -10,7 +10,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import conform
-from ..session import spread
+from ..session import dealt
 from .tables import table
 
 # The evaluation clock for "now"-relative queries (events
@@ -30,14 +30,17 @@ def _ts(c: Column) -> Column:
     return c.cast("timestamp_ntz")
 
 
-def flat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIXTURES 3.1 flat ``m`` plus ``event_id`` (kept for derivations)."""
-    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"),
-               "event_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    e = e.withColumn("_doc_key", F.col("event_id") % n_docs)
-    j = e.join(docs, e["_doc_key"] == docs["doc_id"], "left")
+def flat_messages(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    """FIXTURES 3.1 flat ``m`` plus ``event_id`` (kept for derivations). Without
+    ``text`` subject and body are null and ``documents`` is not read."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    if text:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        n_docs = docs.select(F.count(F.lit(1))).scalar()
+        e = dealt(e, "event_id").withColumn("_doc_key", F.col("event_id") % n_docs)
+        j = e.join(docs, e["_doc_key"] == docs["doc_id"], "left")
+    else:
+        j = e.withColumn("text", F.lit(None).cast("string"))
     eid, uid = F.col("event_id"), F.col("user_id")
     return j.select(
         eid,
@@ -85,9 +88,10 @@ def nest(flat: DataFrame) -> DataFrame:
     )
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed ``messages`` table derived from ``events`` + ``documents``."""
-    return conform(nest(flat_messages(spark, sf_dir)))
+def messages(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    """The typed ``messages`` table derived from ``events`` + ``documents``
+    (without ``text``: from ``events`` alone, subject and body null)."""
+    return conform(nest(flat_messages(spark, sf_dir, text)))
 
 
 def messages_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,13 +277,3 @@ def raw_messages(spark: SparkSession, sf_dir: str, body_source: str = "documents
     js = F.to_json(doc)
     value = F.when(eid % 100 == 37, F.substring(js, 1, 80)).otherwise(js)
     return f.select(value.alias("value"), "event_id") if keep_key else f.select(value.alias("value"))
-
-
-def label_literal(spark: SparkSession, max_entries: int = 10000) -> Column:
-    """The label dictionary as a literal map for streaming plans (scalar
-    subqueries are batch-only). Its size is checked before it is shipped."""
-    d = label_dict(spark)
-    if d.count() > max_entries:
-        raise ValueError("label dictionary too large for a literal map; use a broadcast join")
-    rows = d.collect()
-    return F.create_map(*[F.lit(x) for r in rows for x in (r["label_id"], r["label_name"])])
