@@ -4,24 +4,27 @@ The index is a postings table ``(term, field, message_id, tf, positions)``
 built with ``posexplode`` + one aggregate. The aggregate is keyed by
 ``(term, field, message_id)``: all occurrences of a key come from one
 row, so the partial aggregate already yields final counts and the single
-shuffle spreads even the hottest term over many partitions (no term skew).
-``bucket`` (hash of the term) is the on-disk partition column, so a term
-lookup against a stored index prunes to one directory.
+shuffle spreads even the hottest term over many partitions.
 
-Searches filter postings by the query terms (a tiny, bounded set) and
-reduce to message ids before joining back to ``messages``; AQE turns that
-join into a broadcast when the match set is small.
+``store_index`` writes it once, partitioned by ``bucket`` (hash of the term) and
+sorted by term, together with each field's length per message and each term's
+document frequency. Searches join their terms on ``(bucket, term)``, so dynamic
+partition pruning reads the terms' buckets only; message ids are then joined
+back to ``messages``, where filters, sorting and paging apply.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import tokens
+from .search import SearchQuery, matched, page
 
 FIELDS = ["subject", "body", "sender_email", "sender_name", "recipients"]
 TEXT_FIELDS = ["subject", "body", "sender_email", "sender_name"]
-INDEX_BUCKETS = 64
+INDEX_BUCKETS = 64   # default of ``buckets``; raise it with the archive, so that a bucket stays a few files
 
 
 def recipients_text(c: Column | None = None) -> Column:
@@ -65,15 +68,45 @@ def token_rows(messages: DataFrame, fields=FIELDS) -> DataFrame:
     return per_field.select("message_id", "field", F.posexplode("toks").alias("pos", "term"))
 
 
-def build_index(messages: DataFrame, fields=FIELDS, positions: bool = True) -> DataFrame:
-    """Postings with term frequency and (optionally) sorted positions;
-    ranking needs no positions, which keeps its aggregate a plain count."""
-    t = token_rows(messages, fields)
-    aggs = [F.count(F.lit(1)).alias("tf")]
-    if positions:
-        aggs.append(F.array_sort(F.collect_list("pos")).alias("positions"))
-    p = t.groupBy("term", "field", "message_id").agg(*aggs)
-    return p.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int"))
+def bucket_of(term: Column | str, buckets: int = INDEX_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build_index(messages: DataFrame, fields=FIELDS, buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """Postings with term frequency and sorted positions."""
+    p = token_rows(messages, fields).groupBy("term", "field", "message_id").agg(
+        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return p.withColumn("bucket", bucket_of("term", buckets))
+
+
+@dataclass
+class Index:
+    """A stored index: its postings, field lengths and document frequencies."""
+    postings: DataFrame
+    lengths: DataFrame
+    frequencies: DataFrame
+    buckets: int
+
+
+def store_index(messages: DataFrame, path: str, fields=FIELDS, buckets: int = INDEX_BUCKETS) -> Index:
+    """Build and write an index; the text is tokenised once, the statistics come
+    from the stored postings."""
+    spark = messages.sparkSession
+    (build_index(messages, fields, buckets).repartition("bucket").sortWithinPartitions("bucket", "term")
+     .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings"))
+    p = load_index(spark, path, buckets, whole=False).postings
+    p.groupBy("message_id", "field").agg(F.sum("tf").alias("dl")).write.parquet(f"{path}/lengths")
+    p.groupBy("bucket", "term", "field").agg(F.count(F.lit(1)).alias("df")).write.partitionBy("bucket").parquet(f"{path}/frequencies")
+    return load_index(spark, path, buckets)
+
+
+def load_index(spark: SparkSession, path: str, buckets: int = INDEX_BUCKETS, whole: bool = True) -> Index:
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    postings = read("postings", "term string, field string, message_id string, tf long, positions array<int>, bucket int")
+    if not whole:
+        return Index(postings, postings, postings, buckets)
+    return Index(postings, read("lengths", "message_id string, field string, dl long"),
+                 read("frequencies", "term string, field string, df long, bucket int"), buckets)
 
 
 def maintain_index(postings: DataFrame, changed: DataFrame, fields=FIELDS) -> DataFrame:
@@ -83,49 +116,50 @@ def maintain_index(postings: DataFrame, changed: DataFrame, fields=FIELDS) -> Da
     return kept.unionByName(build_index(changed, fields))
 
 
-def write_index(postings: DataFrame, path: str) -> None:
-    postings.write.mode("errorifexists").partitionBy("bucket").parquet(path)
+def _terms(index: Index, terms: DataFrame) -> DataFrame:
+    """A query's terms with their bucket (a query has a handful of terms)."""
+    return terms.select("term").distinct().withColumn("bucket", bucket_of("term", index.buckets))
 
 
-def _lookup(postings: DataFrame, terms: DataFrame, fields=None) -> DataFrame:
+def _lookup(index: Index, terms: DataFrame, fields=None) -> DataFrame:
     """Postings of the query terms (``terms``: a frame with column ``term``)."""
-    p = postings if fields is None else postings.filter(F.col("field").isin(*fields))
-    return p.join(terms.select("term").distinct(), "term", "left_semi")
+    p = index.postings if fields is None else index.postings.filter(F.col("field").isin(*fields))
+    return p.join(_terms(index, terms), ["bucket", "term"], "left_semi")
 
 
-def match_all(postings: DataFrame, terms: DataFrame, fields=None) -> DataFrame:
+def match_all(index: Index, terms: DataFrame, fields=None) -> DataFrame:
     """D3 AND: ids holding every query term in some searched field."""
     n = terms.select(F.count_distinct("term")).scalar()
-    hits = _lookup(postings, terms, fields).groupBy("message_id").agg(F.count_distinct("term").alias("_n"))
+    hits = _lookup(index, terms, fields).groupBy("message_id").agg(F.count_distinct("term").alias("_n"))
     return hits.filter(F.col("_n") == n).select("message_id")
 
 
-def match_any(postings: DataFrame, terms: DataFrame, fields=None) -> DataFrame:
+def match_any(index: Index, terms: DataFrame, fields=None) -> DataFrame:
     """D3 OR."""
-    return _lookup(postings, terms, fields).select("message_id").distinct()
+    return _lookup(index, terms, fields).select("message_id").distinct()
 
 
-def match_not(postings: DataFrame, include: DataFrame, exclude: DataFrame, fields=None) -> DataFrame:
+def match_not(index: Index, include: DataFrame, exclude: DataFrame, fields=None) -> DataFrame:
     """D3 NOT: ids with all ``include`` terms and none of ``exclude``."""
-    return match_all(postings, include, fields).join(match_any(postings, exclude, fields), "message_id",
-                                                     "left_anti")
+    return match_all(index, include, fields).join(match_any(index, exclude, fields), "message_id", "left_anti")
 
 
-def match_prefix(postings: DataFrame, prefix: str, fields=None) -> DataFrame:
-    """D4 prefix: any term starting with ``prefix``."""
-    p = postings if fields is None else postings.filter(F.col("field").isin(*fields))
+def match_prefix(index: Index, prefix: str, fields=None) -> DataFrame:
+    """D4 prefix: any term starting with ``prefix`` (a pushed-down range on the
+    sorted term column of every bucket)."""
+    p = index.postings if fields is None else index.postings.filter(F.col("field").isin(*fields))
     return p.filter(F.col("term").startswith(prefix.lower())).select("message_id").distinct()
 
 
-def match_phrase(postings: DataFrame, phrase: DataFrame, fields=None) -> DataFrame:
-    """D4 phrase of two terms (``phrase``: one row with ``t1``, ``t2``):
-    positions ``p`` and ``p + 1`` inside the same field of a message."""
-    p = postings if fields is None else postings.filter(F.col("field").isin(*fields))
-    t1 = phrase.select(F.col("t1").alias("term"))
-    t2 = phrase.select(F.col("t2").alias("term"))
-    a = p.join(t1, "term", "left_semi").select("message_id", "field", F.explode("positions").alias("pos"))
-    b = p.join(t2, "term", "left_semi").select("message_id", "field", F.explode(F.transform("positions", lambda x: x - 1)).alias("pos"))
-    return a.join(b, ["message_id", "field", "pos"], "left_semi").select("message_id").distinct()
+def match_phrase(index: Index, phrase: DataFrame, fields=None) -> DataFrame:
+    """D4 phrase of any length (``phrase``: rows ``i``, ``term`` with i from 0):
+    the i-th term stands at position p + i of one field of a message."""
+    words = phrase.select("i", "term").withColumn("bucket", bucket_of("term", index.buckets))
+    n = words.select(F.count(F.lit(1))).scalar()
+    p = index.postings if fields is None else index.postings.filter(F.col("field").isin(*fields))
+    at = p.join(words, ["bucket", "term"]).select("message_id", "field", "i", F.explode("positions").alias("pos"))
+    runs = at.groupBy("message_id", "field", (F.col("pos") - F.col("i")).alias("p")).agg(F.count(F.lit(1)).alias("_n"))
+    return runs.filter(F.col("_n") == n).select("message_id").distinct()
 
 
 def join_back(messages: DataFrame, ids: DataFrame, include_deleted: bool = False) -> DataFrame:
@@ -134,55 +168,47 @@ def join_back(messages: DataFrame, ids: DataFrame, include_deleted: bool = False
     return m.join(ids, "message_id", "left_semi")
 
 
+def search(messages: DataFrame, index: Index, query: SearchQuery, terms: DataFrame | None = None,
+           phrase: DataFrame | None = None, prefix: str | None = None, fields=None) -> tuple[DataFrame, DataFrame]:
+    """C26/C28 over the index: messages that hold all ``terms``, the ``phrase`` and a
+    term with the ``prefix`` (those given), then the query's filters, sorting and
+    paging. Returns (page, all matches)."""
+    m = messages
+    for ids in ([match_all(index, terms, fields)] if terms is not None else []) + \
+            ([match_phrase(index, phrase, fields)] if phrase is not None else []) + \
+            ([match_prefix(index, prefix, fields)] if prefix else []):
+        m = m.join(ids, "message_id", "left_semi")
+    hits = matched(m, query)
+    return page(hits, query), hits
+
+
 # ------------------------------------------------------------------ BM25
-def bm25(postings: DataFrame, terms: DataFrame, field: str = "body", k: int = 100,
-         k1: float = 1.2, b: float = 0.75, live_ids: DataFrame | None = None) -> DataFrame:
-    """Okapi BM25 top-k over one field.
-
-    Corpus statistics (N, avgdl) are one-row aggregates used as scalar
-    subqueries; per-term document frequency is an aggregate over the
-    (few) query-term postings only. Scores are rounded to 9 decimals so
-    ties are stable whatever the summation order.
+def bm25(index: Index, terms: DataFrame, field: str = "body", k: int = 100, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Okapi BM25 top-k over one field of a stored index.
+
+    Lengths and document frequencies are stored; only the query terms' buckets of
+    the postings are read. Scores are rounded to 9 decimals so ties are stable
+    whatever the summation order.
     """
-    fp = postings.filter(F.col("field") == field)
-    if live_ids is not None:
-        fp = fp.join(live_ids, "message_id", "left_semi")
-    dl = fp.groupBy("message_id").agg(F.sum("tf").alias("dl"))
+    dl = index.lengths.filter(F.col("field") == field).select("message_id", "dl")
     n_docs = dl.select(F.count(F.lit(1))).scalar()
     avgdl = dl.select(F.avg("dl")).scalar()
-    q = _lookup(fp, terms)
-    df_t = q.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df_t = index.frequencies.filter(F.col("field") == field).join(_terms(index, terms), ["bucket", "term"], "left_semi")
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    scored = (q.join(df_t, "term").join(dl, "message_id")
-                .select("message_id", (idf * F.col("tf") * (k1 + 1)
-                                       / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("s")))
+    df_t = df_t.select("bucket", "term", idf.alias("idf"))
+    hits = index.postings.filter(F.col("field") == field).join(F.broadcast(df_t), ["bucket", "term"])   # a row per query term
+    scored = (hits.select("message_id", "tf", "idf").join(dl, "message_id")
+                  .select("message_id", (F.col("idf") * F.col("tf") * (k1 + 1)
+                                         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("s")))
     agg = scored.groupBy("message_id").agg(F.round(F.sum("s"), 9).alias("score"))
     return agg.orderBy(F.col("score").desc(), F.col("message_id").asc()).limit(k)
 
 
-def body_term_df(messages: DataFrame, field: str = "body") -> DataFrame:
-    """Document frequency per term of one field without a postings
-    shuffle: terms are made distinct inside each row, so the map-side
-    partial count collapses each task to one row per term seen."""
-    toks = messages.select(F.array_distinct(tokens(F.col(field))).alias("t"))
-    return toks.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def bm25_messages(messages: DataFrame, terms: DataFrame, field: str = "body", k: int = 100,
-                  k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """D6 straight from the messages: document length is ``size(tokens)``
-    per row (no aggregate), and only occurrences of the (few) query terms
-    are exploded, semi-joined and shuffled. Same scores as :func:`bm25`."""
-    docs = messages.select("message_id", tokens(F.col(field)).alias("toks"))
-    docs = docs.withColumn("dl", F.size("toks")).filter(F.col("dl") > 0)
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    avgdl = docs.select(F.avg("dl")).scalar()
-    occ = docs.select("message_id", "dl", F.explode("toks").alias("term")) \
-              .join(terms.select("term").distinct(), "term", "left_semi")
-    tf = occ.groupBy("term", "message_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    scored = tf.join(df_t, "term").select(
-        "message_id", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("s"))
-    agg = scored.groupBy("message_id").agg(F.round(F.sum("s"), 9).alias("score"))
-    return agg.orderBy(F.col("score").desc(), F.col("message_id").asc()).limit(k)
+def top_phrase(messages: DataFrame, n: int, field: str = "body") -> DataFrame:
+    """The run of n tokens that most messages hold (ties: the smaller one), as
+    (i, term) rows; the runs are made inside each row, without a self-join."""
+    t = messages.select(tokens(F.col(field)).alias("t")).filter(F.size("t") >= n)
+    runs = t.select(F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.slice("t", i, n)))).alias("run"))
+    top = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "run").limit(1)
+    return top.select(F.posexplode("run").alias("i", "term"))

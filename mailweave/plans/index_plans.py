@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..operators import index as IX
 from ..operators import search as S
 from ..operators import store as ST
+from ..session import scratch_path
 from ..sources import fixtures as fx
 from .registry import register
 from .sqlfrag import M
@@ -46,17 +47,28 @@ def _m(spark, sf):
     return fx.messages(spark, sf)
 
 
-def _kw(post):
-    """``kw``: 2 most frequent and 2 rarest (df >= 2) body terms."""
-    bdf = post.filter(F.col("field") == "body").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return _kw_from_df(bdf)
+_STORED: dict[tuple[str, str, bool], str] = {}
 
 
-def _kw_from_df(bdf):
-    freq = bdf.orderBy(F.col("df").desc(), "term").limit(2)
-    w = Window.orderBy(F.col("df").desc(), "term")
-    freq = freq.withColumn("r", F.row_number().over(w))
-    rare = bdf.filter(F.col("df") >= 2).orderBy("df", "term").limit(2)
+def _index(spark, sf, live=False):
+    """The archive's stored index: built by the first query of a session that
+    needs it, read by the others."""
+    key = (spark.sparkContext.applicationId, sf, live)
+    if key not in _STORED:
+        m = _m(spark, sf)
+        path = scratch_path(spark, "index")
+        IX.store_index(m.filter(~F.col("is_deleted")) if live else m, path)
+        _STORED[key] = path
+    return IX.load_index(spark, _STORED[key])
+
+
+def _kw(ix):
+    """``kw``: 2 most frequent (r 1, 2) and 2 rarest (df >= 2) body terms, from the
+    stored document frequencies."""
+    df = ix.frequencies.filter(F.col("field") == "body").select("term", "df")
+    freq = df.orderBy(F.col("df").desc(), "term").limit(2)
+    freq = freq.withColumn("r", F.row_number().over(Window.orderBy(F.col("df").desc(), "term")))   # two rows
+    rare = df.filter(F.col("df") >= 2).orderBy("df", "term").limit(2)
     return freq.select("term", "r"), rare.select("term")
 
 
@@ -74,40 +86,36 @@ def q_fts_index(spark, sf):
   SELECT message_id FROM post WHERE term IN (SELECT term FROM kw_freq)
   GROUP BY message_id HAVING count(DISTINCT term) = 2)"""))
 def q_fts_all(spark, sf):
-    m = _m(spark, sf)
-    p = IX.build_index(m)
-    freq, _ = _kw(p)
-    return _ids(IX.join_back(m, IX.match_all(p, freq)))
+    ix = _index(spark, sf)
+    freq, _ = _kw(ix)
+    return _ids(IX.join_back(_m(spark, sf), IX.match_all(ix, freq)))
 
 
 @register("fts_any", sql("""SELECT message_id FROM live WHERE message_id IN (
   SELECT message_id FROM post WHERE term IN (SELECT term FROM kw_rare))"""))
 def q_fts_any(spark, sf):
-    m = _m(spark, sf)
-    p = IX.build_index(m)
-    _, rare = _kw(p)
-    return _ids(IX.join_back(m, IX.match_any(p, rare)))
+    ix = _index(spark, sf)
+    _, rare = _kw(ix)
+    return _ids(IX.join_back(_m(spark, sf), IX.match_any(ix, rare)))
 
 
 @register("fts_not", sql("""SELECT message_id FROM live
 WHERE message_id IN (SELECT message_id FROM post WHERE term = (SELECT term FROM kw_freq WHERE r = 1))
   AND message_id NOT IN (SELECT message_id FROM post WHERE term = (SELECT term FROM kw_freq WHERE r = 2))"""))
 def q_fts_not(spark, sf):
-    m = _m(spark, sf)
-    p = IX.build_index(m)
-    freq, _ = _kw(p)
+    ix = _index(spark, sf)
+    freq, _ = _kw(ix)
     inc, exc = freq.filter("r = 1"), freq.filter("r = 2")
-    return _ids(IX.join_back(m, IX.match_not(p, inc, exc)))
+    return _ids(IX.join_back(_m(spark, sf), IX.match_not(ix, inc, exc)))
 
 
 @register("fts_multifield", sql("""SELECT message_id FROM live WHERE message_id IN (
   SELECT message_id FROM post WHERE term IN (SELECT term FROM kw_rare)
   AND field IN ('subject', 'body', 'sender_email', 'sender_name'))"""))
 def q_fts_multifield(spark, sf):
-    m = _m(spark, sf)
-    p = IX.build_index(m)
-    _, rare = _kw(p)
-    return _ids(IX.join_back(m, IX.match_any(p, rare, IX.TEXT_FIELDS)))
+    ix = _index(spark, sf)
+    _, rare = _kw(ix)
+    return _ids(IX.join_back(_m(spark, sf), IX.match_any(ix, rare, IX.TEXT_FIELDS)))
 
 
 PREFIX = "enth"
@@ -116,30 +124,42 @@ PREFIX = "enth"
 @register("fts_prefix", sql(f"""SELECT message_id FROM live WHERE message_id IN (
   SELECT message_id FROM post WHERE starts_with(term, '{PREFIX}'))"""))
 def q_fts_prefix(spark, sf):
-    m = _m(spark, sf)
-    return _ids(IX.join_back(m, IX.match_prefix(IX.build_index(m), PREFIX)))
+    return _ids(IX.join_back(_m(spark, sf), IX.match_prefix(_index(spark, sf), PREFIX)))
 
 
 PHRASE_CTES = [
-    """bigram AS (SELECT a.term AS t1, b.term AS t2, count(DISTINCT a.message_id) AS n FROM tok a JOIN tok b
-      ON a.message_id = b.message_id AND a.field = b.field AND b.pos = a.pos + 1
-      WHERE a.field = 'body' GROUP BY 1, 2)""",
-    "phrase AS (SELECT t1, t2 FROM bigram ORDER BY n DESC, t1, t2 LIMIT 1)",
+    """trigram AS (SELECT a.term AS t1, b.term AS t2, c.term AS t3, count(DISTINCT a.message_id) AS n
+      FROM tok a JOIN tok b ON a.message_id = b.message_id AND a.field = b.field AND b.pos = a.pos + 1
+      JOIN tok c ON a.message_id = c.message_id AND a.field = c.field AND c.pos = a.pos + 2
+      WHERE a.field = 'body' GROUP BY 1, 2, 3)""",
+    "phrase AS (SELECT t1, t2, t3 FROM trigram ORDER BY n DESC, t1, t2, t3 LIMIT 1)",
+    """hit AS (SELECT DISTINCT a.message_id FROM tok a JOIN tok b
+        ON a.message_id = b.message_id AND a.field = b.field AND b.pos = a.pos + 1
+      JOIN tok c ON a.message_id = c.message_id AND a.field = c.field AND c.pos = a.pos + 2
+      JOIN phrase ON a.term = t1 AND b.term = t2 AND c.term = t3)""",
 ]
 
 
-@register("fts_phrase", sql("""SELECT DISTINCT a.message_id FROM tok a JOIN tok b
-  ON a.message_id = b.message_id AND a.field = b.field AND b.pos = a.pos + 1
-WHERE a.term = (SELECT t1 FROM phrase) AND b.term = (SELECT t2 FROM phrase)
-  AND a.message_id IN (SELECT message_id FROM live)""", *PHRASE_CTES))
+@register("fts_phrase", sql("SELECT message_id FROM live WHERE message_id IN (SELECT message_id FROM hit)", *PHRASE_CTES))
 def q_fts_phrase(spark, sf):
     m = _m(spark, sf)
-    t = IX.token_rows(m, ["body"])
-    nxt = t.select("message_id", "field", (F.col("pos") - 1).alias("pos"), F.col("term").alias("t2"))
-    big = (t.withColumnRenamed("term", "t1").join(nxt, ["message_id", "field", "pos"])
-             .groupBy("t1", "t2").agg(F.count_distinct("message_id").alias("n")))
-    phrase = big.orderBy(F.col("n").desc(), "t1", "t2").limit(1)
-    return _ids(IX.join_back(m, IX.match_phrase(IX.build_index(m), phrase)))
+    return _ids(IX.join_back(m, IX.match_phrase(_index(spark, sf), IX.top_phrase(m, 3))))
+
+
+@register("fts_search_combined", sql(f"""SELECT message_id, size, count(*) OVER () AS total_count FROM live
+WHERE message_id IN (SELECT message_id FROM hit)
+  AND message_id IN (SELECT message_id FROM post WHERE starts_with(term, '{PREFIX}'))
+  AND message_id IN (SELECT message_id FROM post WHERE term = (SELECT term FROM kw_freq WHERE r = 1))
+  AND size BETWEEN 1000 AND 400000 AND is_read
+ORDER BY size DESC, message_id LIMIT 10 OFFSET 3""", *PHRASE_CTES))
+def q_fts_search_combined(spark, sf):
+    m, ix = _m(spark, sf), _index(spark, sf)
+    query = S.build_query(filters=[dict(field="size", operator="between", value=[1000, 400000]),
+                                   dict(field="is_read", operator="eq", value=True)],
+                          sort_field="size", limit=10, offset=3)
+    rows, hits = IX.search(m, ix, query, terms=_kw(ix)[0].filter("r = 1"), phrase=IX.top_phrase(m, 3), prefix=PREFIX)
+    total = hits.select(F.count(F.lit(1))).scalar()
+    return rows.select("message_id", "size", total.alias("total_count"))
 
 
 @register("fts_bm25", sql("""SELECT message_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2
@@ -152,10 +172,8 @@ GROUP BY message_id ORDER BY score DESC, message_id LIMIT 20""",
     "q AS (SELECT * FROM bp WHERE term IN (SELECT term FROM kw_freq UNION SELECT term FROM kw_rare))",
     "dft AS (SELECT term, count(*) AS df FROM q GROUP BY 1)"))
 def q_fts_bm25(spark, sf):
-    m = _m(spark, sf)
-    freq, rare = _kw_from_df(IX.body_term_df(m))
-    terms = freq.select("term").unionByName(rare)
-    return IX.bm25_messages(m.filter(~F.col("is_deleted")), terms, "body", k=20)
+    freq, rare = _kw(_index(spark, sf))
+    return IX.bm25(_index(spark, sf, live=True), freq.select("term").unionByName(rare), "body", k=20)
 
 
 @register("fts_filtered", sql("SELECT message_id FROM live WHERE size BETWEEN 1000 AND 20000 AND NOT is_read"))
