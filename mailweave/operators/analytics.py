@@ -13,6 +13,8 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import landed
+
 MB = 1024 * 1024
 KB = 1024
 
@@ -68,13 +70,13 @@ def _has_sender(df: DataFrame) -> DataFrame:
 def _sender_stats(df: DataFrame) -> DataFrame:
     base = _has_sender(live(df)).select(
         F.col("sender.email").alias("email"), F.col("sender.name").alias("_name"),
-        "is_outgoing", "timestamp", "size")
+        "is_outgoing", "timestamp", "message_id", "size")
     return base.groupBy("email").agg(
         F.count(F.lit(1)).alias("total_messages"),
         F.count_if(F.col("is_outgoing")).alias("sent_count"),
         F.count_if(~F.col("is_outgoing")).alias("received_count"),
         F.max("timestamp").alias("last_contact"),
-        F.max_by("_name", "timestamp").alias("name"),   # F4: name on the newest message
+        F.max_by("_name", F.struct("timestamp", "message_id")).alias("name"),   # F4: name on the newest message
         F.sum("size").cast("bigint").alias("total_size"),
         F.avg("size").alias("avg_size"),
     )
@@ -288,26 +290,44 @@ def replies(df: DataFrame) -> DataFrame:
     """The reply pairs: within a thread ordered by (timestamp, message_id),
     an outgoing message right after an incoming one answers it.
 
-    One shuffle by ``thread_id``; each window partition is sorted once.
+    Neighbours are found inside (thread, day), so a hot thread spreads over its
+    days; the last message of each day is handed to the thread's next day, which
+    takes one row per thread and day.
     """
-    b = live(df).select("thread_id", "message_id", "timestamp", "is_outgoing",
-                        F.col("sender.email").alias("email"))
-    w = Window.partitionBy("thread_id").orderBy("timestamp", "message_id")
-    p = b.select(
-        "thread_id", "message_id", "timestamp", "is_outgoing",
-        F.lag("timestamp").over(w).alias("prev_ts"),
-        F.lag("is_outgoing").over(w).alias("prev_out"),
-        F.lag("email").over(w).alias("prev_email"),
-        F.lag("message_id").over(w).alias("prev_id"),
-    )
-    r = p.filter(F.col("is_outgoing") & (~F.col("prev_out")))
+    me = F.struct("timestamp", "message_id", "is_outgoing", "email")
+    b = (live(df).select("thread_id", "message_id", "timestamp", "is_outgoing", F.col("sender.email").alias("email"))
+         .withColumn("day", F.to_date("timestamp")))
+    w = Window.partitionBy("thread_id", "day").orderBy("timestamp", "message_id")
+    inside = b.withColumn("prev", F.lag(me).over(w))
+    days = b.groupBy("thread_id", "day").agg(F.max(me).alias("last"))
+    carry = days.select("thread_id", "day", F.lag("last").over(Window.partitionBy("thread_id").orderBy("day")).alias("carry"))
+    p = inside.join(carry, ["thread_id", "day"]).withColumn("prev", F.coalesce("prev", "carry"))
+    r = p.filter(F.col("is_outgoing") & (~F.col("prev.is_outgoing")))
     micros = (F.unix_micros(F.col("timestamp").cast("timestamp"))
-              - F.unix_micros(F.col("prev_ts").cast("timestamp")))
-    return r.select("thread_id", F.col("prev_id").alias("incoming_id"), F.col("message_id").alias("reply_id"),
-                    F.col("prev_email").alias("email"), (micros / F.lit(3600e6)).alias("response_hours"),
+              - F.unix_micros(F.col("prev.timestamp").cast("timestamp")))
+    return r.select("thread_id", F.col("prev.message_id").alias("incoming_id"), F.col("message_id").alias("reply_id"),
+                    F.col("prev.email").alias("email"), (micros / F.lit(3600e6)).alias("response_hours"),
                     micros.alias("response_micros"))
 
 
+def exact_median(df: DataFrame, value: str, width: int) -> DataFrame:
+    """One row ``median`` of a bigint column: values are counted in ranges of
+    ``width``, and only the ranges that hold the middle are opened, again as
+    counts per distinct value; no task sees all values."""
+    df, _ = landed(df.select(F.col(value).alias("v")).filter("v is not null").withColumn("cell", F.floor(F.col("v") / width)),
+                   "median")
+    upto = lambda by: Window.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = df.groupBy("cell").count().withColumn("upto", F.sum("count").over(upto("cell")))
+    n = df.select(F.count(F.lit(1))).scalar()
+    lo, hi = F.floor((n - 1) / 2), F.floor(n / 2)
+    holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("count") <= rank)
+    middle = cells.filter(holds(lo) | holds(hi)).select("cell", (F.col("upto") - F.col("count")).alias("before"))
+    values = df.join(F.broadcast(middle), "cell").groupBy("cell", "before", "v").count()   # at most two cells
+    w = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.withColumn("upto", F.col("before") + F.sum("count").over(w))
+    return values.agg(F.min(F.when(holds(lo), F.col("v"))).alias("lo"), F.min(F.when(holds(hi), F.col("v"))).alias("hi"))
+
+
 def contact_response(df: DataFrame) -> DataFrame:
     """G1: average reply delay in hours per e-mail of the incoming sender."""
     r = replies(df).filter(F.col("email").isNotNull() & (F.col("email") != ""))
@@ -319,18 +339,15 @@ def contact_response(df: DataFrame) -> DataFrame:
 
 def response_stats(df: DataFrame) -> DataFrame:
     """Average and median reply delay; rate = replied incoming / incoming."""
-    r = replies(df).agg((F.avg("response_micros") / F.lit(3600e6)).alias("avg_response_hours"),
-                        F.median("response_hours").alias("median_response_hours"),
-                        F.count(F.lit(1)).alias("replied"))
+    pairs, _ = landed(replies(df).select("response_micros"), "replies")
+    r = pairs.agg((F.avg("response_micros") / F.lit(3600e6)).alias("avg_response_hours"), F.count(F.lit(1)).alias("replied"))
+    mid = exact_median(pairs, "response_micros", 60_000_000)
+    hours = lambda c: F.col(c) / F.lit(3600e6)
     inc = live(df).agg(F.count_if(~F.col("is_outgoing")).alias("incoming"))
     return r.select(
         F.coalesce("avg_response_hours", F.lit(0.0)).alias("avg_response_hours"),
-        F.coalesce("median_response_hours", F.lit(0.0)).alias("median_response_hours"),
+        F.coalesce(mid.select((hours("lo") + hours("hi")) / 2).scalar(), F.lit(0.0)).alias("median_response_hours"),
         "replied",
         (F.col("replied") * 100.0 / F.nullif(inc.select("incoming").scalar(), F.lit(0))).alias(
             "response_rate_percentage"),
     )
-
-
-def _check_dt(v) -> _dt.datetime:
-    return v

@@ -1,61 +1,69 @@
 """Summary report (F25) and its sinks.
 
-The report is one row whose columns are the bounded analytic results
-(totals, top-10 contacts, peaks, trends, label top-20, size and thread
-summaries, response stats). Each part is a scalar subquery over the same
-slim base (``body`` is never read), so the report is a single Spark job
-and nothing unbounded is collected: every part is a fixed-size top-k or
-one-row aggregate, or a per-month / per-year series.
+The report is a table (section, key, metric, value): totals, top-10 contacts,
+peaks, trends, label top-20, size and thread summaries, response stats. The few
+columns it needs are landed once, and every section is a small aggregate of
+them; ``body`` is never read. Times are microseconds since 1970.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
 
-from . import analytics as A
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..session import landed
+from . import analytics as A
 
-def _one(df: DataFrame):
-    return df.select(F.struct(*df.columns)).scalar()
+SCHEMA = "section string, key string, metric string, value double"
 
 
-def _many(df: DataFrame):
-    return df.select(F.collect_list(F.struct(*df.columns))).scalar()
+def _rows(section: str, df: DataFrame, key: str | None = None) -> DataFrame:
+    """One row per number of ``df``, under the row's key."""
+    named = F.lit("") if key is None else F.col(key).cast("string")
+    numbers = []
+    for f in df.schema.fields:
+        if f.name == key or isinstance(f.dataType, (T.StringType, T.ArrayType, T.StructType)):
+            continue
+        c = F.col(f.name)
+        c = F.unix_micros(c.cast("timestamp")) if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else c
+        numbers.append(F.struct(F.lit(f.name).alias("metric"), c.cast("double").alias("value")))
+    return df.select(F.lit(section).alias("section"), F.coalesce(named, F.lit("")).alias("key"), F.inline(F.array(*numbers)))
 
 
 def summary_report(messages: DataFrame, as_of, contacts_k: int = 10) -> DataFrame:
-    base = messages.drop("body")
-    spark = messages.sparkSession
-    return spark.range(1).select(
-        F.lit(as_of).cast("timestamp_ntz").alias("generated_at"),
-        _one(A.basic_metrics(base)).alias("basic_metrics"),
-        _many(A.contacts(base, contacts_k, as_of)).alias("top_contacts"),
-        _many(A.peak_hours(base)).alias("peak_hours"),
-        _many(A.peak_days(base)).alias("peak_days"),
-        _many(A.monthly_trend(base, as_of)).alias("monthly_trends"),
-        _many(A.yearly_trend(base)).alias("yearly_trends"),
-        _many(A.label_distribution(base)).alias("label_distribution"),
-        _one(A.size_analysis(base)).alias("size_analysis"),
-        _one(A.thread_analysis(base)).alias("thread_analysis"),
-        _one(A.response_stats(base)).alias("response_stats"),
-    )
+    base, _ = landed(A.live(messages).select("message_id", "thread_id", "sender", "labels", "size", "timestamp", "is_read",
+                                             "is_outgoing", "is_deleted"), "report")
+    return reduce(DataFrame.unionByName, [
+        _rows("basic_metrics", A.basic_metrics(base).drop("avg_size_bytes")),
+        _rows("top_contacts", A.contacts(base, contacts_k, as_of).drop("avg_size"), "email"),
+        _rows("peak_hours", A.peak_hours(base), "hour"),
+        _rows("peak_days", A.peak_days(base), "day_of_week"),
+        _rows("monthly_trends", A.monthly_trend(base, as_of), "month"),
+        _rows("yearly_trends", A.yearly_trend(base), "year"),
+        _rows("label_distribution", A.label_distribution(base), "label"),
+        _rows("size_analysis", A.size_analysis(base).drop("avg_size", "avg_size_kb")),
+        _rows("thread_analysis", A.thread_analysis(base)),
+        _rows("response_stats", A.response_stats(base).drop("response_rate_percentage")),
+    ])
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> str:
-    """The report as JSON (one document) or as a minimal HTML page."""
+    """The report as JSON lines or as an HTML table, sections in order (a
+    report is a few hundred rows, so one file holds it)."""
+    rows = report.orderBy("section", "key", "metric").coalesce(1)
     if fmt == "json":
-        report.write.mode("errorifexists").json(path)
+        rows.write.mode("errorifexists").json(path)
     elif fmt == "html":
-        b = F.col("basic_metrics")
-        html = F.concat(
-            F.lit("<html><body><h1>Email summary</h1><ul>"),
-            F.lit("<li>Total messages: "), b["total_messages"].cast("string"), F.lit("</li>"),
-            F.lit("<li>Sent: "), b["total_sent"].cast("string"), F.lit("</li>"),
-            F.lit("<li>Unread: "), b["total_unread"].cast("string"), F.lit("</li>"),
-            F.lit("<li>Size (MB): "), b["total_size_mb"].cast("string"), F.lit("</li>"),
-            F.lit("</ul><pre>"), F.to_json(F.struct("top_contacts", "peak_hours", "peak_days")),
-            F.lit("</pre></body></html>"))
-        report.select(html.alias("html")).write.mode("errorifexists").text(path)
+        cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+        rows.select(F.concat(F.lit("<tr>"), cell(F.col("section")), cell(F.col("key")), cell(F.col("metric")),
+                             cell(F.col("value").cast("string")), F.lit("</tr>")).alias("html")) \
+            .write.mode("errorifexists").text(path)
     else:
         raise ValueError(f"unknown report format {fmt!r}")
     return path
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A report that was written as JSON."""
+    return spark.read.schema(SCHEMA).json(path).fillna("", ["key"])

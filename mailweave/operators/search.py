@@ -13,7 +13,9 @@ import operator as _op
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import landed
 
 OPERATORS = ("eq", "ne", "lt", "le", "gt", "ge", "like", "not_like", "in", "not_in",
              "between", "is_null", "is_not_null")
@@ -125,12 +127,25 @@ def ordering(df: DataFrame, q: SearchQuery) -> list[Column]:
 
 def page(df: DataFrame, q: SearchQuery) -> DataFrame:
     """H3/H4: falsy limit = no limit; offset works without a limit."""
-    out = df.orderBy(*ordering(df, q))
-    if q.offset:
-        out = out.offset(int(q.offset))
+    order = ordering(df, q)
     if q.limit:
-        out = out.limit(int(q.limit))
-    return out
+        return df.orderBy(*order).offset(int(q.offset or 0)).limit(int(q.limit))
+    return skipped(df, order, int(q.offset)).orderBy(*order) if q.offset else df.orderBy(*order)
+
+
+def skipped(df: DataFrame, order: list[Column], offset: int) -> DataFrame:
+    """All rows but the first ``offset`` in an order, without gathering any: the
+    rows are landed in ranges of the order, the ranges are counted, those before
+    the offset are left out, and only the one that holds it numbers its rows."""
+    ranges, _ = landed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "page")
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = ranges.groupBy("_range").count().withColumn("_upto", F.sum("count").over(upto))   # a row per range
+    counts = counts.select("_range", (F.col("_upto") - F.col("count")).alias("_before"), "_upto").filter(F.col("_upto") > offset)
+    kept = ranges.join(F.broadcast(counts), "_range")
+    whole = kept.filter(F.col("_before") >= offset)
+    part = kept.filter(F.col("_before") < offset).withColumn(
+        "_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")).filter(F.col("_n") > offset)
+    return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
 
 def search(df: DataFrame, q: SearchQuery) -> tuple[DataFrame, DataFrame]:

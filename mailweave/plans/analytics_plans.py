@@ -7,6 +7,7 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..session import landed, scratch_path
 from ..sources import fixtures as fx
 from .registry import register
 from .sqlfrag import AS_OF, AS_OF_ORDERS, LABELS, ORDERS_TL, with_m
@@ -47,7 +48,7 @@ CONTACTS_SQL = f"""SELECT email, coalesce(nullif(name, ''), email, '') AS name,
     AS contact_frequency_score
 FROM (SELECT sender_email AS email, count(*) AS total_messages,
         count_if(is_outgoing) AS sent_count, count_if(NOT is_outgoing) AS received_count,
-        max(timestamp) AS last_contact, max_by(sender_name, timestamp) AS name,
+        max(timestamp) AS last_contact, first(sender_name ORDER BY timestamp DESC, message_id DESC) AS name,
         CAST(avg(size) AS DOUBLE) AS avg_size
       FROM live WHERE sender_email IS NOT NULL AND sender_email <> ''
       GROUP BY sender_email HAVING count(*) >= 2
@@ -66,7 +67,7 @@ def q_contact_frequency(spark, sf):
         "email", "total_messages", "last_contact", "contact_frequency_score")
 
 
-@register("contact_summary", with_m("""SELECT sender_email AS email, max_by(sender_name, timestamp) AS name,
+@register("contact_summary", with_m("""SELECT sender_email AS email, first(sender_name ORDER BY timestamp DESC, message_id DESC) AS name,
   count(*) AS total_messages, count_if(is_outgoing) AS sent_count, count_if(NOT is_outgoing) AS received_count,
   max(timestamp) AS last_contact, CAST(sum(size) AS BIGINT) AS total_size, CAST(avg(size) AS DOUBLE) AS avg_size
 FROM live WHERE sender_email IS NOT NULL AND sender_email <> ''
@@ -230,7 +231,7 @@ def q_metric_retention(spark, sf):
 def q_metrics_upsert(spark, sf):
     """Stored history holds every daily row with a stale value;
     re-collecting the days replaces all of them."""
-    daily = A.daily_metrics(_m(spark, sf))
+    daily, _ = landed(A.daily_metrics(_m(spark, sf)), "metrics")   # A17: the stored metrics are read back
     stale = daily.withColumn("metric_value", F.col("metric_value") - 1)
     return A.metrics_upsert(stale, daily)
 
@@ -265,7 +266,42 @@ def q_response_stats(spark, sf):
     return A.response_stats(_m(spark, sf))
 
 
-@register("summary_report")
+def _section(name: str, body: str, key: str, metrics: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS section, {key} AS key, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM ({body})"
+                              for m, e in metrics.items())
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+REPORT_SQL = with_m(" UNION ALL ".join([
+    _section("basic_metrics", BASIC_SQL, "''", {**_same("total_messages", "total_sent", "total_received", "total_unread",
+             "total_size_bytes", "total_size_mb", "avg_message_size_kb"),
+             "min_date": "epoch_us(min_date)", "max_date": "epoch_us(max_date)"}),
+    _section("top_contacts", CONTACTS_SQL.replace("LIMIT 50", "LIMIT 10"), "email",
+             {**_same("total_messages", "sent_count", "received_count", "contact_frequency_score"), "last_contact": "epoch_us(last_contact)"}),
+    _section("peak_hours", "SELECT CAST(hour(timestamp) AS VARCHAR) AS k, count(*) AS n, hour(timestamp) AS h FROM live "
+             "GROUP BY ALL ORDER BY n DESC, h LIMIT 3", "k", {"count": "n"}),
+    _section("peak_days", "SELECT CAST(dayofweek(timestamp) AS VARCHAR) AS k, count(*) AS n FROM live GROUP BY ALL "
+             "ORDER BY n DESC, k LIMIT 3", "k", {"count": "n"}),
+    _section("monthly_trends", f"SELECT strftime(timestamp, '%Y-%m') AS k, count(*) AS n FROM live "
+             f"WHERE timestamp >= {AS_OF} - INTERVAL 24 MONTH GROUP BY ALL", "k", {"count": "n"}),
+    _section("yearly_trends", "SELECT CAST(year(timestamp) AS VARCHAR) AS k, count(*) AS n FROM live GROUP BY ALL", "k", {"count": "n"}),
+    _section("label_distribution", f"SELECT label, count(*) AS n FROM (SELECT unnest({LABELS}) AS label FROM live) "
+             "GROUP BY label ORDER BY n DESC, label LIMIT 20", "label", {"count": "n"}),
+    _section("size_analysis", "SELECT * FROM live", "''", {
+        "min_size_bytes": "min(size)", "max_size_mb": "round(max(size) / 1048576, 2)", "very_small": "count_if(size < 1024)",
+        "small": "count_if(size BETWEEN 1024 AND 10240)", "medium": "count_if(size BETWEEN 10240 AND 102400)",
+        "large": "count_if(size BETWEEN 102400 AND 1048576)", "very_large": "count_if(size > 1048576)"}),
+    _section("response_stats", "SELECT * FROM r", "''", {
+        "avg_response_hours": "coalesce(avg(response_micros) / 3600e6, 0)",
+        "median_response_hours": "coalesce(median(response_hours), 0)", "replied": "count(*)"}),
+]), REPLIES)
+
+
+@register("summary_report", REPORT_SQL)
 def q_summary_report(spark, sf):
-    from ..operators.report import summary_report
-    return summary_report(_m(spark, sf), fx.AS_OF)
+    from ..operators import report as R
+    path = R.write_report(R.summary_report(_m(spark, sf), fx.AS_OF), scratch_path(spark, "report"))   # A18
+    return R.read_report(spark, path).where("section <> 'thread_analysis'")

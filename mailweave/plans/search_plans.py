@@ -127,6 +127,11 @@ def q_search_sorted(spark, sf):
     return _run(spark, sf, sort_field="subject", sort_order="ASC", limit=50)
 
 
+@register("search_offset", _sql("size >= 1000", "ORDER BY size, message_id OFFSET 40"))
+def q_search_offset(spark, sf):
+    return _run(spark, sf, filters=[dict(field="size", operator="ge", value=1000)], sort_field="size", sort_order="ASC", offset=40)
+
+
 @register("search_page", _sql("true", "ORDER BY timestamp DESC, message_id LIMIT 50 OFFSET 100"))
 def q_search_page(spark, sf):
     return _run(spark, sf, limit=50, offset=100)
