@@ -8,6 +8,8 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import landed
+
 # Default attachment limits (size in MB, allowed extensions).
 MAX_SIZE_MB = 100
 ALLOWED_TYPES = ["pdf", "doc", "docx", "txt", "jpg", "jpeg", "png", "gif"]
@@ -125,7 +127,7 @@ def duplicates(att: DataFrame) -> DataFrame:
     hot hash costs one row per task); the join back is a plain equi-join
     that AQE's skew handling splits if one hash holds many files. No group
     is ever collected into a list."""
-    h = att.select("message_id", "path", F.md5("content").alias("md5"))
+    h, _ = landed(att.select("message_id", "path", F.md5("content").alias("md5")), "hashes")   # contents are hashed once
     counts = h.groupBy("md5").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
     return h.join(counts, "md5")
 

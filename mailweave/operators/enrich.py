@@ -44,15 +44,18 @@ class TransformChain:
     def ordered(self) -> list[Transform]:
         return [fn for _, _, fn in sorted(self._items, key=lambda x: (-x[0], x[1]))]
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    def apply(self, value: Any) -> Any:
+        """The value after every transform. A transform that does not fit (on a
+        frame: whose plan can't be analysed) is skipped."""
         for fn in self.ordered():
             try:
-                out = df.transform(fn)
-                out.schema  # noqa: B018  (forces analysis now, on the driver)
-                df = out
-            except (AnalysisException, TypeError, ValueError) as e:
+                out = fn(value)
+                if isinstance(out, DataFrame):
+                    out.schema  # noqa: B018  (forces analysis now, on the driver)
+                value = out
+            except (AnalysisException, AttributeError, TypeError, ValueError) as e:
                 log.warning("transform %s skipped in chain %s: %s", getattr(fn, "__name__", fn), self.name, e)
-        return df
+        return value
 
 
 @dataclass
@@ -83,8 +86,8 @@ class HookPoint:
 
 # The core filter points and hook points.
 FILTER_POINTS = ["message_content", "message_metadata", "search_query", "export_data"]
-HOOK_POINTS = ["before_sync", "after_sync", "before_message_process", "after_message_process",
-               "before_message_save", "after_message_save", "sync_complete", "sync_error"]
+HOOK_POINTS = ["before_message_sync", "after_message_sync", "before_message_process", "after_message_process",
+               "before_database_save", "after_database_save", "sync_complete", "sync_error"]
 
 
 class Registry:
@@ -102,8 +105,9 @@ class Registry:
     def get_hook(self, name: str) -> HookPoint:
         return self.hooks.setdefault(name, HookPoint(name))
 
-    def apply_filter(self, name: str, df: DataFrame) -> DataFrame:
-        return self.get_filter(name).apply(df)
+    def apply_filter(self, name: str, value: Any) -> Any:
+        """A frame, or what the point is about (``search_query``: the search spec)."""
+        return self.get_filter(name).apply(value)
 
     def call_hook(self, name: str, *args, **kwargs) -> list[Any]:
         return self.get_hook(name).call(*args, **kwargs)
@@ -159,3 +163,21 @@ def batch_transform(df: DataFrame, fn: Callable, schema: T.StructType | str) ->
         for b in batches:
             yield fn(b)
     return df.mapInPandas(run, schema)
+
+
+def grouped_transform(df: DataFrame, keys: list[str], fn: Callable, schema: T.StructType | str) -> DataFrame:
+    """Run a pandas ``DataFrame -> DataFrame`` function on each group of rows; a
+    group has to fit one task, so choose keys with small groups."""
+    return df.groupBy(*keys).applyInPandas(fn, schema)
+
+
+def expanded(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
+    """Run a ``row dict -> iterable of row dicts`` function: none, one or many rows
+    out of each, batch by batch."""
+    import pandas as pd
+    names = T.StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([o for r in b.to_dict("records") for o in fn(r)], columns=names)
+    return df.mapInPandas(run, schema)

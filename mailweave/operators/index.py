@@ -117,8 +117,10 @@ def maintain_index(postings: DataFrame, changed: DataFrame, fields=FIELDS) -> Da
 
 
 def _terms(index: Index, terms: DataFrame) -> DataFrame:
-    """A query's terms with their bucket (a query has a handful of terms)."""
-    return terms.select("term").distinct().withColumn("bucket", bucket_of("term", index.buckets))
+    """A query's terms with their bucket (a query has a handful of terms). The
+    empty term is in no index; filtering it out also tells the optimizer that
+    the terms are selective, without which it prunes no partitions."""
+    return terms.select("term").distinct().filter(F.length("term") > 0).withColumn("bucket", bucket_of("term", index.buckets))
 
 
 def _lookup(index: Index, terms: DataFrame, fields=None) -> DataFrame:
@@ -154,7 +156,7 @@ def match_prefix(index: Index, prefix: str, fields=None) -> DataFrame:
 def match_phrase(index: Index, phrase: DataFrame, fields=None) -> DataFrame:
     """D4 phrase of any length (``phrase``: rows ``i``, ``term`` with i from 0):
     the i-th term stands at position p + i of one field of a message."""
-    words = phrase.select("i", "term").withColumn("bucket", bucket_of("term", index.buckets))
+    words = phrase.select("i", "term").filter(F.length("term") > 0).withColumn("bucket", bucket_of("term", index.buckets))
     n = words.select(F.count(F.lit(1))).scalar()
     p = index.postings if fields is None else index.postings.filter(F.col("field").isin(*fields))
     at = p.join(words, ["bucket", "term"]).select("message_id", "field", "i", F.explode("positions").alias("pos"))

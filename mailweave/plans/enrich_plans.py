@@ -84,19 +84,18 @@ def q_custom_data_filter(spark, sf):
              .select("message_id", "attachment_count", pr.alias("priority")))
 
 
-def _body_chars(s):
-    return s.str.len().astype("Int64")
+def _plain_letters(s):
+    """Letters without their accents: nothing built in does it."""
+    import unicodedata
+    return s.map(lambda x: None if x is None else "".join(
+        c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
 
 
-@register("udf_adapter", with_m("""SELECT message_id, CAST(length(body) AS BIGINT) AS body_chars,
-  CAST(length(subject) AS BIGINT) AS subject_chars FROM m"""))
+@register("udf_adapter", with_m("""SELECT message_id, strip_accents(subject) AS plain_subject, subject IS NOT NULL AS has_subject FROM m"""))
 def q_udf_adapter(spark, sf):
-    chars = EN.scalar_udf(_body_chars, "bigint")
-    m = fx.messages(spark, sf).select("message_id", "subject", "body")
+    plain = EN.scalar_udf(_plain_letters, "string")
+    m = fx.messages(spark, sf).select("message_id", plain(F.col("subject")).alias("plain_subject"))
 
-    def subject_len(pdf):
-        return pdf.assign(subject_chars=pdf["subject"].str.len().astype("Int64"))[["message_id", "subject_chars"]]
-
-    per_batch = EN.batch_transform(m.select("message_id", "subject"), subject_len,
-                                   "message_id string, subject_chars bigint")
-    return m.select("message_id", chars(F.col("body")).alias("body_chars")).join(per_batch, "message_id")
+    def flags(pdf):
+        return pdf.assign(has_subject=pdf["plain_subject"].notna())
+    return EN.batch_transform(m, flags, "message_id string, plain_subject string, has_subject boolean")

@@ -35,4 +35,5 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{mod}")
 
 
-PLAN_MODULES = ["analytics_plans", "search_plans", "store_plans", "parse_plans", "index_plans", "export_plans", "attachment_plans", "enrich_plans", "stream_plans"]
+PLAN_MODULES = ["analytics_plans", "search_plans", "store_plans", "parse_plans", "index_plans", "export_plans", "attachment_plans", "enrich_plans", "stream_plans",
+                "function_plans"]

@@ -68,9 +68,18 @@ def evolve_schema(df: DataFrame, from_version: int = 0) -> DataFrame:
     return df
 
 
-def schema_version_frame(spark, version: int):
-    """The one-row ``schema_version`` table (0 when nothing was recorded)."""
-    return spark.range(1).select(F.lit(int(version)).cast("bigint").alias("version"))
+def read_version(spark, path: str) -> int:
+    """The version recorded beside a table; 0 when nothing was recorded."""
+    from .session import folders
+    names = [n for n in folders(spark, f"{path}/_schema_version") if n.startswith("version=")]
+    return max((int(n[8:]) for n in names), default=0)
+
+
+def write_version(spark, path: str, version: int) -> None:
+    """Record a version: one row in a folder of its own, so a repeated write or a
+    reader in between sees either the old version or the new one."""
+    row = spark.range(1).select(F.lit(int(version)).cast("bigint").alias("value"))
+    row.write.mode("overwrite").parquet(f"{path}/_schema_version/version={int(version)}")
 
 
 def sender_email() -> Column:
