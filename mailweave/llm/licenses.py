@@ -47,8 +47,11 @@ NAMES = {
     "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license"),
     "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause license"),
     "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "BSD-3-Clause license"),
-    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0 license"),
-    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0 license"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC BY 4.0 license"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC BY-NC 4.0 license"),
+    "CC-BY-NC-SA-4.0": ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC-SA 4.0"),
+    "CC-BY-ND-4.0": ("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC BY-SA 4.0 license"),
     "CC0-1.0": ("Creative Commons Zero v1.0 Universal dedication", "CC0 1.0 public domain dedication"),
     "GPL-2.0": ("GNU General Public License, version 2", "GNU GPL v2", "GPL-2.0 license"),
     "GPL-3.0": ("GNU General Public License, version 3", "GNU GPL v3", "GPL-3.0 license"),
@@ -56,10 +59,13 @@ NAMES = {
     "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPL-3.0 license"),
     "MIT": ("MIT License", "Expat (MIT) License"),
     "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0 license"),
+    "Proprietary": ("All rights reserved",),
 }
-GRANTS = ("Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.",
+GRANTS = ("Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.",
           "Distributed under the terms of the {}.", "This software is made available under the {}.",
           "SPDX-License-Identifier: {}")
+#: Families whose names are statements of their own.
+PLAIN = ("Proprietary",)
 #: Opening words of the licences' own notices (fixed values).
 NOTICES = {
     "Apache-2.0": ("you may not use this file except in compliance with the License. You may obtain a copy of the License at",
@@ -79,7 +85,7 @@ NOTICES = {
 #: Sentences about licences that grant none; they train the class without licence.
 TALK = ("Please read the license before you use this software.", "A driving license is required for this job.",
         "The license plate was found under the car.", "We released the version on Monday under a new name.",
-        "The public was free to use the software at the university.", "All rights reserved.",
+        "The public was free to use the software at the university.", "All seats were reserved for the rights group.",
         "Terms and conditions apply to every copy that is distributed.", "He works for the Apache foundation in version control.")
 
 FAMILIES = tuple(sorted(NAMES))
@@ -87,7 +93,7 @@ FAMILIES = tuple(sorted(NAMES))
 
 def notices() -> list[tuple[str, str]]:
     """(family, text) of every notice."""
-    out = [(k, g.format(n)) for k in FAMILIES for n in NAMES[k] for g in GRANTS]
+    out = [(k, g.format(n)) for k in FAMILIES for n in NAMES[k] for g in (("{}.",) if k in PLAIN else GRANTS)]
     return out + [(k, t) for k in FAMILIES for t in NOTICES.get(k, ())]
 
 

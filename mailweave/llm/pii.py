@@ -192,7 +192,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     check = ((10 - luhn(body, False) % 10) % 10).cast("string")
     valid = luhn(canon, True) % 10 == 0
     card = F.concat(body, F.when(valid, check).otherwise(F.substr(digits, F.length(canon))))
-    lead = F.regexp_extract(canon, r"^(\+[1-9][0-9]|0)", 1)
+    lead = F.regexp_extract(canon, r"^(\+[17]|\+[2-9][0-9]|0)", 1)
     phone = F.concat(lead, F.substr(digits, F.length(lead) + 1), more)
     iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(digits, F.lit(3)), more)
     prefix = F.regexp_extract(canon, r"^(AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ)", 1)

@@ -377,7 +377,7 @@ def test_licences_on_documents(docs, texts):
     assert model.accuracy > 0.9
     got = {r.doc_id: r for r in licenses.scanned(docs, model).collect()}
     marks = {"MIT": "under the MIT License", "Apache-2.0": "Apache License, Version 2.0",
-             "GPL-3.0": "GNU General Public License, version 3"}
+             "GPL-3.0": "GNU General Public License, version 3", "CC-BY-NC-4.0": "under CC BY-NC 4.0", "Proprietary": "All rights reserved"}
     for d, t in texts.items():
         want = {k for k, m in marks.items() if m.lower() in t.lower()}
         assert want <= set(got[d].licenses) and (want or got[d].license is None)
