@@ -68,10 +68,11 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     hosts = staged(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").alias("k"))
                    .where("n > 0").withColumn("domain", domain_of(F.col("host")))
                    .withColumn("suffix", suffix_of(F.col("host"))), "host_counts")
-    prior = global_prior(hosts)
+    prior = staged(global_prior(hosts), "host_prior")
+    pa, pb = prior.select("a").scalar(), prior.select("b").scalar()
     up = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffix = (up.groupBy("suffix").agg(F.sum("n").alias("sn"), F.sum("k").alias("sk")).crossJoin(F.broadcast(prior))
-              .select("suffix", ((F.col("a") + F.col("sk")) / (F.col("a") + F.col("b") + F.col("sn"))).alias("sm")))
+    suffix = (up.groupBy("suffix").agg(F.sum("n").alias("sn"), F.sum("k").alias("sk"))
+              .select("suffix", ((pa + F.col("sk")) / (pa + pb + F.col("sn"))).alias("sm")))
     domain = (up.join(suffix, "suffix")
               .select("domain", "suffix", ((F.col("sm") * DOMAIN_STRENGTH + F.col("k"))
                                            / (F.col("n") + DOMAIN_STRENGTH)).alias("dm")))
@@ -113,11 +114,11 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float
         F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0)
     marks = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")).where("bad is not null")
     rep = staged(reputations(p.select("page_id", "host").join(marks, "page_id").select("host", "bad")), "host_reputation")
-    other = rep.where("host is null").select(F.col("lower").alias("_prior"))
+    other = rep.where("host is null").select("lower").scalar()
     known = rep.where("host is not null").select(F.col("host").alias("_host"), "lower")
     fit = rule_of(F.col("host"), F.col("path"), rules)
-    lower = F.coalesce("lower", "_prior")
-    return (p.join(known, F.col("host") == F.col("_host"), "left").crossJoin(F.broadcast(other))
+    lower = F.coalesce("lower", other)
+    return (p.join(known, F.col("host") == F.col("_host"), "left")
             .withColumn("_fit", fit)
             .select("page_id", "host", "path", F.col("_fit.rule").alias("rule"),
                     F.coalesce(F.col("_fit.verdict"), F.when(lower > max_bad, "block").otherwise("allow")).alias("verdict"),
