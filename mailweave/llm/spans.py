@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,30 +105,26 @@ def repeats(docs: DataFrame, name: str = "spans") -> DataFrame:
                                              F.array_sort(mine).alias("first_docs"))
 
 
-def cut(texts, cuts) -> tuple[list, list[int], list[int]]:
-    """(kept texts, sentences, removed sentences) of Python texts and their sentence ranges."""
-    out, count, gone = [], [], []
-    for text, ranges in zip(texts, cuts, strict=True):
-        if text is None:
-            out.append(None)
-            count.append(0)
-            gone.append(0)
-            continue
-        raw = text.encode()
-        _, start, *_ = sentences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        drop = np.zeros(len(start) + 1, np.int64)
-        for r in ranges or ():
-            drop[r["first"]] += 1
-            drop[r["after"]] -= 1
-        drop = np.cumsum(drop)[:-1] > 0
-        count.append(len(start))
-        gone.append(int(drop.sum()))
-        if drop.any():
-            stop = np.append(start[1:], len(raw))
-            raw = raw[:start[0]] + b"".join(raw[a:b] for a, b, d in zip(start, stop, drop, strict=True) if not d)
-            text = raw.decode()
-        out.append(text)
-    return out, count, gone
+def cut(data: np.ndarray, off: np.ndarray, cuts: pa.ListArray):
+    """(kept bytes, their offsets, sentences, removed sentences) of a slice of
+    texts and the sentence ranges to remove from each."""
+    doc, start, *_ = sentences(data, off)
+    n = len(off) - 1
+    base = np.searchsorted(doc, np.arange(n + 1))
+    size = cuts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row, ranges = np.repeat(np.arange(n), size), cuts.flatten()
+    drop = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(drop, base[row] + ranges.field("first").to_numpy(), 1)
+    np.add.at(drop, base[row] + ranges.field("after").to_numpy(), -1)
+    drop = np.cumsum(drop)[:-1] > 0
+    stop = np.append(start[1:], len(data))
+    stop = np.minimum(stop, off[doc + 1]) if len(doc) else stop[:0]
+    keep = np.zeros(len(data) + 1, np.int32)
+    np.add.at(keep, start[drop], 1)
+    np.add.at(keep, stop[drop], -1)
+    keep = np.cumsum(keep)[:-1] == 0
+    at = np.append(0, np.cumsum(keep))
+    return data[keep], at[off], np.diff(base), np.bincount(doc[drop], minlength=n)
 
 
 def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), name: str = "spans") -> DataFrame:
@@ -145,14 +142,10 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), name: str = "spans
 
     def run(batches):
         for b in batches:
-            text, count, gone = [], [], []
-            counted, data_off = vec.buffers(b.column(1))
-            for a, z in vec.slices(np.diff(data_off)):
-                t, c, g = cut(b.column(1).slice(a, z - a).to_pylist(), b.column(2).slice(a, z - a).to_pylist())
-                text += t
-                count += c
-                gone += g
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(text, pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64()),
-                 *b.columns[3:]], names=schema.names)
+            for part, data, off in vec.text_slices(b):
+                raw, at, count, gone = cut(data, off, part.column(2))
+                text = pa.StringArray.from_buffers(len(part), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw))
+                text = pc.if_else(pc.is_null(part.column(1)), pa.scalar(None, pa.string()), text)
+                yield pa.RecordBatch.from_arrays([part.column(0), text, pa.array(count), pa.array(gone), *part.columns[3:]],
+                                                 names=schema.names)
     return d.mapInArrow(run, schema)

@@ -16,7 +16,7 @@ U64 = np.uint64
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``.
 WHITE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: Text bytes handled at once; bounds the temporaries of a task (about 80 bytes each).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
