@@ -1,8 +1,8 @@
 """Links between similar items without pairs of whole groups.
 
 Items (``node``, a 64-bit id of one distinct content) that share a join key form
-a family around the key's smallest node. A family's rows meet in cells of
-bounded size; inside a cell a numpy test on compact payloads finds the pairs
+a family around the key's smallest node. Families meet in cells of bounded
+size; inside a family a numpy test on compact payloads finds the pairs
 that may be similar, and only as many of them as could join two still separate
 parts are handed on to the exact check. If a handed-on pair fails the check,
 the families it came from are looked at again with what is known by then, until
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import components, empty, staged, whole_groups
 
 #: Rows and payload bytes of one cell at most (two parts of it are compared).
-CELL_ROWS, CELL_BYTES = 2000, 16_000_000
+CELL_ROWS, CELL_BYTES = 20_000, 16_000_000
 BITMAP_BITS = 1 << 27
 
 
@@ -53,71 +53,94 @@ def members_of(keys: DataFrame, name: str) -> DataFrame:
     return staged(keys.join(shared, "key").select("band", "center", "node").distinct(), f"{name}_members")
 
 
-def cells(members: DataFrame, payload: DataFrame, name: str) -> DataFrame:
-    """Rows (band, center, pa, pb, part, node, size, payload): a family of more
-    than a cell's rows or bytes is cut into g parts by node, and part p meets
-    part q in cell (p, q)."""
-    rows = staged(members.join(payload, ["band", "node"]), f"{name}_rows")
-    big = (rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("b"))
-           .withColumn("g", F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("b") / CELL_BYTES)))
-           .where("g > 1").select("band", "center", "g"))
-    rows = rows.join(staged(big, f"{name}_big"), ["band", "center"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "g").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("g") - 1).cast("int"))))
-    return rows.select("band", "center", F.least("part", "other").alias("pa"), F.greatest("part", "other").alias("pb"),
-                       "part", "node", "size", "payload")
+def cells(members: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+    """Where families meet, ids only: rows (band, g1, g2, pa, pb, part, node,
+    centers). Families that hang together go to one cell, so that an item's
+    payload travels there once; what hangs together but exceeds a cell is cut by
+    center, and a family that alone exceeds one is cut into parts by node, of
+    which part p meets part q in cell (p, q)."""
+    rows = staged(members.join(sizes, ["band", "node"]), f"{name}_sized")
+    family = rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    cut = F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("b") / CELL_BYTES))
+    big = staged(family.withColumn("g", cut).where("g > 1").select("band", "center", "g"), f"{name}_big")
+    grid = rows.join(big, ["band", "center"]).withColumn("part", F.pmod(F.xxhash64("node"), "g").cast("int"))
+    grid = grid.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("g") - 1).cast("int"))))
+    grid = grid.select("band", F.col("center").alias("g1"), F.lit(-1).alias("g2"), F.least("part", "other").alias("pa"),
+                       F.greatest("part", "other").alias("pb"), "part", "node", F.array("center").alias("centers"))
+    small = rows.join(big, ["band", "center"], "left_anti")
+    own, middle = F.xxhash64("band", "node"), F.xxhash64("band", "center")
+    whole = components(small.select(middle.alias("a"), own.alias("b")), f"{name}_whole")
+    small = staged(small.withColumn("id", middle).join(whole, "id"), f"{name}_whole")
+    load = small.dropDuplicates(["component", "band", "node"]).groupBy("component").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("b")).select("component", cut.alias("g"))
+    small = small.join(staged(load, f"{name}_load"), "component")
+    small = small.withColumn("g2", F.pmod(F.xxhash64("center"), "g").cast("int"))
+    small = small.groupBy("band", F.col("component").alias("g1"), "g2", "node").agg(F.collect_set("center").alias("centers"))
+    zero = F.lit(0)
+    return small.select("band", "g1", "g2", zero.alias("pa"), zero.alias("pb"), zero.alias("part"), "node", "centers").union(grid)
 
 
 def pairs_in(rows: pa.Table, close: Callable, most: int | None):
-    """(a, b) node pairs of one cell that may link and lie in different known
-    components. ``most`` None: only enough pairs to join everything; otherwise up
-    to ``most`` partners of each row."""
+    """(a, b) node pairs of one cell that share a family, may link and lie in
+    different known components. ``most`` None: only enough pairs to join
+    everything; otherwise up to ``most`` partners of each row in each family."""
     node = rows.column("node").to_numpy()
-    if len(node) < 2:
-        return []
     order = np.argsort(node, kind="stable")
     node = node[order]
+    pick = pa.array(order)
     size = rows.column("size").to_numpy()[order]
     part = rows.column("part").to_numpy()[order]
     root = rows.column("known").to_numpy()[order].copy()
-    data = rows.column("payload").combine_chunks().take(pa.array(order)).to_pylist()
-    x = np.frombuffer(b"".join(data), np.uint8).reshape(len(node), -1)
+    data = rows.column("payload").combine_chunks().take(pick).to_pylist()
+    fill = -len(data[0]) % 8
+    x = np.frombuffer(b"".join(d + bytes(fill) for d in data), np.uint64).reshape(len(node), -1)
     split = rows.column("pa")[0].as_py() != rows.column("pb")[0].as_py()
-    denied = rows.column("denied").combine_chunks().take(pa.array(order))
-    any_denied = bool(np.any(denied.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    denied = rows.column("denied").combine_chunks().take(pick)
+    any_denied = denied.null_count < len(denied)
+    centers = rows.column("centers").combine_chunks().take(pick)
+    owner = np.repeat(np.arange(len(node)), centers.value_lengths().to_numpy(zero_copy_only=False))
+    by = np.argsort(centers.flatten().to_numpy(), kind="stable")
+    cut = np.flatnonzero(np.diff(centers.flatten().to_numpy()[by])) + 1
     out = []
-    for i in range(len(node) - 1):
-        rest = slice(i + 1, None)
-        may = root[rest] != root[i]
-        if split:
-            may &= part[rest] != part[i]
-        at = np.flatnonzero(may)
-        if len(at):
-            at = at[close(x[i], size[i], x[rest][at], size[rest][at])] + i + 1
-        if len(at) and any_denied and denied[i].as_py():
-            at = at[~np.isin(node[at], denied[i].as_py())]
-        if most is not None:
-            out += [(int(node[i]), int(node[j])) for j in at[:most]]
-            continue
-        while len(at):
-            j = at[0]
-            out.append((int(node[i]), int(node[j])))
-            root[root == root[j]] = root[i]
-            at = at[root[at] != root[i]]
+    for family in np.split(owner[by], cut):
+        own, n = np.ascontiguousarray(x[family].T), size[family]   # words by item, so that sums run along items
+        for k, i in enumerate(family[:-1]):
+            rest = family[k + 1:]
+            may = root[rest] != root[i]
+            if split:
+                may &= part[rest] != part[i]
+            left = np.count_nonzero(may)
+            if not left:
+                continue
+            if 2 * left < len(rest):
+                at = np.flatnonzero(may)
+                at = rest[at[close(own[:, k:k + 1], n[k], own[:, k + 1:][:, at], n[k + 1:][at])]]
+            else:
+                at = rest[may & close(own[:, k:k + 1], n[k], own[:, k + 1:], n[k + 1:])]
+            if len(at) and any_denied and denied[i].as_py():
+                at = at[~np.isin(node[at], denied[i].as_py())]
+            if most is not None:
+                out += [(int(node[i]), int(node[j])) for j in at[:most]]
+                continue
+            while len(at):
+                j = at[0]
+                out.append((int(node[i]), int(node[j])))
+                root[root == root[j]] = root[i]
+                at = at[root[at] != root[i]]
     return out
 
 
-KEYS = ["band", "center", "pa", "pb"]
+KEYS = ["band", "g1", "g2", "pa", "pb"]
 
 
-def candidates(rows: DataFrame, close: Callable, most: int | None) -> DataFrame:
-    """Distinct (a, b) from the cells of ``rows``."""
+def candidates(rows: DataFrame, payload: DataFrame, close: Callable, most: int | None) -> DataFrame:
+    """Distinct (a, b) from the cells of ``rows``, joined with the payloads."""
     def run(batches):
         for table in whole_groups(batches, KEYS):
-            cols = [table.column(k).to_numpy() for k in KEYS]
             change = np.zeros(len(table), bool)
             change[0] = True
-            for c in cols:
+            for k in KEYS:
+                c = table.column(k).to_numpy()
                 change[1:] |= c[1:] != c[:-1]
             first = np.append(np.flatnonzero(change), len(table))
             out = []
@@ -127,20 +150,22 @@ def candidates(rows: DataFrame, close: Callable, most: int | None) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()),
                                                   pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
-    dealt = rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    dealt = rows.join(payload, ["band", "node"]).repartition(*KEYS).sortWithinPartitions(*KEYS)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def links(members: DataFrame, payload: DataFrame, close: Callable, verify: Callable, name: str) -> DataFrame:
     """Checked links (a, b, ...) that connect whatever is linked.
 
-    ``payload`` has (band, node, size, payload binary), of one length in a band.
-    ``close(x, n, xs, ns)`` says which rows may link with the first;
+    ``payload`` has (band, node, size, payload binary), of one length in a band; it
+    comes back filled up with zeros, a column of 64-bit words for each item.
+    ``close(x, n, xs, ns)`` says which of the others may link with the first;
     ``verify(pairs)`` returns (a, b, ok, ...) for every pair."""
     spark: SparkSession = members.sparkSession
-    rows = staged(cells(members, payload, name), f"{name}_cells")
+    sizes = payload.select("band", "node", F.octet_length("payload").alias("bytes"))
+    rows = staged(cells(members, sizes, name), f"{name}_cells")
     blank = rows.withColumn("known", F.col("node")).withColumn("denied", F.lit(None).cast("array<bigint>"))
-    pairs, most, done, refused = staged(candidates(blank, close, None), f"{name}_pairs"), 4, None, None
+    pairs, most, done, refused = staged(candidates(blank, payload, close, None), f"{name}_pairs"), 4, None, None
     while True:
         checked = staged(verify(pairs), f"{name}_checked")
         ok, no = checked.where("ok"), checked.where("not ok").select("a", "b")
@@ -155,11 +180,11 @@ def links(members: DataFrame, payload: DataFrame, close: Callable, verify: Calla
                  .join(known.withColumnsRenamed({"node": "b", "known": "kb"}), "b", "left")
                  .where(F.coalesce("ka", "a") != F.coalesce("kb", "b")).select("a", "b"))
         again = rows.join(staged(apart.select(F.col("a").alias("node")).distinct(), f"{name}_apart"), "node", "left_semi")
-        open_ = rows.join(again.select("band", "center").distinct(), ["band", "center"], "left_semi")
+        open_ = rows.join(again.select(*KEYS).distinct(), KEYS, "left_semi")
         denied = refused.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("denied"))
         open_ = (open_.join(known, "node", "left").join(denied, "node", "left")
                  .withColumn("known", F.coalesce("known", "node")))
-        pairs = staged(candidates(open_, close, most), f"{name}_pairs")
+        pairs = staged(candidates(open_, payload, close, most), f"{name}_pairs")
         if pairs.isEmpty():
             return done.drop("ok")
         most *= 4

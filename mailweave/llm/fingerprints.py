@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> tup
     least = percent / 100 - 0.2
 
     def close(x, n, xs, ns):
-        return (xs.view(np.uint16) == x.view(np.uint16)).mean(1) >= least
+        return (np.ascontiguousarray(xs.T).view(np.uint16) == np.ascontiguousarray(x.T).view(np.uint16)).mean(1) >= least
 
     def node_of(data, off, doc, h, n):
         return nodes_of(signatures(data, off, k))

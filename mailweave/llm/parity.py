@@ -184,7 +184,7 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90, name: str = "op5") ->
     members = families.members_of(sketch.select("band", "node", F.explode("keys").alias("key")), name)
 
     def close(x, n, xs, ns):
-        far = np.bitwise_count(xs.view(np.uint32) ^ x.view(np.uint32)).sum(1, dtype=np.int64)
+        far = np.bitwise_count(xs ^ x).sum(0, dtype=np.uint32).astype(np.int64)
         total = ns + n
         return (far * (100 + percent) <= total * (100 - percent)) & \
             (np.minimum(ns, n) * 100 >= percent * np.maximum(ns, n))
