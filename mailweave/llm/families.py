@@ -5,8 +5,9 @@ a family around the key's smallest node. Families meet in cells of bounded
 size; inside a family a numpy test on compact payloads finds the pairs
 that may be similar, and only as many of them as could join two still separate
 parts are handed on to the exact check. If a handed-on pair fails the check,
-the families it came from are looked at again with what is known by then, until
-nothing is open. So every link between different contents is found or implied
+the families it came from are looked at again with what is known by then, with
+a growing number of partners for each row, until nothing is open and no row had
+more partners than it handed on. So every link between different contents is found or implied
 by a chain of checked links, and a family of n equal members costs n pairs.
 """
 
@@ -165,13 +166,16 @@ def links(members: DataFrame, payload: DataFrame, close: Callable, verify: Calla
     sizes = payload.select("band", "node", F.octet_length("payload").alias("bytes"))
     rows = staged(cells(members, sizes, name), f"{name}_cells")
     blank = rows.withColumn("known", F.col("node")).withColumn("denied", F.lit(None).cast("array<bigint>"))
-    pairs, most, done, refused = staged(candidates(blank, payload, close, None), f"{name}_pairs"), 4, None, None
+    pairs, most, done, refused = staged(candidates(blank, payload, close, None), f"{name}_pairs"), None, None, None
     while True:
         checked = staged(verify(pairs), f"{name}_checked")
         ok, no = checked.where("ok"), checked.where("not ok").select("a", "b")
         done = ok if done is None else staged(done.unionByName(ok), f"{name}_links")
-        if no.isEmpty():
+        # A row that handed on fewer than ``most`` pairs left none out; of others there may be more to check.
+        whole = most is None or pairs.groupBy("a").count().where(F.col("count") >= most).isEmpty()
+        if whole and no.isEmpty():
             return done.drop("ok")
+        most = 4 if most is None else 4 * most
         refused = no if refused is None else staged(refused.union(no), f"{name}_refused")
         part = staged(components(done.select("a", "b"), name), f"{name}_parts") if not done.isEmpty() \
             else empty(spark, "id long, component long")
@@ -187,4 +191,3 @@ def links(members: DataFrame, payload: DataFrame, close: Callable, verify: Calla
         pairs = staged(candidates(open_, payload, close, most), f"{name}_pairs")
         if pairs.isEmpty():
             return done.drop("ok")
-        most *= 4

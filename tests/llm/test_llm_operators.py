@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mailweave.llm import (chars, common, decontaminate, fingerprints, hosts, langid, licenses, mixing, parity, pii,
+from mailweave.llm import (chars, common, decontaminate, families, fingerprints, hosts, langid, licenses, mixing, parity, pii,
                            queries, spans, vec, warc)
 
 SF = "/root/testdata/sf0.001"
@@ -338,6 +338,19 @@ def test_jaccard_join_against_brute_force(spark, texts, k, percent):
     assert linked > 50 and all(100 * r.shared >= percent * r.total for r in links.collect())
 
 
+@pytest.mark.parametrize("leaves", [10, 40, 90])
+def test_links_behind_a_hub_that_only_looks_close(spark, leaves):
+    """Node 1 resembles all but links with its twin 2 only; 2 links with every leaf, leaves don't resemble each other."""
+    ids = list(range(1, leaves + 3))
+    members = spark.createDataFrame([(0, 1, i) for i in ids], "band int, center long, node long")
+    payload = spark.createDataFrame([(0, i, 5, bytearray(struct.pack("<q", i))) for i in ids],
+                                    "band int, node long, size long, payload binary")
+    close = lambda x, n, xs, ns: ((x <= 2) | (xs <= 2)).reshape(-1)
+    verify = lambda pairs: pairs.select("a", "b", (F.expr("a = 2 or (a = 1 and b = 2)")).alias("ok"))
+    found = {(r.a, r.b) for r in families.links(members, payload, close, verify, "hub").collect()}
+    assert found == {(1, 2)} | {(2, j) for j in ids[2:]}
+
+
 def test_sketch_distance_is_a_lower_bound(texts):
     data, off = flat(list(texts.values()))
     doc, h = parity.sets_of(data, off, 3)
