@@ -1,10 +1,15 @@
 """Substring dedup by repeated sentence spans.
 
 A text is cut into sentences: at line ends, after words that end in . ! or ?, and,
-inside a sentence of more than ``LONG`` words, after words picked by their hash
-(so that a passage is cut alike wherever it stands). From every sentence starts
-one span: the shortest run of at least ``RUN`` sentences and ``MIN_WORDS`` words.
-Spans are hashed word by word (ASCII letters lower-cased) and joined over all
+where ``WINDOW`` words in a row have no such end, after the one of least hash (so
+that cuts depend on the words nearby only, and a passage is cut alike wherever it
+stands). From every sentence starts one span: the shortest run of at least ``RUN``
+sentences and ``MIN_WORDS`` words. Every passage of 3 ``WINDOW`` + ``MIN_WORDS`` - 1
+= 50 words holds a whole span, wherever it begins and ends: its first ``WINDOW``
+words hold a cut, the span from there ends at the next cut after ``MIN_WORDS``
+words, and no cut from there to ``WINDOW`` words before the passage's end depends on
+words outside of it. The words before the first and after the last common cut
+stay. Spans are hashed word by word (ASCII letters lower-cased) and joined over all
 documents; the first occurrence, by doc_id and place, stays, and every sentence
 that another occurrence covers is removed.
 
@@ -30,11 +35,24 @@ from pyspark.sql import types as T
 from . import families, vec
 from .common import staged
 
-RUN, MIN_WORDS, LONG = 2, 25, 24
+RUN, MIN_WORDS, WINDOW = 1, 12, 13
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 
 
+def least_in_windows(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Index of the least rank, the last of equal ones, of every ``WINDOW`` neighbours inside a document."""
+    n = len(rank) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least, at = rank[:n].copy(), np.arange(n)
+    for j in range(1, WINDOW):
+        below = rank[j:j + n] <= least
+        least[below] = rank[j:j + n][below]
+        at[below] = np.flatnonzero(below) + j
+    return at[doc[:n] == doc[WINDOW - 1:]]
+
+
 def sentences(data: np.ndarray, off: np.ndarray):
     """(document, first byte, first word, words' hash, sentence of each word) of every sentence."""
     doc, start, end = vec.words(data, off)
@@ -45,12 +63,11 @@ def sentences(data: np.ndarray, off: np.ndarray):
     h = vec.span_hash(vec.prefix_hash(data, True), start, end)
     line = np.append(0, np.cumsum(data == 10))
     last = _END[data[end - 1]]
-    last[:-1] |= (line[start[1:]] > line[end[:-1]]) | (doc[1:] != doc[:-1])
+    last[:-1] |= (line[start[1:]] > line[end[:-1]]) & (doc[1:] == doc[:-1])
+    last[least_in_windows(np.where(last, np.uint64(0), h | np.uint64(1)), doc)] = True
+    last[:-1] |= doc[1:] != doc[:-1]
     last[-1] = True
     number = np.append(0, np.cumsum(last)[:-1])
-    long = np.bincount(number)[number] > LONG
-    last |= long & ((h & np.uint64(7)) == 0)
-    number = np.append(0, np.cumsum(last)[:-1])
     first = np.flatnonzero(np.append(True, last[:-1]))
     return doc[first], start[first], first, h, number
 

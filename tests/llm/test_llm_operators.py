@@ -148,6 +148,19 @@ def test_repeated_passage_goes_and_clean_text_stays(spark):
     assert got[2].text == "Other start of text. " and got[2].first_docs == [1] and got[2].node == "n"
 
 
+def test_passages_cut_at_arbitrary_words_hold_a_span():
+    """50 common words with or without marks, from any word on, between strange ones: some span of both texts is equal."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    for marks in (0.0, 0.04, 0.1, 0.3):
+        for _ in range(150):
+            some = lambda n: [word() + "." * int(rng.random() < marks) for _ in range(n)]
+            passage = some(50)
+            texts_ = [" ".join(some(int(rng.integers(0, 40))) + passage + some(int(rng.integers(0, 40)))) for _ in range(2)]
+            doc, key, *_ = spans.spans(*flat(texts_))
+            assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist())
+
+
 def test_spans_edge_cases(edge, none):
     got = [(r.doc_id, r.text, r.n_removed) for r in spans.deduplicated(edge).collect()]
     assert len(got) == 12 and (1, None, 0) in got and (2, "", 0) in got and (4, PROSE, 0) in got
