@@ -7,8 +7,11 @@ A page is blocked by the method when the lower bound of its host's posterior
 lies above ``max_bad``. Fixed rules come first: the longest rule that fits host
 and path decides.
 
+A host without outcomes has the posterior of no counts: its domain's mean, else its
+suffix's, else the global prior.
+
 Defined cases: a null url or one without ``://`` has empty host and path and
-falls under the global prior; pages without an outcome count in no rate; several
+falls under the global prior unless such pages have outcomes; pages without an outcome count in no rate; several
 outcomes of a page count each; ties in rule length are broken by the rule's
 text; an empty table gives no rows; other columns are ignored.
 """
@@ -61,10 +64,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Posterior of every host from (host, bad) rows with bad 0 or 1; columns
-    host, n, bad, alpha, beta, lower. The last row has a null host: the global
-    prior, for hosts without outcomes."""
+    host, n, bad, alpha, beta, lower. Hosts of ``wanted`` (column host) without
+    outcomes come with n = 0 if their domain or suffix has some. The last row has a
+    null host: the global prior, for all others."""
     hosts = staged(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").alias("k"))
                    .where("n > 0").withColumn("domain", domain_of(F.col("host")))
                    .withColumn("suffix", suffix_of(F.col("host"))), "host_counts")
@@ -78,7 +82,14 @@ def reputations(outcomes: DataFrame) -> DataFrame:
                                            / (F.col("n") + DOMAIN_STRENGTH)).alias("dm")))
     a = F.col("dm") * HOST_STRENGTH + F.col("k")
     b = (1 - F.col("dm")) * HOST_STRENGTH + F.col("n") - F.col("k")
-    own = hosts.join(domain, ["suffix", "domain"]).select("host", "n", F.col("k").alias("bad"), a.alias("alpha"), b.alias("beta"))
+    if wanted is not None:
+        new = wanted.select("host").where("host <> ''").distinct().join(hosts.select("host"), "host", "left_anti")
+        zero = F.lit(0).cast("long")
+        hosts = hosts.unionByName(new.select("host", zero.alias("n"), zero.cast(hosts.schema["k"].dataType).alias("k"),
+                                             domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")))
+    own = (hosts.join(suffix, "suffix").join(domain, ["suffix", "domain"], "left")
+           .withColumn("dm", F.coalesce("dm", "sm")))
+    own = own.select("host", "n", F.col("k").alias("bad"), a.alias("alpha"), b.alias("beta"))
     rest = prior.select(F.lit(None).cast("string").alias("host"), F.lit(0).cast("long").alias("n"),
                         F.lit(0).cast("long").alias("bad"), F.col("a").alias("alpha"), F.col("b").alias("beta"))
     return own.union(rest).withColumn("lower", lower_bound(F.col("alpha"), F.col("beta")))
@@ -113,7 +124,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(
         F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0)
     marks = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")).where("bad is not null")
-    rep = staged(reputations(p.select("page_id", "host").join(marks, "page_id").select("host", "bad")), "host_reputation")
+    rep = staged(reputations(p.select("page_id", "host").join(marks, "page_id").select("host", "bad"), p), "host_reputation")
     other = rep.where("host is null").select("lower").scalar()
     known = rep.where("host is not null").select(F.col("host").alias("_host"), "lower")
     fit = rule_of(F.col("host"), F.col("path"), rules)

@@ -560,6 +560,20 @@ def test_reputation_shrinks_to_the_domain(spark):
     assert all(r.lower < mean(r) for r in got.values()) and None in got
 
 
+def test_unlabelled_hosts_fall_back_to_domain_then_suffix(spark):
+    urls = [f"http://h{i}.bad.example/" for i in range(40)] + [f"http://h{i}.good.test/" for i in range(40)]
+    new = ["http://new.bad.example/", "http://new.good.test/", "http://a.other.example/", "http://a.other.test/", "http://a.b.fresh/", None]
+    pages = spark.createDataFrame(list(enumerate(urls + new)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, None, int(i < 40)) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.lower) for r in hosts.filter_urls(pages, labels, rules=()).collect()}
+    assert len(got) == 86 and [got[80 + i][0] for i in range(6)] == ["block", "allow", "allow", "allow", "allow", "allow"]
+    # 40 of 80 pages bad, one a host: the prior has strength 100, so suffix (50 + 40) / (100 + 40), domain (20 s + 40) / 60
+    suffix = 90 / 140
+    for at, mean in ((80, (20 * suffix + 40) / 60), (82, suffix)):
+        assert abs(got[at][1] - (mean - hosts.Z * (mean * (1 - mean) / 6) ** 0.5)) < 1e-9
+    assert got[84] == got[85]
+
+
 # --- 10 WARC -----------------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, record_type string"
