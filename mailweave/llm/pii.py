@@ -62,7 +62,12 @@ SYLLABLES_CYRILLIC = ("бал", "бен", "вор", "гал", "дан", "дор"
 _ANY = lambda names: "(?:" + "|".join(names) + ")"
 _L = r"\p{L}\p{N}"
 EMAIL = rf"(?<![{_L}._%+\-])[{_L}][{_L}._%+\-]*@[{_L}](?:[{_L}\-]*[{_L}])?(?:\.[{_L}](?:[{_L}\-]*[{_L}])?)+"
-IPV6 = r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Fa-f:])"
+_H = "[0-9A-Fa-f]{1,4}"
+#: Compressed forms: n groups before ``::`` and at most 7 - n after it.
+_SHORT6 = "|".join([f"::{_H}(?::{_H}){{0,6}}"] + [f"(?:{_H}:){{{n}}}:(?:{_H}(?::{_H}){{0,{6 - n}}})?" for n in range(1, 7)]
+                   + [f"(?:{_H}:){{7}}:"])
+IPV6 = (r"(?:(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Fa-f:])"
+        rf"|(?<![{_L}:._])(?:{_SHORT6})(?![{_L}:_]|\.[0-9]))")
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"
 SECRET = (r"(?<![0-9A-Za-z_\-])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}"
@@ -82,7 +87,7 @@ TYPES = (("email", EMAIL), ("ipv6", IPV6), ("ipv4", IPV4), ("secret", SECRET), (
          ("card", CARD), ("phone", PHONE), ("person", PERSON))
 PATTERN = "(?:" + "|".join(p for _, p in TYPES) + ")"
 #: What every entity contains; one cheap pass tells most clean texts.
-HINT = rf"[0-9@]|(?<!\p{{L}})(?=[\p{{Lu}}г]){_ANY(TITLES_M + TITLES_F + TITLES_U + GIVEN_F + GIVEN_M + GIVEN_F_CYRILLIC + GIVEN_M_CYRILLIC + ('господин', 'госпожа'))}(?!\p{{L}})"
+HINT = rf"[0-9@]|::|[A-Fa-f]:[A-Fa-f]{{1,4}}:|(?<![A-Za-z_\-])(?:sk-|xox[abprs]-|gh[pousr]_|AKIA|eyJ|[a-f]{{32}}|[A-F]{{32}})|(?<!\p{{L}})(?=[\p{{Lu}}г]){_ANY(TITLES_M + TITLES_F + TITLES_U + GIVEN_F + GIVEN_M + GIVEN_F_CYRILLIC + GIVEN_M_CYRILLIC + ('господин', 'госпожа'))}(?!\p{{L}})"
 
 
 def has_entity(text: Column) -> Column:
@@ -207,7 +212,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         parts = [F.when(attempt >= max(0, 2 * (i - 2)), _choose(names, s, 6 * i)) for i in range(10)]
         ending = F.lit("ов") if tag == "c" else F.lit("")
         given = F.when(kind == f"family_{tag}", F.initcap(F.concat(F.concat_ws("", *parts), ending))).otherwise(given)
-    return (F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "ipv6", F.concat(hex_alike(canon, s)))
+    return (F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "ipv6", F.concat(hex_alike(canon, s), more))
             .when(kind == "card", card).when(kind == "ssn", F.concat(digits, more)).when(kind == "phone", phone)
             .when(kind == "iban", iban).when(kind == "secret", secret).otherwise(given))
 

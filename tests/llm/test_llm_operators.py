@@ -509,6 +509,21 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert all(other[i] != out[i] for i in range(8))
 
 
+def test_short_addresses_and_tokens_without_digits(spark):
+    found = ["fe80::1", "fe80::1ff:fe23:4567:890a", "2a00::1", "::1", "2001:db8::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "fe80::a:b",
+             "sk-abcdefghijklmnopqrstuvwx", "xoxb-abcdefghijklm", "ghp_" + "abcdefghij" * 4, "abcdefabcdefabcdefabcdefabcdefab"]
+    rows = [(i, f"see ({x}), please", "en", "a") for i, x in enumerate(found)]
+    clean = ["std::vector and Foo::Bar", "a :: b", "x1::y2 plus add::ress", "a task-based desk-", "1:2:3:4:5:6:7:8:9::"]
+    rows += [(100 + i, x, "en", "a") for i, x in enumerate(clean)]
+    rows += [(200, "from ::ffff:8.8.4.4 on", "en", "a")] + [(300 + i, f"at ::{i:x} now", "en", "a") for i in range(2, 6)]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.replaced(frame(spark, rows)).collect()}
+    for i, x in enumerate(found):
+        assert got[i][1] == 1 and x not in got[i][0] and got[i][0].startswith("see (") and got[i][0].endswith("), please"), (x, got[i])
+    assert all(got[100 + i] == (x, 0) for i, x in enumerate(clean))
+    assert got[200][1] == 1 and got[200][0].startswith("from ::ffff:") and "8.8.4.4" not in got[200][0]
+    assert len({got[300 + i][0] for i in range(2, 6)}) == 4
+
+
 def test_surrogates_are_distinct(spark):
     rows = [(i, f"write to {chr(97 + i % 26)}{chr(97 + i // 26)}@x.de from 10.0.0.{i % 250} by Ms Anna Q{'abcdefghij'[i % 10]}"
                 f"{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]} today", "en", "a") for i in range(300)]
