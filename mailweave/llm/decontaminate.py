@@ -2,8 +2,8 @@
 
 Texts and benchmark items are compared as characters: lower-case letters and
 digits, everything else one blank. An item is cut into windows of
-``max(MIN_WINDOW, half its length)`` characters (the whole item if it is
-shorter), starting at every quarter of a window and at its end. A document is
+half its length, ``MIN_WINDOW`` at least and ``MAX_WINDOW`` at most (the whole
+item if it is shorter), so that every excerpt of 250 characters holds a window, starting at every quarter of a window and at its end. A document is
 contaminated by an item if some window aligns with a part of the document with
 at most ``floor(BUDGET * window)`` edits (fewer for very short windows, so that
 the lemma still asks for one q-gram).
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import chars, vec
 
-Q, BUDGET, MIN_WINDOW = 10, 0.08, 100
+Q, BUDGET, MIN_WINDOW, MAX_WINDOW = 10, 0.08, 100, 200
 BLOCK_CHARS = 8_000_000
 
 HITS = T.ArrayType(T.StructType([
@@ -51,7 +51,7 @@ def normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def window_of(n: int) -> tuple[int, int, int]:
     """(window, edit budget, least shared q-grams) of an item of n characters."""
-    w = min(n, max(MIN_WINDOW, (n + 1) // 2))
+    w = min(n, max(MIN_WINDOW, min(MAX_WINDOW, (n + 1) // 2)))
     k = max(0, min(int(BUDGET * w), (w - Q) // Q))
     return w, k, w - Q + 1 - k * Q
 

@@ -313,6 +313,24 @@ def test_decontamination_against_full_alignment():
     assert 5 < sum(w[2] for w in want) < 40
 
 
+def test_excerpts_of_long_items_are_found():
+    """250 characters from anywhere in an item of 1,000 to 20,000, also with 8 % of the best window's edits left over."""
+    rng = np.random.default_rng(9)
+    make = lambda n: "x" + "".join(rng.choice(list("abcdefghijklm"), n - 2)) + "x"
+    items = [(i, make(n)) for i, n in enumerate((1000, 4000, 20000))]
+    index = decontaminate.Index(items)
+    docs, want = [], []
+    for i, text in items:
+        for at in [0, 37, 333, len(text) - 251, *rng.integers(0, len(text) - 250, 12).tolist()]:
+            part = list(text[at:at + 250])
+            for k in range(0, int(rng.integers(0, 16)) * 16, 16):
+                part[k + 3] = "z"
+            docs.append(make(300) + " " + "".join(part) + " " + make(200))
+            want.append(i)
+    got = index.matches(*flat([*docs, make(3000)]))
+    assert {d: [h[0] for h in hits] for d, hits in got.items()} == {d: [i] for d, i in enumerate(want)}
+
+
 def test_decontamination_on_documents(spark, docs, texts):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()}
