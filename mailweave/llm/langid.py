@@ -12,13 +12,12 @@ context weights.
 The prediction is the language of the lowest cross-entropy per character. The
 score is a posterior over languages, its sharpness fitted on documents kept out
 of the counts. A document is rejected if its cross-entropy, drawn to the
-language's usual one when it is short, lies above the worst of those documents
-by a margin.
+language's usual one when it is short, lies by a margin above the ``QUANTILE`` of
+those documents.
 
-The models are fitted on a bounded sample of the labelled rows: at most
-``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` characters a language, chosen by
-a hash, of the ``MAX_LANGUAGES`` most frequent languages. Everything else works
-on all rows.
+The models are fitted on a bounded sample of every language's labelled texts: at
+most ``SAMPLE_DOCS`` different ones and ``SAMPLE_CHARS`` characters a language, chosen by
+a hash, each cut at ``TEXT_CHARS``. Everything else works on all rows.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and
 rejected; without any labelled text every document is ``und``; equal entropies go
@@ -35,13 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chars, vec
+from .common import staged
 
 ORDER = 5
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 600, 1_000_000, 100
+SAMPLE_DOCS, SAMPLE_CHARS, TEXT_CHARS = 600, 1_000_000, 100_000
+#: Different texts a language may always have, however many languages there are.
+LEAST_DOCS = 60
 #: Every so-manieth sampled document is kept out of the counts, for calibration.
 HOLD = 5
-#: Margin in nats a character over the worst calibration document; characters by which a short text leans on the usual entropy.
-MARGIN, LEAN = 0.75, 60.0
+#: Calibration documents of a language that are not to be rejected, and the margin in nats a character over them; characters by which a short text leans on the usual entropy.
+QUANTILE, MARGIN, LEAN = 0.99, 0.75, 60.0
 UNKNOWN = "und"
 SLICE = 400_000
 _POWER = [np.uint64(pow(0x9E3779B97F4A7C15, j, 1 << 64)) for j in range(ORDER + 1)]
@@ -197,7 +199,8 @@ class Model:
         own = h[np.arange(len(h)), truth]
         self.usual = np.array([np.median(own[truth == i]) if (truth == i).any() else 0.0 for i in range(len(self.languages))])
         lean = (own * n + self.usual[truth] * LEAN) / (n + LEAN)
-        self.limit = np.array([lean[truth == i].max() if (truth == i).any() else 0.0 for i in range(len(self.languages))]) + MARGIN
+        self.limit = np.array([np.quantile(lean[truth == i], QUANTILE, method="higher") if (truth == i).any() else 0.0
+                               for i in range(len(self.languages))]) + MARGIN
         best = (np.inf, 1.0)
         for sharp in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
             p = posterior(h, n, sharp)
@@ -221,24 +224,28 @@ def posterior(h: np.ndarray, n: np.ndarray, sharp: float) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame) -> Model | None:
-    """Model from (text, lang) rows; None if there is no labelled text."""
+def sample(docs: DataFrame) -> dict[str, list[str]]:
+    """Training texts of every language with a labelled text that has letters."""
     rows = docs.select("text", "lang").where("lang is not null and text is not null")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not top:
-        return None
-    each = min(SAMPLE_DOCS, 20 * SAMPLE_DOCS // len(top))
-    share = F.create_map(*[v for r in top for v in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * each / r["count"])))])
+    kinds = staged(rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count(), "lang_kinds")
+    n = kinds.count()
+    each = min(SAMPLE_DOCS, max(LEAST_DOCS, 20 * SAMPLE_DOCS // max(1, n)))
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    few = rows.where(drawn < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30))
-    few = few.where(F.length("text") <= SAMPLE_CHARS // 10).dropDuplicates()
+    few = rows.withColumn("d", drawn).join(F.broadcast(kinds), "lang")
+    few = few.where(F.col("d") < F.least(F.lit(1.0), 1.3 * each / F.col("count")) * (1 << 30))
+    few = few.select("lang", "d", F.substr("text", F.lit(1), F.lit(TEXT_CHARS)).alias("text")).dropDuplicates()
     samples: dict[str, list[str]] = {}
     used: dict[str, int] = {}
-    for r in sorted(few.withColumn("d", drawn).collect(), key=lambda r: (r.d, r.text)):
+    for r in sorted(few.collect(), key=lambda r: (r.d, r.text)):
         if len(samples.setdefault(r.lang, [])) < each and used.get(r.lang, 0) + len(r.text) <= SAMPLE_CHARS:
             samples[r.lang].append(r.text)
             used[r.lang] = used.get(r.lang, 0) + len(r.text)
-    samples = {k: v for k, v in samples.items() if any(c.isalpha() for t in v for c in t)}
+    return {k: v for k, v in samples.items() if any(c.isalpha() for t in v for c in t)}
+
+
+def train(docs: DataFrame) -> Model | None:
+    """Model from (text, lang) rows; None if there is no labelled text."""
+    samples = sample(docs)
     return Model(samples) if samples else None
 
 

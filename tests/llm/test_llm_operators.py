@@ -255,6 +255,22 @@ def test_language_model_is_a_probability():
     assert pick.tolist() == [0, 1, -1, -1] and score[2] == 0
 
 
+def test_every_language_is_sampled_by_its_different_texts(spark):
+    rows = [(k, f"text {chr(97 + k % 26)} {k} {j}", f"l{k:03}", "a") for k in range(130) for j in range(2)]
+    rows += [(900, "word " * 30_000, "long", "a")]
+    rows += [(901, "the same", "copies", "a")] * 3000 + [(902, f"another {i}", "copies", "a") for i in range(8)]
+    got = langid.sample(frame(spark, rows))
+    assert len(got) == 132 and all(len(got[f"l{k:03}"]) == 2 for k in range(130))
+    assert [len(t) for t in got["long"]] == [langid.TEXT_CHARS] and len(got["copies"]) == 9
+
+
+def test_one_odd_calibration_text_does_not_lift_the_limit():
+    some = [PROSE + str(i) for i in range(600)]
+    odd = "zq xv kj qqz jxv wvk zzq " * 9
+    for samples in ({"en": some}, {"en": [odd, *some]}):
+        assert langid.Model(samples).predict(*flat([PROSE, odd]))[2].tolist() == [False, True]
+
+
 def test_language_edge_cases(spark, edge, none):
     got = langid.report(edge).collect()
     assert len(got) == 12 and {r.lang_pred for r in got if r.doc_id in (1, 2, 3, 8)} == {"und"}
