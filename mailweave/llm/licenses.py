@@ -8,7 +8,10 @@ that grant none. A temperature and the least probability of a family are
 calibrated on passages kept out of the training.
 
 Every line of every text is scored, long ones in overlapping windows of ``WINDOW``
-words. A passage that is more likely licence than not is given the likely family whose
+words, and so is every paragraph of several lines (up to a blank line, without words that
+are comment marks only), for notices that are wrapped. Of overlapping passages of one
+family the first found stays, lines before paragraphs; so does the likest of families with
+similar notices, and an unknown one if none overlaps it. A passage that is more likely licence than not is given the likely family whose
 notices it resembles most; it is confirmed if it contains enough of the word
 3-grams of its name or notice and its probability of a licence passes the calibrated least; one that shows a trace of a notice or speaks of a licence, but isn't confirmed, is
 ``unknown``.
@@ -112,16 +115,24 @@ def word_hashes(data: np.ndarray, off: np.ndarray):
     return doc, start, end, vec.span_hash(vec.prefix_hash(data, True), a, z)
 
 
-def windows(data: np.ndarray, off: np.ndarray):
-    """(word hashes, start of each word's n-grams allowed, windows as (document,
-    first word, word after, first byte, last byte)) of all lines."""
+_MARK = np.zeros(256, bool)
+_MARK[list(b"*/#;-%!<>|=~\"'")] = True
+
+
+def windows(data: np.ndarray, off: np.ndarray, paragraphs: bool = False):
+    """(word hashes, windows as (document, first word, word after, first byte, last
+    byte)) of all lines, or those of all paragraphs that reach over a line's end."""
     doc, start, end, h = word_hashes(data, off)
+    if paragraphs and len(h):
+        marks = np.append(0, np.cumsum(_MARK[data]))
+        use = marks[end] - marks[start] < end - start
+        doc, start, end, h = doc[use], start[use], end[use], h[use]
     n = len(h)
     if not n:
         z = np.zeros(0, np.int64)
         return h, (z, z, z, z, z)
     line = np.append(0, np.cumsum(data == 10))[start]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))
+    new = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(line) > int(paragraphs)))
     first = np.flatnonzero(new)
     last = np.append(first[1:], n)
     count = np.maximum(1, -(-(last - first - WINDOW) // STRIDE) + 1)
@@ -129,6 +140,9 @@ def windows(data: np.ndarray, off: np.ndarray):
     step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     a = first[owner] + step * STRIDE
     z = np.minimum(a + WINDOW, last[owner])
+    if paragraphs:
+        over = line[a] != line[z - 1]
+        a, z = a[over], z[over]
     return h, (doc[a], a, z, start[a], end[z - 1])
 
 
@@ -164,6 +178,8 @@ class Model:
     def __init__(self, negatives: list[str], seed: int = 7):
         self.templates = {k: [_grams(t) for t in (*NAMES[k], *NOTICES.get(k, ()))] for k in FAMILIES}
         every = [g for v in self.templates.values() for g in v]
+        self.alike = {(a, b) for a in FAMILIES for b in FAMILIES if a != b for t in (*NAMES[a], *NOTICES.get(a, ()))
+                      if max(contained(g, _runs(t)) for g in self.templates[b]) >= CONFIRM}
         negatives = [t for t in negatives if max((contained(g, _runs(t)) for g in every), default=0.0) < 0.3]
         rng = np.random.default_rng(seed)
         prose = [w for t in negatives[:500] for w in t.split()][:20000] or ["text"]
@@ -237,10 +253,10 @@ class Model:
             z[row[first]] += np.add.reduceat(self.weights[feat], first, axis=0, dtype=np.float64)
         return z
 
-    def scan(self, data: np.ndarray, off: np.ndarray) -> list[list[tuple]]:
-        """[(family, probability, likeness, first byte, last byte), ...] of each text."""
-        h, (doc, a, z, lo, hi) = windows(data, off)
-        out: list[list[tuple]] = [[] for _ in range(len(off) - 1)]
+    def _passages(self, data: np.ndarray, off: np.ndarray, paragraphs: bool) -> list[tuple]:
+        """(document, passage) of the lines or of the paragraphs."""
+        h, (doc, a, z, lo, hi) = windows(data, off, paragraphs)
+        out: list[tuple] = []
         if not len(a):
             return out
         p = _softmax(self._logits(len(a), *features(h, a, z)) / self.heat)
@@ -251,7 +267,20 @@ class Model:
             if like < TRACE and not any(w[0].startswith("licen") for w in own[0]):
                 continue
             sure = 1 - p[i, -1] >= self.least and like >= CONFIRM
-            out[doc[i]].append((FAMILIES[-k] if sure else UNKNOWN, float(chance), float(like), int(lo[i]), int(hi[i])))
+            out.append((int(doc[i]), (FAMILIES[-k] if sure else UNKNOWN, float(chance), float(like), int(lo[i]), int(hi[i]))))
+        return out
+
+    def scan(self, data: np.ndarray, off: np.ndarray) -> list[list[tuple]]:
+        """[(family, probability, likeness, first byte, last byte), ...] of each text."""
+        out: list[list[tuple]] = [[] for _ in range(len(off) - 1)]
+        for d, x in self._passages(data, off, False):
+            out[d].append(x)
+        meets = lambda x, y: x[3] < y[4] and y[3] < x[4]
+        for d, x in sorted(self._passages(data, off, True), key=lambda r: (r[0], r[1][0] == UNKNOWN, -r[1][2], r[1][3])):
+            if any(meets(x, y) and (x[0] in (y[0], UNKNOWN) or ((y[0], x[0]) in self.alike and x[2] < y[2])) for y in out[d]):
+                continue
+            less = lambda y: meets(x, y) and (y[0] == UNKNOWN or ((x[0], y[0]) in self.alike and y[2] < x[2]))  # noqa: B023, E731
+            out[d] = sorted([*(y for y in out[d] if not less(y)), x], key=lambda y: y[3:])
         return out
 
 

@@ -4,6 +4,7 @@ over whole tables of sf0.001."""
 import hashlib
 import re
 import struct
+import textwrap
 from collections import defaultdict
 
 import numpy as np
@@ -457,6 +458,27 @@ def test_licence_model_on_kept_out_variants(docs):
     assert not odd or odd[0][0] == licenses.UNKNOWN
 
 
+def test_wrapped_notices_are_confirmed(docs):
+    model = licenses.train(docs)
+    whole = {
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+               "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+               "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                        "products derived from this software without specific prior written permission.",
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+                   "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+                   "later version."}
+    for family, text in whole.items():
+        for width in (50, 65, 78):
+            for mark in ("", " * ", "# ", "// "):
+                lines = "\n".join(mark + x for x in textwrap.wrap(text, width))
+                blank = "\n" + mark.rstrip() + "\n"
+                got = model.scan(*flat([PROSE + "\n" + blank + lines + blank + "\n" + PROSE]))[0]
+                assert [x[0] for x in got] == [family], (family, width, mark, got)
+    assert model.scan(*flat([PROSE.replace(". ", ".\n") + "\n" + PROSE])) == [[]]
+
+
 def test_licence_edge_cases(edge, none, docs):
     model = licenses.train(none)
     assert licenses.scanned(none, model).count() == 0
