@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailweave.sources.tables import table
 
-from . import decontaminate, fingerprints, hosts, langid, licenses, mixing, parity, pii, spans, warc
+from . import alignment, decontaminate, fingerprints, graphs, hosts, langid, licenses, mixing, parity, pii, resample, spans, warc
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fingerprints, op3_language_id, op4_decontaminate, op5_jaccard_join, op6_licenses, op7_mix_sources, op8_pii, op9_url_filters, op10_warc)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance weight towards the benchmark's texts, and the tenth drawn by it."""
+    return resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned, and how often its links occur in all documents."""
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every vector whose id is divisible by 20."""
+    return graphs.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fingerprints, op3_language_id, op4_decontaminate, op5_jaccard_join, op6_licenses,
+                                   op7_mix_sources, op8_pii, op9_url_filters, op10_warc, op11_importance_resampling, op12_token_alignment,
+                                   op13_nearest_neighbours)}
 ORACLES = {"op7_mix_sources": mixing.SQL, "op9_url_filters": hosts.SQL,
-           "op10_warc": warc.SQL}
+           "op10_warc": warc.SQL, "op11_importance_resampling": resample.SQL}
