@@ -44,7 +44,7 @@ from .common import staged
 
 TOKENIZERS = "/opt/tokenizers"
 #: Text bytes of a block; distinct pieces encoded at once; bytes of group strings held at once.
-BLOCK_BYTES, ENCODED, DIGEST_BYTES = 12_000_000, 4_000, 16_000_000
+BLOCK_BYTES, ENCODED, DIGEST_BYTES = 4_000_000, 4_000, 8_000_000
 
 
 # ------------------------------------------------------------------ the two tokenizers
