@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailweave.session import dealt as spread
+
 from .common import staged
 from .vec import mix
 
@@ -239,7 +241,8 @@ def index(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, m: int
         return pa.Table.from_pylist([row], schema=pa.schema([
             ("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())),
             ("vectors", pa.binary()), ("sizes", pa.list_(pa.int32())), ("neighbours", pa.list_(pa.binary()))]))
-    return staged(dealt.groupBy("dim", "shard").applyInArrow(run, INDEX), f"{name}_index")
+    # By number, as shards are small files but long work: adaptive execution would put them into one task.
+    return staged(spread(dealt, "dim", "shard").groupBy("dim", "shard").applyInArrow(run, INDEX), f"{name}_index")
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARCH) -> DataFrame:
@@ -249,7 +252,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEAR
     blank = lambda df, names: df.select("dim", "shard", *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in names])
     names = [*[(c.split()[0], c.split()[1]) for c in INDEX.split(", ")[2:]], ("query_id", "bigint"), ("query", "array<double>")]
     rows = blank(graphs, names).union(blank(asked, names))
-    rows = rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("query_id").asc_nulls_first())
+    rows = spread(rows, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("query_id").asc_nulls_first())
 
     def run(batches):
         graph = None
