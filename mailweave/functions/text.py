@@ -74,7 +74,7 @@ def normalized(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """D1 tokeniser: array of non-empty lower-case terms."""
-    return F.filter(F.split(normalized(c), " "), lambda t: t != "")
+    return F.array_remove(F.split(normalized(c), " "), "")
 
 
 def redact_cards(c: Column) -> Column:

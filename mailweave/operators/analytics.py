@@ -165,18 +165,17 @@ def label_distribution(df: DataFrame, k: int = 20) -> DataFrame:
 
 
 # -------------------------------------------------------------------- F12
+SIZE_CLASSES = {"very_small": "size < 1024", "small": "size BETWEEN 1024 AND 10240", "medium": "size BETWEEN 10240 AND 102400",
+                "large": "size BETWEEN 102400 AND 1048576", "very_large": "size > 1048576"}
+
+
 def size_analysis(df: DataFrame) -> DataFrame:
     """size summary and five conditional buckets. The buckets overlap
     at 10240 and 102400 exactly as the BETWEEN ranges do."""
     s = F.col("size")
     a = live(df).select("size").agg(
         F.avg(s).alias("avg_size"), F.min(s).alias("min_size"), F.max(s).alias("max_size"),
-        F.count_if(s < 1024).alias("very_small"),
-        F.count_if(s.between(1024, 10240)).alias("small"),
-        F.count_if(s.between(10240, 102400)).alias("medium"),
-        F.count_if(s.between(102400, 1048576)).alias("large"),
-        F.count_if(s > 1048576).alias("very_large"),
-    )
+        *[F.count_if(F.expr(c)).alias(n) for n, c in SIZE_CLASSES.items()])
     return a.select(
         F.round(F.coalesce("avg_size", F.lit(0.0)) / KB, 2).alias("avg_size_kb"),
         F.coalesce("min_size", F.lit(0)).cast("bigint").alias("min_size_bytes"),
@@ -290,19 +289,20 @@ def replies(df: DataFrame) -> DataFrame:
     """The reply pairs: within a thread ordered by (timestamp, message_id),
     an outgoing message right after an incoming one answers it.
 
-    Neighbours are found inside (thread, day), so a hot thread spreads over its
-    days; the last message of each day is handed to the thread's next day, which
-    takes one row per thread and day.
+    Rows are dealt by ranges of (thread, time, id) and landed with the number of their
+    range; neighbours are found inside a range, and the last row of each range, one row
+    a range, is handed on to the next. So a thread of any size, even on one day, spreads
+    over as many tasks as it fills.
     """
-    me = F.struct("timestamp", "message_id", "is_outgoing", "email")
-    b = (live(df).select("thread_id", "message_id", "timestamp", "is_outgoing", F.col("sender.email").alias("email"))
-         .withColumn("day", F.to_date("timestamp")))
-    w = Window.partitionBy("thread_id", "day").orderBy("timestamp", "message_id")
-    inside = b.withColumn("prev", F.lag(me).over(w))
-    days = b.groupBy("thread_id", "day").agg(F.max(me).alias("last"))
-    carry = days.select("thread_id", "day", F.lag("last").over(Window.partitionBy("thread_id").orderBy("day")).alias("carry"))
-    p = inside.join(carry, ["thread_id", "day"]).withColumn("prev", F.coalesce("prev", "carry"))
-    r = p.filter(F.col("is_outgoing") & (~F.col("prev.is_outgoing")))
+    order = ["thread_id", "timestamp", "message_id"]
+    b = live(df).select(*order, "is_outgoing", F.col("sender.email").alias("email"))
+    rows, _ = landed(b.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "replies")
+    me = F.struct(*order, "is_outgoing", "email")
+    inside = rows.withColumn("prev", F.lag(me).over(Window.partitionBy("_range").orderBy(*order)))
+    last = rows.groupBy("_range").agg(F.max(me).alias("last"))
+    carry = last.select("_range", F.lag("last").over(Window.orderBy("_range")).alias("carry"))
+    p = inside.join(F.broadcast(carry), "_range").withColumn("prev", F.coalesce("prev", "carry"))
+    r = p.filter(F.col("is_outgoing") & (F.col("prev.thread_id") == F.col("thread_id")) & (~F.col("prev.is_outgoing")))
     micros = (F.unix_micros(F.col("timestamp").cast("timestamp"))
               - F.unix_micros(F.col("prev.timestamp").cast("timestamp")))
     return r.select("thread_id", F.col("prev.message_id").alias("incoming_id"), F.col("message_id").alias("reply_id"),
@@ -310,22 +310,37 @@ def replies(df: DataFrame) -> DataFrame:
                     micros.alias("response_micros"))
 
 
-def exact_median(df: DataFrame, value: str, width: int) -> DataFrame:
-    """One row ``median`` of a bigint column: values are counted in ranges of
-    ``width``, and only the ranges that hold the middle are opened, again as
-    counts per distinct value; no task sees all values."""
-    df, _ = landed(df.select(F.col(value).alias("v")).filter("v is not null").withColumn("cell", F.floor(F.col("v") / width)),
-                   "median")
-    upto = lambda by: Window.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = df.groupBy("cell").count().withColumn("upto", F.sum("count").over(upto("cell")))
-    n = df.select(F.count(F.lit(1))).scalar()
-    lo, hi = F.floor((n - 1) / 2), F.floor(n / 2)
+#: Accuracy of the sketch that brackets a median (it is off by 1 / ACCURACY of the rows at most), and
+#: the rows that the bracket may hold before it is narrowed again.
+ACCURACY, BRACKET_ROWS = 10_000, 1_000_000
+
+
+def exact_median(df: DataFrame, value: str) -> DataFrame:
+    """One row ``lo``, ``hi`` (the middle values) of a bigint column. A quantile sketch
+    brackets the middle in one pass; a second pass counts what lies below and each value
+    inside. A bracket that would hold too many rows is narrowed by another pass."""
+    v = df.select(F.col(value).alias("v")).filter("v is not null")
+    spark, low, n, below, inside = df.sparkSession, None, None, 0, None
+    while True:
+        rank = 0.5 if n is None else ((n - 1) / 2 - below) / max(1, inside)
+        at = [min(1.0, max(0.0, rank + d / ACCURACY)) for d in (-2, 2)]
+        own = v if low is None else v.filter(F.col("v").between(low, high))
+        few = F.array(*[F.lit(x) for x in at])
+        got = own.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", few, ACCURACY).alias("q")).first()
+        if got["n"] == 0:
+            return spark.createDataFrame([(None, None)], "lo long, hi long")
+        if n is None:
+            n = got["n"]
+        low, high = got["q"]
+        if got["n"] * 6 // ACCURACY <= BRACKET_ROWS:
+            break
+        c = v.agg(F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v").between(low, high)).alias("inside")).first()
+        below, inside = c["below"], c["inside"]
+    lo, hi = F.lit((n - 1) // 2), F.lit(n // 2)
+    counts = v.filter(F.col("v") <= high).groupBy(F.when(F.col("v") < low, F.lit(None)).otherwise(F.col("v")).alias("v")).count()
+    upto = counts.withColumn("upto", F.sum("count").over(Window.orderBy(F.col("v").asc_nulls_first())))   # one row per value inside
     holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("count") <= rank)
-    middle = cells.filter(holds(lo) | holds(hi)).select("cell", (F.col("upto") - F.col("count")).alias("before"))
-    values = df.join(F.broadcast(middle), "cell").groupBy("cell", "before", "v").count()   # at most two cells
-    w = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values = values.withColumn("upto", F.col("before") + F.sum("count").over(w))
-    return values.agg(F.min(F.when(holds(lo), F.col("v"))).alias("lo"), F.min(F.when(holds(hi), F.col("v"))).alias("hi"))
+    return upto.agg(F.min(F.when(holds(lo), F.col("v"))).alias("lo"), F.min(F.when(holds(hi), F.col("v"))).alias("hi"))
 
 
 def contact_response(df: DataFrame) -> DataFrame:
@@ -337,17 +352,19 @@ def contact_response(df: DataFrame) -> DataFrame:
                                   F.count(F.lit(1)).alias("replies"))
 
 
-def response_stats(df: DataFrame) -> DataFrame:
-    """Average and median reply delay; rate = replied incoming / incoming."""
-    pairs, _ = landed(replies(df).select("response_micros"), "replies")
+def response_stats(df: DataFrame, incoming: Column | None = None) -> DataFrame:
+    """Average and median reply delay; rate = replied incoming / incoming
+    (counted here, if ``incoming`` isn't given)."""
+    pairs = replies(df).select("response_micros")
     r = pairs.agg((F.avg("response_micros") / F.lit(3600e6)).alias("avg_response_hours"), F.count(F.lit(1)).alias("replied"))
-    mid = exact_median(pairs, "response_micros", 60_000_000)
+    mid = exact_median(pairs, "response_micros")
     hours = lambda c: F.col(c) / F.lit(3600e6)
-    inc = live(df).agg(F.count_if(~F.col("is_outgoing")).alias("incoming"))
+    if incoming is None:
+        incoming = live(df).agg(F.count_if(~F.col("is_outgoing")).alias("incoming")).select("incoming").scalar()
     return r.select(
         F.coalesce("avg_response_hours", F.lit(0.0)).alias("avg_response_hours"),
         F.coalesce(mid.select((hours("lo") + hours("hi")) / 2).scalar(), F.lit(0.0)).alias("median_response_hours"),
         "replied",
-        (F.col("replied") * 100.0 / F.nullif(inc.select("incoming").scalar(), F.lit(0))).alias(
+        (F.col("replied") * 100.0 / F.nullif(incoming, F.lit(0))).alias(
             "response_rate_percentage"),
     )

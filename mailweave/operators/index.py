@@ -1,30 +1,51 @@
-"""Full-text search as DataFrame jobs.
-
-The index is a postings table ``(term, field, message_id, tf, positions)``
-built with ``posexplode`` + one aggregate. The aggregate is keyed by
-``(term, field, message_id)``: all occurrences of a key come from one
-row, so the partial aggregate already yields final counts and the single
-shuffle spreads even the hottest term over many partitions.
-
-``store_index`` writes it once, partitioned by ``bucket`` (hash of the term) and
-sorted by term, together with each field's length per message and each term's
-document frequency. Searches join their terms on ``(bucket, term)``, so dynamic
-partition pruning reads the terms' buckets only; message ids are then joined
-back to ``messages``, where filters, sorting and paging apply.
+"""Full-text search as DataFrame jobs.
+
+A message's postings ``(term, field, message_id, tf, positions)`` are made inside its
+row: tokens are sorted with their positions and cut into runs, so building them
+shuffles nothing. A stored index is a set of Parquet tables, each partitioned by ``gen``:
+
+* ``postings`` by ``bucket`` (hash of the term) and sorted by term, field and block. A
+  block is a range of message-id hashes; a term has a power of two of them, sized from its
+  document frequency, so that a frequent term is spread over many tasks and files and the
+  blocks of different terms nest;
+* ``terms``: one row per (term, field, block) with its number of postings and the highest
+  BM25 impact among them, range-partitioned by term;
+* ``docs``: field lengths per message by ``part`` (hash of the id): which ids are known;
+* ``marks``: messages whose earlier postings are void or whose deletion flag changed;
+* ``stats``: per field number and total length of messages, all and not deleted;
+* ``layout``: in which gen each bucket of the merged index lies.
+
+The first build is gen 0. Change set number b (a batch of a stream, say) adds gen
+2 b - 1: postings of its messages in one folder (bucket -1), its marks, and by how much
+it changes the statistics. Searches read the merged buckets and the later change sets
+together. ``merge`` folds change sets up to b into gen 2 b, which holds the touched
+buckets only; the others stay where they are. ``stats`` of a change set and
+``layout`` of a merge are written last and make it visible; one job writes at a time.
+
+Message ids found are joined back to ``messages``, where filters, sorting and paging apply.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections import defaultdict
+from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import tokens
+from ..session import exists, folders, landed
 from .search import SearchQuery, matched, page
 
 FIELDS = ["subject", "body", "sender_email", "sender_name", "recipients"]
 TEXT_FIELDS = ["subject", "body", "sender_email", "sender_name"]
 INDEX_BUCKETS = 64   # default of ``buckets``; raise it with the archive, so that a bucket stays a few files
+BLOCK_ROWS = 4096    # postings of a block on average, before a term's number of blocks doubles
+HASH_BITS = 30       # of a message id's hash, whose leading bits are its block
+K1, B = 1.2, 0.75    # BM25 parameters for which blocks store their highest impact
+BROADCAST_BYTES = 32 * 1024 * 1024
+#: Literal blocks handed to the scan at most; more are joined.
+PUSHED_BLOCKS = 1000
 
 
 def recipients_text(c: Column | None = None) -> Column:
@@ -58,75 +79,336 @@ def index_document(messages: DataFrame) -> DataFrame:
     )
 
 
-def token_rows(messages: DataFrame, fields=FIELDS) -> DataFrame:
-    """One row per token occurrence: (message_id, field, pos, term)."""
+# ------------------------------------------------------------------ postings of a row
+def field_runs(messages: DataFrame, fields=FIELDS) -> DataFrame:
+    """(message_id, live, field, dl, runs) of every message and field: its number of
+    tokens and, by term, their positions. Sorting happens inside the row."""
     docs = messages.select(
-        "message_id", F.col("subject"), F.col("body"), F.col("sender.email").alias("sender_email"),
-        F.col("sender.name").alias("sender_name"), recipients_text().alias("recipients"))
-    arr = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields])
-    per_field = docs.select("message_id", F.inline(arr))
-    return per_field.select("message_id", "field", F.posexplode("toks").alias("pos", "term"))
+        "message_id", (~F.coalesce("is_deleted", F.lit(False))).alias("live"), "subject", "body",
+        F.col("sender.email").alias("sender_email"), F.col("sender.name").alias("sender_name"), recipients_text().alias("recipients"))
+    per_field = docs.select("message_id", "live", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])))
+    zipped = F.arrays_zip(F.col("t").alias("term"), F.sequence(F.lit(0), F.size("t") - 1).alias("pos"))
+    runs = _let(F.sort_array(zipped), lambda s: _let(_starts(s), lambda at: F.transform(at, lambda a, k: F.struct(
+        F.element_at(s, a)["term"].alias("term"),
+        F.slice(s, a, F.coalesce(F.get(at, k + 1), F.size(s) + 1) - a)["pos"].alias("positions")))))
+    return per_field.select("message_id", "live", "field", F.greatest(F.coalesce(F.size("t"), F.lit(0)), F.lit(0)).alias("dl"),
+                            F.when(F.size("t") > 0, runs).alias("runs"))
 
 
-def bucket_of(term: Column | str, buckets: int = INDEX_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(s: Column) -> Column:
+    """1-based places of a sorted token array at which a term begins."""
+    same = lambda i: F.element_at(s, i)["term"] == F.element_at(s, F.greatest(i - 1, F.lit(1)))["term"]
+    return F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | ~same(i))
 
 
 def build_index(messages: DataFrame, fields=FIELDS, buckets: int = INDEX_BUCKETS) -> DataFrame:
     """Postings with term frequency and sorted positions."""
-    p = token_rows(messages, fields).groupBy("term", "field", "message_id").agg(
-        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return p.withColumn("bucket", bucket_of("term", buckets))
+    p = field_runs(messages, fields).select("message_id", "field", F.inline("runs"))
+    return p.select("term", "field", "message_id", F.size("positions").cast("long").alias("tf"), "positions",
+                    bucket_of("term", buckets).alias("bucket"))
 
 
-@dataclass
-class Index:
-    """A stored index: its postings, field lengths and document frequencies."""
-    postings: DataFrame
-    lengths: DataFrame
-    frequencies: DataFrame
-    buckets: int
+def bucket_of(term: Column | str, buckets: int = INDEX_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def store_index(messages: DataFrame, path: str, fields=FIELDS, buckets: int = INDEX_BUCKETS) -> Index:
-    """Build and write an index; the text is tokenised once, the statistics come
-    from the stored postings."""
-    spark = messages.sparkSession
-    (build_index(messages, fields, buckets).repartition("bucket").sortWithinPartitions("bucket", "term")
-     .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings"))
-    p = load_index(spark, path, buckets, whole=False).postings
-    p.groupBy("message_id", "field").agg(F.sum("tf").alias("dl")).write.parquet(f"{path}/lengths")
-    p.groupBy("bucket", "term", "field").agg(F.count(F.lit(1)).alias("df")).write.partitionBy("bucket").parquet(f"{path}/frequencies")
-    return load_index(spark, path, buckets)
+def block_of(message_id: Column | str, bits: Column) -> Column:
+    """A message's block of a term that has 2 ^ bits of them."""
+    h = F.pmod(F.xxhash64(message_id), F.lit(1 << HASH_BITS)).cast("int")
+    return F.call_function("shiftright", h, F.lit(HASH_BITS) - bits)
+
 
+# ------------------------------------------------------------------ the stored tables
+TABLES = {
+    "postings": "term string, field string, block int, message_id string, tf long, dl int, live boolean, positions array<int>, born int, "
+                "gen int, bucket int",
+    "terms": "term string, field string, bucket int, block int, bits int, n long, n_live long, top double, avg double, gen int",
+    "docs": "message_id string, field string, dl int, live boolean, born int, gen int, part int",
+    "marks": "message_id string, b int, gone boolean, live boolean, gen int",
+    "stats": "field string, n long, total long, n_live long, total_live long, marks long, gen int",
+    "layout": "kind string, bucket int, of int, buckets int, block_rows int, gen int",
+}
 
-def load_index(spark: SparkSession, path: str, buckets: int = INDEX_BUCKETS, whole: bool = True) -> Index:
-    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    postings = read("postings", "term string, field string, message_id string, tf long, positions array<int>, bucket int")
-    if not whole:
-        return Index(postings, postings, postings, buckets)
-    return Index(postings, read("lengths", "message_id string, field string, dl long"),
-                 read("frequencies", "term string, field string, df long, bucket int"), buckets)
 
+def impact(tf: Column, dl: Column, avg: Column | float, k1: float = K1, b: float = B) -> Column:
+    """A posting's BM25 score before the term's weight."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg))
 
-def maintain_index(postings: DataFrame, changed: DataFrame, fields=FIELDS) -> DataFrame:
-    """Drop every posting of a changed (inserted, updated or deleted)
-    message and add postings of the changed rows' current version."""
-    kept = postings.join(changed.select("message_id"), "message_id", "left_anti")
-    return kept.unionByName(build_index(changed, fields))
 
+def _gens(spark: SparkSession, path: str, table: str) -> list[int]:
+    names = [int(n[4:]) for n in folders(spark, f"{path}/{table}") if n.startswith("gen=")]
+    return sorted(g for g in names if exists(spark, f"{path}/{table}/gen={g}/_SUCCESS"))
 
+
+@dataclass
+class Index:
+    """A stored index as of the time it was opened."""
+    spark: SparkSession
+    path: str
+    buckets: int = INDEX_BUCKETS
+    block_rows: int = BLOCK_ROWS
+    base: int = 0                                     # gen of the latest merge
+    deltas: list[int] = dc_field(default_factory=list)   # gens of later change sets
+    of: dict = dc_field(default_factory=dict)         # {kind: {gen: its buckets}} of the merged index
+    stats: dict = dc_field(default_factory=dict)      # {field: {n, total, n_live, total_live}}
+    marked: bool = False
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
+
+    def _merged(self, kind: str, key: str) -> Column:
+        """Which partitions of postings or docs make up the merged index."""
+        own = [(F.col("gen") == g) & (F.col(key).isin(b) if len(self.of[kind]) > 1 else F.lit(True)) for g, b in self.of[kind].items()]
+        cond = own[0]
+        for c in own[1:]:
+            cond = cond | c
+        return cond
+
+    def stored(self, name: str) -> DataFrame:
+        """Rows of a table that are part of the index, before marks are applied."""
+        key = {"postings": "bucket", "docs": "part"}.get(name)
+        cond = self._merged(name, key) if key else F.col("gen") == self.base
+        return self.table(name).filter(cond | F.col("gen").isin(self.deltas) if self.deltas else cond)
+
+    def marks(self) -> DataFrame:
+        """(message_id, gone_b, live_b, live_now): the last void and the last flag of each marked message."""
+        m = self.stored("marks")
+        return m.groupBy("message_id").agg(F.max(F.when(F.col("gone"), F.col("b"))).alias("gone_b"),
+                                           F.max(F.when(F.col("live").isNotNull(), F.struct("b", "live"))).alias("flag")) \
+            .select("message_id", "gone_b", F.col("flag.b").alias("live_b"), F.col("flag.live").alias("live_now"))
+
+    def current(self, rows: DataFrame) -> DataFrame:
+        """Rows of postings or docs that still hold, with their present ``live``. Marks
+        are few and read from files, so their size decides whether they are broadcast."""
+        if not self.marked:
+            return rows
+        live = F.when(F.col("live_b") > F.col("born"), F.col("live_now")).otherwise(F.col("live"))
+        j = rows.join(self.marks(), "message_id", "left").filter(F.col("gone_b").isNull() | (F.col("gone_b") <= F.col("born")))
+        return j.withColumn("live", live).select(*rows.columns)
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.current(self.stored("postings"))
+
+    @property
+    def lengths(self) -> DataFrame:
+        """(message_id, field, dl) of every indexed message."""
+        return self.current(self.stored("docs")).select("message_id", "field", "dl")
+
+    @property
+    def frequencies(self) -> DataFrame:
+        """(term, field, bucket, df, df_live) from the stored counts; only postings of marked
+        messages are looked at again."""
+        t = self.stored("terms").select("term", "field", bucket_of("term", self.buckets).alias("bucket"), "n", "n_live")
+        if self.marked:
+            p = self.stored("postings").join(self.marks(), "message_id")
+            holds = F.col("gone_b").isNull() | (F.col("gone_b") <= F.col("born"))
+            alive = F.when(F.col("live_b") > F.col("born"), F.col("live_now")).otherwise(F.col("live"))
+            t = t.unionByName(p.select("term", "field", bucket_of("term", self.buckets).alias("bucket"),
+                                       (holds.cast("long") - 1).alias("n"),
+                                       ((holds & alive).cast("long") - F.col("live").cast("long")).alias("n_live")))
+        return t.groupBy("term", "field", "bucket").agg(F.sum("n").alias("df"), F.sum("n_live").alias("df_live")).filter("df > 0")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    """Open an index: a few rows of ``layout`` (two per bucket) and ``stats`` (one per field and change set)."""
+    base = max(_gens(spark, path, "layout"))
+    deltas = [g for g in _gens(spark, path, "stats") if g > base]
+    ix = Index(spark, path, base=base, deltas=deltas)
+    for r in ix.table("layout").filter(F.col("gen") == base).collect():
+        ix.buckets, ix.block_rows = r["buckets"], r["block_rows"]
+        ix.of.setdefault(r["kind"], defaultdict(list))[r["of"]].append(r["bucket"])
+    s = ix.table("stats").filter(F.col("gen").isin([base, *deltas])).groupBy("field").agg(
+        *[F.sum(c).alias(c) for c in ("n", "total", "n_live", "total_live", "marks")])
+    for r in s.collect():
+        ix.stats[r["field"]] = {c: r[c] for c in ("n", "total", "n_live", "total_live")}
+        ix.marked = ix.marked or r["marks"] > 0
+    return ix
+
+
+def _counts(rows: DataFrame, sign: int = 1) -> DataFrame:
+    """Statistics per field of (field, dl, live) rows."""
+    some, live = F.col("dl") > 0, F.col("live")
+    return rows.groupBy("field").agg(
+        (sign * F.count_if(some)).alias("n"), (sign * F.sum("dl")).cast("long").alias("total"), (sign * F.count_if(some & live)).alias("n_live"),
+        (sign * F.sum(F.when(live, F.col("dl")).otherwise(0))).cast("long").alias("total_live"))
+
+
+def _write_postings(postings: DataFrame, path: str, gen: int, averages: dict, bucket: Column, block_rows: int, kept: DataFrame | None = None) -> None:
+    """Write ``postings`` (without block) and their ``terms`` rows (with ``kept`` ones) as ``gen``.
+
+    Terms too frequent for one block get 2 ^ bits blocks; rows are then dealt by ranges of
+    (bucket, term, field, block), so that tasks are even and a bucket has few files."""
+    spark = postings.sparkSession
+    df = postings.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > block_rows)
+    hot, size = landed(df.select("term", "field", F.least(F.lit(HASH_BITS), F.ceil(F.log2(F.col("df") / block_rows))).cast("int").alias("bits")),
+                       "index", "hot")
+    p = postings.join(F.broadcast(hot) if size <= BROADCAST_BYTES else hot, ["term", "field"], "left")
+    p = p.withColumn("bits", F.coalesce("bits", F.lit(0))).withColumn("block", block_of("message_id", F.col("bits"))).withColumn("bucket", bucket)
+    order = ["bucket", "term", "field", "block"]
+    cols = [c.split()[0] for c in TABLES["postings"].split(", ")[:9]]
+    (p.select(*cols, "bits", "bucket").repartitionByRange(*order).sortWithinPartitions(*order, "message_id")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/gen={gen}"))
+    avg = F.lit(1.0)
+    for f, a in averages.items():
+        avg = F.when(F.col("field") == f, F.lit(a)).otherwise(avg)
+    back = spark.read.schema(TABLES["postings"].replace("gen int", "bits int")).parquet(f"{path}/postings/gen={gen}")
+    t = back.groupBy("bucket", "term", "field", "block", "bits").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("live")).alias("n_live"), F.max(impact(F.col("tf"), F.col("dl"), avg)).alias("top"))
+    t = t.withColumn("avg", avg).select(*[c.split()[0] for c in TABLES["terms"].split(", ")[:-1]])
+    if kept is not None:
+        t = t.unionByName(kept.select(*t.columns))
+    t.repartitionByRange("term").sortWithinPartitions("term", "field", "block").write.mode("overwrite").parquet(f"{path}/terms/gen={gen}")
+
+
+def _averages(stats: dict) -> dict:
+    return {f: max(1.0, s["total"] / s["n"]) for f, s in stats.items() if s["n"]}
+
+
+def _write_change(ix_path: str, runs: DataFrame, gen: int, b: int, averages: dict | None, buckets: int, block_rows: int,
+                  merged: bool, stats: DataFrame | None = None, marks: DataFrame | None = None) -> None:
+    """Tables of one gen made from ``field_runs`` rows; ``stats`` are further changes of the statistics."""
+    spark = runs.sparkSession
+    runs, _ = landed(runs, "index", "runs")      # tokenised once
+    if averages is None:
+        averages = _averages({r["field"]: r.asDict() for r in _counts(runs).collect()})
+    docs = runs.select("message_id", "field", "dl", "live", F.lit(b).alias("born"))
+    part = F.pmod(F.xxhash64("message_id"), F.lit(buckets)).cast("int") if merged else F.lit(-1)
+    d = docs.withColumn("part", part)
+    (d.repartitionByRange("part", "message_id") if merged else d).sortWithinPartitions("part", "message_id") \
+        .write.mode("overwrite").partitionBy("part").parquet(f"{ix_path}/docs/gen={gen}")
+    p = runs.select("message_id", "field", "dl", "live", F.inline("runs"))
+    p = p.withColumn("tf", F.size("positions").cast("long")).withColumn("born", F.lit(b))
+    _write_postings(p, ix_path, gen, averages, bucket_of("term", buckets) if merged else F.lit(-1), block_rows)
+    empty = spark.createDataFrame([], TABLES["marks"].removesuffix(", gen int"))
+    (marks if marks is not None else empty).write.mode("overwrite").parquet(f"{ix_path}/marks/gen={gen}")
+    n_marks = 0 if marks is None else int(not spark.read.parquet(f"{ix_path}/marks/gen={gen}").isEmpty())
+    s = _counts(docs) if stats is None else _counts(docs).unionByName(stats)
+    s.withColumn("marks", F.lit(n_marks).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{ix_path}/stats/gen={gen}")
+
+
+def _write_layout(spark: SparkSession, path: str, gen: int, of: dict, buckets: int, block_rows: int) -> None:
+    rows = [(kind, b, g, buckets, block_rows) for kind, gens in of.items() for g, bs in gens.items() for b in bs]
+    spark.createDataFrame(rows, TABLES["layout"].removesuffix(", gen int")).coalesce(1).write.mode("overwrite").parquet(f"{path}/layout/gen={gen}")
+
+
+def store_index(messages: DataFrame, path: str, fields=FIELDS, buckets: int = INDEX_BUCKETS, block_rows: int = BLOCK_ROWS) -> Index:
+    """Build and write an index of all messages, deleted ones with their flag."""
+    spark = messages.sparkSession
+    _write_change(path, field_runs(messages, fields), 0, 0, None, buckets, block_rows, True)
+    every = {0: list(range(buckets))}
+    _write_layout(spark, path, 0, {"postings": every, "docs": every}, buckets, block_rows)
+    return load_index(spark, path)
+
+
+# ------------------------------------------------------------------ D2 / K5: changes
+def indexed(spark: SparkSession, path: str, b: int) -> bool:
+    """Whether change set ``b`` is part of the index."""
+    return exists(spark, f"{path}/stats/gen={2 * b - 1}/_SUCCESS") or max(_gens(spark, path, "layout"), default=-1) >= 2 * b
+
+
+def known(ix: Index, ids: DataFrame) -> DataFrame:
+    """``docs`` rows of the ids as they hold now; reads only the parts that their hashes name."""
+    part = F.pmod(F.xxhash64("message_id"), F.lit(ix.buckets)).cast("int")
+    ids, size = landed(ids.select("message_id").distinct(), "index", "ids")
+    at = ids.filter(F.length("message_id") >= 0).select("message_id", F.explode(F.array(part, F.lit(-1))).alias("part"))
+    return ix.current(ix.stored("docs").join(F.broadcast(at) if size <= BROADCAST_BYTES else at, ["part", "message_id"], "left_semi"))
+
+
+def extend(spark: SparkSession, path: str, messages: DataFrame, b: int, fields=FIELDS) -> None:
+    """K5: index those of the messages that are not indexed yet, as change set ``b``
+    (done already: nothing happens). Text of a stored message never changes, so
+    nothing else of a batch has to be indexed, and no stored message is read."""
+    if indexed(spark, path, b):
+        return
+    ix = load_index(spark, path)
+    old = known(ix, messages).select("message_id").distinct()
+    new = messages.join(old, "message_id", "left_anti")
+    _write_change(path, field_runs(new, fields), 2 * b - 1, b, _averages(ix.stats), ix.buckets, ix.block_rows, False)
+
+
+def replace(spark: SparkSession, path: str, changed: DataFrame | None, b: int, removed: DataFrame | None = None, fields=FIELDS) -> None:
+    """Postings of changed messages are made anew from their current version, those
+    of ``removed`` ids become void; stored postings are not rewritten."""
+    if indexed(spark, path, b):
+        return
+    ix = load_index(spark, path)
+    ids = [d.select("message_id") for d in (changed, removed) if d is not None]
+    old, _ = landed(known(ix, ids[0] if len(ids) == 1 else ids[0].union(ids[1])), "index", "old")
+    marks = old.select("message_id").distinct().select("message_id", F.lit(b).alias("b"), F.lit(True).alias("gone"), F.lit(None).cast("boolean").alias("live"))
+    runs = field_runs(changed, fields) if changed is not None else spark.createDataFrame(
+        [], "message_id string, live boolean, field string, dl int, runs array<struct<term:string,positions:array<int>>>")
+    _write_change(path, runs, 2 * b - 1, b, _averages(ix.stats), ix.buckets, ix.block_rows, False, _counts(old, -1), marks)
+
+
+def flag(spark: SparkSession, path: str, ids: DataFrame, live: bool, b: int) -> None:
+    """Soft-deleted (``live`` false) or restored messages: a mark and new statistics, no postings."""
+    if indexed(spark, path, b):
+        return
+    ix = load_index(spark, path)
+    old, _ = landed(known(ix, ids).filter(F.col("live") != F.lit(live)), "index", "old")
+    marks = old.select("message_id").distinct().select("message_id", F.lit(b).alias("b"), F.lit(False).alias("gone"), F.lit(live).alias("live"))
+    none = spark.createDataFrame([], "message_id string, live boolean, field string, dl int, runs array<struct<term:string,positions:array<int>>>")
+    stats = _counts(old, -1).unionByName(_counts(old.withColumn("live", F.lit(live))))
+    _write_change(path, none, 2 * b - 1, b, _averages(ix.stats), ix.buckets, ix.block_rows, False, stats, marks)
+
+
+def merge(spark: SparkSession, path: str) -> Index:
+    """Fold all change sets into the merged index: buckets that hold one of their terms,
+    or a posting that they made void, are written anew; the others keep their files."""
+    ix = load_index(spark, path)
+    if not ix.deltas:
+        return ix
+    gen = max(ix.deltas) + 1
+    late = F.col("gen").isin(ix.deltas)
+    touched = ix.stored("terms").filter(late).select(bucket_of("term", ix.buckets).alias("bucket")).distinct()
+    if ix.marked:
+        void = ix.table("marks").filter(late & F.col("gone")).select("message_id")
+        touched = touched.union(ix.stored("postings").filter(~late).join(void, "message_id", "left_semi").select("bucket")).distinct()
+    buckets = sorted(r["bucket"] for r in touched.collect())            # at most ``ix.buckets``
+    parts = sorted(r["p"] for r in ix.table("docs").filter(late).select(
+        F.pmod(F.xxhash64("message_id"), F.lit(ix.buckets)).cast("int").alias("p")).distinct().collect())
+    rows = ix.current(ix.stored("postings").filter(late | F.col("bucket").isin(buckets)))
+    stale = ix.table("terms").filter((F.col("gen") == ix.base) & ~F.col("bucket").isin(buckets))
+    _write_postings(rows.drop("block", "gen", "bucket"), path, gen, _averages(ix.stats), bucket_of("term", ix.buckets), ix.block_rows, stale)
+    d = ix.current(ix.stored("docs").filter(late | F.col("part").isin(parts))).drop("gen")
+    (d.withColumn("part", F.pmod(F.xxhash64("message_id"), F.lit(ix.buckets)).cast("int")).repartitionByRange("part", "message_id")
+     .sortWithinPartitions("part", "message_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/docs/gen={gen}"))
+    ix.stored("marks").drop("gen").write.mode("overwrite").parquet(f"{path}/marks/gen={gen}")
+    sums = ix.table("stats").filter(F.col("gen").isin([ix.base, *ix.deltas])).groupBy("field").agg(
+        *[F.sum(c).alias(c) for c in ("n", "total", "n_live", "total_live", "marks")])
+    sums.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/gen={gen}")
+    of = {}
+    for kind, new in (("postings", buckets), ("docs", parts)):
+        of[kind] = {g: left for g, bs in ix.of[kind].items() if (left := [x for x in bs if x not in set(new)])}
+        if new:
+            of[kind][gen] = new
+    _write_layout(spark, path, gen, of, ix.buckets, ix.block_rows)
+    return load_index(spark, path)
+
+
+# ------------------------------------------------------------------ D3-D5: matching
 def _terms(index: Index, terms: DataFrame) -> DataFrame:
-    """A query's terms with their bucket (a query has a handful of terms). The
-    empty term is in no index; filtering it out also tells the optimizer that
+    """A query's terms with the buckets they may lie in (a query has a handful of terms).
+    The empty term is in no index; filtering it out also tells the optimizer that
     the terms are selective, without which it prunes no partitions."""
-    return terms.select("term").distinct().filter(F.length("term") > 0).withColumn("bucket", bucket_of("term", index.buckets))
+    t = terms.select("term").distinct().filter(F.length("term") > 0)
+    return t.withColumn("bucket", F.explode(F.array(bucket_of("term", index.buckets), F.lit(-1))))
+
+
+def _in(rows: DataFrame, fields) -> DataFrame:
+    return rows if fields is None else rows.filter(F.col("field").isin(*fields))
 
 
 def _lookup(index: Index, terms: DataFrame, fields=None) -> DataFrame:
     """Postings of the query terms (``terms``: a frame with column ``term``)."""
-    p = index.postings if fields is None else index.postings.filter(F.col("field").isin(*fields))
-    return p.join(_terms(index, terms), ["bucket", "term"], "left_semi")
+    return index.current(_in(index.stored("postings"), fields).join(_terms(index, terms), ["bucket", "term"], "left_semi"))
 
 
 def match_all(index: Index, terms: DataFrame, fields=None) -> DataFrame:
@@ -147,19 +429,18 @@ def match_not(index: Index, include: DataFrame, exclude: DataFrame, fields=None)
 
 
 def match_prefix(index: Index, prefix: str, fields=None) -> DataFrame:
-    """D4 prefix: any term starting with ``prefix`` (a pushed-down range on the
-    sorted term column of every bucket)."""
-    p = index.postings if fields is None else index.postings.filter(F.col("field").isin(*fields))
-    return p.filter(F.col("term").startswith(prefix.lower())).select("message_id").distinct()
+    """D4 prefix: a range of the term dictionary, then the postings of what it holds,
+    from those terms' buckets only."""
+    t = _in(index.stored("terms"), fields).filter(F.col("term").startswith(prefix.lower())).select("term")
+    return _lookup(index, t, fields).select("message_id").distinct()
 
 
 def match_phrase(index: Index, phrase: DataFrame, fields=None) -> DataFrame:
     """D4 phrase of any length (``phrase``: rows ``i``, ``term`` with i from 0):
     the i-th term stands at position p + i of one field of a message."""
-    words = phrase.select("i", "term").filter(F.length("term") > 0).withColumn("bucket", bucket_of("term", index.buckets))
+    words = phrase.select("i", "term").filter(F.length("term") > 0)
     n = words.select(F.count(F.lit(1))).scalar()
-    p = index.postings if fields is None else index.postings.filter(F.col("field").isin(*fields))
-    at = p.join(words, ["bucket", "term"]).select("message_id", "field", "i", F.explode("positions").alias("pos"))
+    at = _lookup(index, words, fields).join(words, "term").select("message_id", "field", "i", F.explode("positions").alias("pos"))
     runs = at.groupBy("message_id", "field", (F.col("pos") - F.col("i")).alias("p")).agg(F.count(F.lit(1)).alias("_n"))
     return runs.filter(F.col("_n") == n).select("message_id").distinct()
 
@@ -185,25 +466,112 @@ def search(messages: DataFrame, index: Index, query: SearchQuery, terms: DataFra
 
 
 # ------------------------------------------------------------------ BM25
-def bm25(index: Index, terms: DataFrame, field: str = "body", k: int = 100, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 top-k over one field of a stored index.
-
-    Lengths and document frequencies are stored; only the query terms' buckets of
-    the postings are read. Scores are rounded to 9 decimals so ties are stable
-    whatever the summation order.
-    """
-    dl = index.lengths.filter(F.col("field") == field).select("message_id", "dl")
-    n_docs = dl.select(F.count(F.lit(1))).scalar()
-    avgdl = dl.select(F.avg("dl")).scalar()
-    df_t = index.frequencies.filter(F.col("field") == field).join(_terms(index, terms), ["bucket", "term"], "left_semi")
-    idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    df_t = df_t.select("bucket", "term", idf.alias("idf"))
-    hits = index.postings.filter(F.col("field") == field).join(F.broadcast(df_t), ["bucket", "term"])   # a row per query term
-    scored = (hits.select("message_id", "tf", "idf").join(dl, "message_id")
-                  .select("message_id", (F.col("idf") * F.col("tf") * (k1 + 1)
-                                         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("s")))
-    agg = scored.groupBy("message_id").agg(F.round(F.sum("s"), 9).alias("score"))
-    return agg.orderBy(F.col("score").desc(), F.col("message_id").asc()).limit(k)
+class _Ranking:
+    """A BM25 query over the stored index: weights from stored statistics, and the
+    postings that lie in a set of message blocks."""
+
+    def __init__(self, index: Index, words: list[str], field: str, k1: float, b: float, live_only: bool):
+        self.ix, self.words, self.field, self.live_only = index, words, field, live_only
+        s = index.stats.get(field, {"n": 0, "total": 0, "n_live": 0, "total_live": 0})
+        n, total = (s["n_live"], s["total_live"]) if live_only else (s["n"], s["total"])
+        self.avg, self.k1, self.b = (total / n if n else 1.0), k1, b
+        self.blocks = index.stored("terms").filter(self._has_word() & (F.col("field") == field))
+        df = {w: 0 for w in words}
+        for r in index.frequencies.filter(self._has_word() & (F.col("field") == field)).collect() if words else []:   # a row per word
+            df[r["term"]] = r["df_live"] if live_only else r["df"]
+        self.idf = {w: math.log((n - d + 0.5) / (d + 0.5) + 1.0) for w, d in df.items() if d > 0}
+
+    def _has_word(self) -> Column:
+        return F.col("term").isin(self.words)
+
+    def weight(self) -> Column:
+        out = F.lit(0.0)
+        for w, x in self.idf.items():
+            out = F.when(F.col("term") == w, F.lit(x)).otherwise(out)
+        return out
+
+    def postings(self, only: list | None = None, joined: DataFrame | None = None) -> DataFrame:
+        """Postings of the words, of all blocks or of some: ``only`` (gen, term, block) as
+        literals that reach the scan, or ``joined`` rows of them."""
+        p = self.ix.stored("postings").filter(self._has_word() & (F.col("field") == self.field))
+        near = F.col("bucket").isin([int(x) for x in self._buckets()])
+        p = p.filter(near)
+        if only is not None:
+            by = defaultdict(list)
+            for g, t, k in only:
+                by[g, t].append(k)
+            cond = F.lit(False)
+            for (g, t), ks in by.items():
+                cond = cond | ((F.col("source") == g) & (F.col("term") == t) & F.col("block").isin(ks))
+            p = self._sourced(p).filter(cond).drop("source")
+        elif joined is not None:
+            p = self._sourced(p).join(joined, ["source", "term", "block"], "left_semi").drop("source")
+        p = self.ix.current(p)
+        return p.filter("live") if self.live_only else p
+
+    def _sourced(self, p: DataFrame) -> DataFrame:
+        """``source``: the gen whose ``terms`` rows describe a posting's block."""
+        return p.withColumn("source", F.when(F.col("gen") > self.ix.base, F.col("gen")).otherwise(F.lit(self.ix.base)))
+
+    def _buckets(self) -> list[int]:
+        row = self.ix.spark.range(1).select(F.array(*[bucket_of(F.lit(w), self.ix.buckets) for w in self.words]).alias("b")).first()
+        return sorted({-1, *row["b"]})
+
+    def scores(self, postings: DataFrame) -> DataFrame:
+        """Scores rounded to 9 decimals, so ties are stable whatever the summation order."""
+        s = self.weight() * impact(F.col("tf"), F.col("dl"), self.avg, self.k1, self.b)
+        return postings.groupBy("message_id").agg(F.round(F.sum(s), 9).alias("score"))
+
+    def bounds(self) -> tuple[DataFrame, int]:
+        """(at, bound): the highest score possible in each range of message hashes, as
+        fine as the finest of the words' blocks; and the bits of those ranges."""
+        fine = self.blocks.select(F.max("bits")).first()[0] or 0
+        # An average length above the one at which impacts were stored lifts them by at most their ratio.
+        top = F.col("top") * F.greatest(F.lit(1.0), F.lit(self.avg) / F.col("avg")) * self.weight()
+        width = F.call_function("shiftleft", F.lit(1), F.lit(fine) - F.col("bits"))
+        at = F.explode(F.sequence(F.col("block") * width, (F.col("block") + 1) * width - 1))
+        per_term = self.blocks.select("term", at.alias("at"), top.alias("top")).groupBy("at", "term").agg(F.max("top").alias("top"))
+        return per_term.groupBy("at").agg(F.sum("top").alias("bound")), fine
+
+    def within(self, at: DataFrame, fine: int) -> dict:
+        """The words' blocks that cover the ranges, as arguments of ``postings``."""
+        b = self.blocks.select(F.col("gen").alias("source"), "term", "block", "bits")
+        cover = F.call_function("shiftright", F.col("at"), F.lit(fine) - F.col("bits"))
+        bits = b.select("bits").distinct()
+        wanted = at.join(F.broadcast(bits)).select("bits", cover.alias("block")).distinct()   # at most HASH_BITS values of bits
+        hit = b.join(wanted, ["bits", "block"], "left_semi").select("source", "term", "block")
+        some = hit.limit(PUSHED_BLOCKS + 1).collect()
+        return {"joined": hit} if len(some) > PUSHED_BLOCKS else {"only": [tuple(r) for r in some]}
+
+
+def ranked_postings(index: Index, words: list[str], field: str = "body", k: int = 100, k1: float = K1, b: float = B,
+                    live_only: bool = True) -> tuple[_Ranking, DataFrame]:
+    """The postings that can decide a BM25 top-k. The ranges of messages with the highest
+    bounds are scored first; ranges whose bound is below the k-th score found there
+    are left out."""
+    rank = _Ranking(index, words, field, k1, b, live_only)
+    if not words or (k1, b) != (K1, B):
+        return rank, rank.postings()
+    bounds, fine = rank.bounds()
+    if fine == 0:
+        return rank, rank.postings()
+    bounds, _ = landed(bounds, "index", "bounds")
+    first = bounds.orderBy(F.col("bound").desc(), "at").limit(max(8, 2 * k)).select("at")
+    best = rank.scores(rank.postings(**rank.within(first, fine))).orderBy(F.col("score").desc()).limit(k)
+    least = best.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).first()
+    if least["n"] < k:
+        return rank, rank.postings()
+    left = bounds.filter(F.col("bound") >= least["s"] - 1e-6).select("at")
+    return rank, rank.postings(**rank.within(left, fine))
+
+
+def bm25(index: Index, terms: DataFrame, field: str = "body", k: int = 100, k1: float = K1, b: float = B, live_only: bool = True) -> DataFrame:
+    """Okapi BM25 top-k over one field of a stored index; the query's words (a
+    handful) and its constants are stored statistics, postings come from the blocks that
+    can hold one of the k best."""
+    words = sorted(r["term"] for r in terms.select("term").distinct().collect() if r["term"])
+    rank, postings = ranked_postings(index, words, field, k, k1, b, live_only)
+    return rank.scores(postings).orderBy(F.col("score").desc(), F.col("message_id").asc()).limit(k)
 
 
 def top_phrase(messages: DataFrame, n: int, field: str = "body") -> DataFrame:

@@ -3,18 +3,27 @@ soft delete (A6/E5), incremental range (I3).
 
 A batch of changes is landed first and its files are measured: up to
 ``BROADCAST_BYTES`` it is broadcast, so the stored table is filtered and updated
-where it lies and never shuffled; beyond that both sides are shuffled by id.
+where it lies and never shuffled. Beyond that a bitmap of the changed ids' hashes
+(``BITMAP_BITS``, of fixed size) is broadcast instead: rows that cannot have changed
+pass through where they lie, the others are shuffled by id (``overlay``).
+
+A stored table may be laid out by ``bucket``, a hash of the id (``write_table``); then a
+batch reads and rewrites the buckets of its ids only (``upsert_table``,
+``mark_deleted_table``), by Spark's dynamic partition overwrite.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..schema import MESSAGE_COLUMNS
+from ..schema import MESSAGE_COLUMNS, MESSAGES, conform
 from ..session import landed
 
 #: Parquet bytes up to which a landed batch of ids and flags is broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
+#: Bits of the bitmap of changed ids (16 MB), in pieces of 4 KB as the built-in bitmap functions make them.
+BITMAP_BITS = 1 << 27
+TABLE_BUCKETS = 64   # default of ``buckets``; raise it with the archive, so that a bucket stays a few files
 
 
 def _now(now) -> Column:
@@ -30,16 +39,37 @@ def latest_per_id(df: DataFrame, order: list[Column] | None = None) -> DataFrame
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def _sized(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(landed frame, the same with a broadcast hint if its files are small)."""
-    df, size = landed(df, "batch", name)
-    return df, (F.broadcast(df) if size <= BROADCAST_BYTES else df)
+def _split(stored: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the ids, rows that have none), by the bitmap of the
+    ids' hashes; neither is shuffled."""
+    place = F.pmod(F.xxhash64("message_id"), F.lit(BITMAP_BITS))
+    bits = (ids.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_piece"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits")))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    told = (stored.withColumn("_piece", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_piece", "left")   # at most 16 MB
+            .withColumn("_hit", hit).drop("_piece", "_bits"))
+    return told.filter("_hit").drop("_hit"), told.filter("not _hit").drop("_hit")
+
+
+def overlay(stored: DataFrame, changes: DataFrame, name: str) -> DataFrame:
+    """``stored`` left-joined with ``changes`` (unique message_id); rows that have no
+    change are never shuffled, whatever the size of ``changes``."""
+    changes, size = landed(changes, "batch", name)
+    if size <= BROADCAST_BYTES:
+        return stored.join(F.broadcast(changes), "message_id", "left")
+    may, others = _split(stored, changes)
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in changes.schema.fields if f.name != "message_id"]
+    return may.join(changes, "message_id", "left").unionByName(others.select("*", *rest))
 
 
 def matching(stored: DataFrame, ids: DataFrame) -> DataFrame:
     """Stored rows with one of the ids."""
-    _, ids = _sized(ids.select("message_id").distinct(), "ids")
-    return stored.join(ids, "message_id", "left_semi")
+    ids, size = landed(ids.select("message_id").distinct(), "batch", "ids")
+    if size <= BROADCAST_BYTES:
+        return stored.join(F.broadcast(ids), "message_id", "left_semi")
+    return _split(stored, ids)[0].join(ids, "message_id", "left_semi")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, now=None, dedupe: bool = True) -> DataFrame:
@@ -48,9 +78,9 @@ def upsert(existing: DataFrame, incoming: DataFrame, now=None, dedupe: bool = Tr
     subject, body, size, thread and time are never changed."""
     ts = _now(now)
     inc, _ = landed(latest_per_id(incoming) if dedupe else incoming, "batch", "incoming")
-    _, upd = _sized(inc.select("message_id", F.col("is_read").alias("_read"), F.col("labels").alias("_labels"),
-                               F.lit(True).alias("_hit")), "changes")
-    kept = existing.join(upd, "message_id", "left").select(
+    upd = inc.select("message_id", F.col("is_read").alias("_read"), F.col("labels").alias("_labels"),
+                     F.lit(True).alias("_hit"))
+    kept = overlay(existing, upd, "changes").select(
         *[
             (F.coalesce("_read", "is_read").alias(c) if c == "is_read" else
              F.when(F.col("_hit"), F.col("_labels")).otherwise(F.col("labels")).alias(c) if c == "labels" else
@@ -59,7 +89,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, now=None, dedupe: bool = Tr
              F.col(c))
             for c in MESSAGE_COLUMNS
         ])
-    known = existing.select("message_id").join(upd, "message_id", "left_semi")
+    known = matching(existing.select("message_id"), inc)
     new = (inc.join(known, "message_id", "left_anti")
               .withColumn("is_deleted", F.lit(False)).withColumn("last_indexed", ts)
               .select(*MESSAGE_COLUMNS))
@@ -76,8 +106,7 @@ def deleted_ids(local: DataFrame, remote_ids: DataFrame) -> DataFrame:
 def mark_deleted(messages: DataFrame, ids: DataFrame, now=None) -> DataFrame:
     """Set ``is_deleted`` and ``last_indexed`` for the given ids.
     An empty id set leaves the table as it was."""
-    _, hit = _sized(ids.select("message_id").distinct().withColumn("_hit", F.lit(True)), "deleted")
-    j = messages.join(hit, "message_id", "left")
+    j = overlay(messages, ids.select("message_id").distinct().withColumn("_hit", F.lit(True)), "deleted")
     return j.select(*[
         (F.when(F.col("_hit"), F.lit(True)).otherwise(F.col(c)).alias(c) if c == "is_deleted" else
          F.when(F.col("_hit"), _now(now)).otherwise(F.col(c)).alias(c) if c == "last_indexed" else F.col(c))
@@ -89,6 +118,51 @@ def sync_deletions(messages: DataFrame, remote_ids: DataFrame, now=None) -> Data
     return mark_deleted(messages, deleted_ids(messages, remote_ids), now)
 
 
+# ------------------------------------------------------------------ a table laid out by id
+def bucket(buckets: int = TABLE_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64("message_id"), F.lit(buckets)).cast("int")
+
+
+def write_table(messages: DataFrame, path: str, buckets: int = TABLE_BUCKETS) -> str:
+    """Store messages by bucket of the id, sorted by id inside."""
+    rows = conform(messages).withColumn("bucket", bucket(buckets))
+    (rows.repartitionByRange("bucket", "message_id").sortWithinPartitions("bucket", "message_id")
+     .write.mode("errorifexists").partitionBy("bucket").parquet(path))
+    return path
+
+
+def stored_table(spark: SparkSession, path: str) -> DataFrame:
+    """The stored messages with their ``bucket``."""
+    return spark.read.schema(T.StructType([*MESSAGES.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
+
+
+def _rewrite(spark: SparkSession, path: str, ids: DataFrame, change, buckets: int) -> list[int]:
+    """Put ``change(rows)`` in place of the rows of all buckets that hold one of the ids.
+    The new rows are landed first: what a failed overwrite leaves is written again from
+    there by repeating the batch."""
+    touched = sorted(r["bucket"] for r in ids.select(bucket(buckets).alias("bucket")).distinct().collect())   # at most ``buckets``
+    if touched:
+        rows = change(stored_table(spark, path).filter(F.col("bucket").isin(touched)).drop("bucket"))
+        rows, _ = landed(rows.withColumn("bucket", bucket(buckets)), "batch", "buckets")
+        (rows.repartitionByRange("bucket", "message_id").sortWithinPartitions("bucket", "message_id")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    return touched
+
+
+def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, now=None, buckets: int = TABLE_BUCKETS) -> list[int]:
+    """A5/K8 on a stored table; returns the buckets it rewrote. Repeating a batch changes nothing but ``last_indexed``."""
+    inc, _ = landed(latest_per_id(conform(incoming)), "batch", "incoming")
+    return _rewrite(spark, path, inc, lambda rows: upsert(rows, inc, now, dedupe=False), buckets)
+
+
+def mark_deleted_table(spark: SparkSession, path: str, ids: DataFrame, now=None, buckets: int = TABLE_BUCKETS) -> list[int]:
+    """A6/E5 on a stored table; ids that are not stored, or marked already, rewrite nothing."""
+    near = ids.select("message_id", bucket(buckets).alias("bucket")).distinct()
+    alive = stored_table(spark, path).filter(~F.col("is_deleted")).select("message_id", "bucket")
+    hit, _ = landed(alive.join(near, ["bucket", "message_id"], "left_semi").select("message_id"), "batch", "deleted")
+    return _rewrite(spark, path, hit, lambda rows: mark_deleted(rows, hit, now), buckets)
+
+
 def incremental_range(stored: DataFrame, candidates: DataFrame) -> DataFrame:
     """Keep candidates newer than the stored maximum or older than
     the stored minimum. The bounds are scalar subqueries: computed once,

@@ -7,9 +7,9 @@ from pyspark.sql import Window, functions as F
 from ..operators import index as IX
 from ..operators import search as S
 from ..operators import store as ST
-from ..session import scratch_path
+from ..session import scratch_path, stamp
 from ..sources import fixtures as fx
-from .registry import register
+from .registry import ORACLES, register
 from .sqlfrag import M
 
 TOKS = "list_filter(string_split(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda t: t <> '')"
@@ -47,17 +47,16 @@ def _m(spark, sf):
     return fx.messages(spark, sf)
 
 
-_STORED: dict[tuple[str, str, bool], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
-def _index(spark, sf, live=False):
-    """The archive's stored index: built by the first query of a session that
-    needs it, read by the others."""
-    key = (spark.sparkContext.applicationId, sf, live)
+def _index(spark, sf):
+    """The archive's stored index: built by the first query of a session that needs it,
+    read by the others as long as the archive's files stay the same."""
+    key = (spark.sparkContext.applicationId, sf, *[stamp(spark, f"{sf.rstrip('/')}/{t}.parquet") for t in ("events", "documents")])
     if key not in _STORED:
-        m = _m(spark, sf)
         path = scratch_path(spark, "index")
-        IX.store_index(m.filter(~F.col("is_deleted")) if live else m, path)
+        IX.store_index(_m(spark, sf), path)
         _STORED[key] = path
     return IX.load_index(spark, _STORED[key])
 
@@ -82,6 +81,40 @@ def q_fts_index(spark, sf):
     return p.select("term", "field", "message_id", "tf", F.element_at("positions", 1).alias("first_pos"))
 
 
+@register("fts_store", sql("""SELECT term, field, count(*) AS df, count_if(live) AS df_live
+FROM post JOIN (SELECT message_id, NOT is_deleted AS live FROM m) USING (message_id) GROUP BY term, field"""))
+def q_fts_store(spark, sf):
+    """D1 as a stored index: every table of it is written; its term dictionary comes back."""
+    ix = IX.store_index(_m(spark, sf), scratch_path(spark, "index"))
+    return ix.frequencies.select("term", "field", "df", "df_live")
+
+
+def _segmented(spark, sf, merged):
+    """An index grown in steps: a seed, two batches of new messages (one repeating
+    ids), a batch of changed and removed ones, and deletion flags; then merged or not.
+    It ends up with the archive's messages, current texts and flags."""
+    m = _m(spark, sf)
+    k = F.substring("message_id", 2, 20).cast("bigint")
+    path = scratch_path(spark, "index")
+    early = m.withColumn("is_deleted", F.lit(False))
+    stale = F.when(k % 7 == 3, F.concat(F.lit("draft "), F.coalesce("subject", F.lit("")))).otherwise(F.col("subject"))
+    IX.store_index(early.filter(k % 4 == 0).withColumn("subject", stale), path, buckets=16)
+    IX.extend(spark, path, early.filter(k % 4 == 1).withColumn("subject", stale), 1)
+    IX.extend(spark, path, early.filter((k % 4 == 2) | (k % 8 == 1)), 2)            # ids of 8 n + 1 are known
+    if merged:
+        IX.merge(spark, path)
+    gone = m.filter(k % 28 == 3).select(F.concat(F.lit("x"), "message_id").alias("message_id"))
+    IX.replace(spark, path, m.filter((k % 4 == 3) | (k % 7 == 3)), 3, removed=gone)
+    IX.flag(spark, path, m.filter("is_deleted").select("message_id"), False, 4)
+    return IX.merge(spark, path) if merged else IX.load_index(spark, path)
+
+
+@register("fts_segments", sql("SELECT term, field, message_id, tf, first_pos, NOT is_deleted AS live FROM post JOIN (SELECT message_id, is_deleted FROM m) USING (message_id)"))
+def q_fts_segments(spark, sf):
+    """The postings of an index that change sets have grown, unmerged."""
+    return _segmented(spark, sf, False).postings.select("term", "field", "message_id", "tf", F.element_at("positions", 1).alias("first_pos"), "live")
+
+
 @register("fts_all", sql("""SELECT message_id FROM live WHERE message_id IN (
   SELECT message_id FROM post WHERE term IN (SELECT term FROM kw_freq)
   GROUP BY message_id HAVING count(DISTINCT term) = 2)"""))
@@ -153,7 +186,10 @@ WHERE message_id IN (SELECT message_id FROM hit)
   AND size BETWEEN 1000 AND 400000 AND is_read
 ORDER BY size DESC, message_id LIMIT 10 OFFSET 3""", *PHRASE_CTES))
 def q_fts_search_combined(spark, sf):
-    m, ix = _m(spark, sf), _index(spark, sf)
+    return _searched(_m(spark, sf), _index(spark, sf))
+
+
+def _searched(m, ix):
     query = S.build_query(filters=[dict(field="size", operator="between", value=[1000, 400000]),
                                    dict(field="is_read", operator="eq", value=True)],
                           sort_field="size", limit=10, offset=3)
@@ -172,8 +208,35 @@ GROUP BY message_id ORDER BY score DESC, message_id LIMIT 20""",
     "q AS (SELECT * FROM bp WHERE term IN (SELECT term FROM kw_freq UNION SELECT term FROM kw_rare))",
     "dft AS (SELECT term, count(*) AS df FROM q GROUP BY 1)"))
 def q_fts_bm25(spark, sf):
-    freq, rare = _kw(_index(spark, sf))
-    return IX.bm25(_index(spark, sf, live=True), freq.select("term").unionByName(rare), "body", k=20)
+    ix = _index(spark, sf)
+    freq, rare = _kw(ix)
+    return IX.bm25(ix, freq.select("term").unionByName(rare), "body", k=20)
+
+
+@register("fts_segments_bm25", None)
+def q_fts_segments_bm25(spark, sf):
+    """D6 over seed and change sets: weights, lengths and flags of all of them."""
+    ix = _segmented(spark, sf, False)
+    freq, rare = _kw(ix)
+    return IX.bm25(ix, freq.select("term").unionByName(rare), "body", k=20)
+
+
+@register("fts_merged_bm25", None)
+def q_fts_merged_bm25(spark, sf):
+    """D6 after two merges."""
+    ix = _segmented(spark, sf, True)
+    freq, rare = _kw(ix)
+    return IX.bm25(ix, freq.select("term").unionByName(rare), "body", k=20)
+
+
+@register("fts_merged_search", None)
+def q_fts_merged_search(spark, sf):
+    """C26 after two merges: term, phrase, prefix and filters at once."""
+    return _searched(_m(spark, sf), _segmented(spark, sf, True))
+
+
+for _key, _same in (("fts_segments_bm25", "fts_bm25"), ("fts_merged_bm25", "fts_bm25"), ("fts_merged_search", "fts_search_combined")):
+    ORACLES[_key] = ORACLES[_same]   # however the index came about
 
 
 @register("fts_filtered", sql("SELECT message_id FROM live WHERE size BETWEEN 1000 AND 20000 AND NOT is_read"))
@@ -191,10 +254,11 @@ def q_fts_filtered(spark, sf):
     + "\nSELECT term, field, message_id, tf FROM post")
 def q_fts_maintain(spark, sf):
     ex, inc = fx.existing(spark, sf), fx.incoming(spark, sf)
-    before = IX.build_index(ex)
-    after = ST.upsert(ex, inc, fx.AS_OF)
-    changed = after.join(inc.select("message_id"), "message_id", "left_semi")
-    return IX.maintain_index(before, changed).select("term", "field", "message_id", "tf")
+    path = scratch_path(spark, "index")
+    IX.store_index(ex, path)
+    changed = ST.upsert(ST.matching(ex, inc), inc, fx.AS_OF)
+    IX.replace(spark, path, changed, 1)
+    return IX.load_index(spark, path).postings.select("term", "field", "message_id", "tf")
 
 
 @register("index_document", "WITH " + M + """

@@ -81,6 +81,16 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(hpath)] if fs.exists(hpath) else []
 
 
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """What changes when the files of a table change: their number, bytes and latest
+    modification time."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(hpath)
+    times = [st.getModificationTime() for st in fs.listStatus(hpath)]
+    return int(size.getFileCount()), int(size.getLength()), max([fs.getFileStatus(hpath).getModificationTime(), *times])
+
+
 def landed(df, *parts: str):
     """(frame, bytes): ``df`` written as Parquet into the shared folder and read
     back, and the size of its files, for choices that hang on a measured size."""
@@ -99,4 +109,4 @@ def dealt(df, *keys: str):
     return df.repartition(n, *keys)
 
 
-__all__ = ["build_session", "dealt", "ensure_utc", "exists", "folders", "landed", "scratch_path", "work_dir"]
+__all__ = ["build_session", "dealt", "ensure_utc", "exists", "folders", "landed", "scratch_path", "stamp", "work_dir"]
