@@ -279,6 +279,7 @@ def encoded(docs: DataFrame, folder: str) -> DataFrame:
             for part, data, _ in vec.text_slices(batch, limit=BLOCK_BYTES):
                 if held and size + len(data) > BLOCK_BYTES:
                     yield from flush()
+                    pa.default_memory_pool().release_unused()
                     held, size, block = [], 0, block + 1
                 held.append(part)
                 size += len(data)
