@@ -1,14 +1,19 @@
 """Links between similar items without pairs of whole groups.
 
 Items (``node``, a 64-bit id of one distinct content) that share a join key form
-a family around the key's smallest node. Families meet in cells of bounded
-size; inside a family a numpy test on compact payloads finds the pairs
-that may be similar, and only as many of them as could join two still separate
-parts are handed on to the exact check. If a handed-on pair fails the check,
-the families it came from are looked at again with what is known by then, with
-a growing number of partners for each row, until nothing is open and no row had
-more partners than it handed on. So every link between different contents is found or implied
-by a chain of checked links, and a family of n equal members costs n pairs.
+a family around the key's smallest node, its center. Families meet in cells of bounded
+size, at most twice:
+
+* each family is cut into parts by node, and its center joins every part, so that work
+  and shuffle are linear in the family. A numpy test on compact payloads groups what may
+  be similar; only of items in such a group do the sets themselves travel, and a pair
+  links if its sets say so. Pairs that checked links have joined already are left out;
+* members of a cut family that are not joined with its center by then (in a family of
+  near copies there are few, or none) meet all its other parts, in cells (part of the
+  rest, part of the family); again only what looks similar is decided by sets.
+
+So every link between different contents is found or implied by a chain of checked
+links, nothing is capped, and a family of n copies of one thing costs n checks.
 """
 
 from __future__ import annotations
@@ -17,13 +22,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, empty, staged, whole_groups
 
-#: Rows and payload bytes of one cell at most (two parts of it are compared).
-CELL_ROWS, CELL_BYTES = 20_000, 16_000_000
+#: Rows and bytes (of payloads and sets) of a family's part, and of the parts that meet across.
+CELL_ROWS, ACROSS_ROWS, CELL_BYTES = 256, 1000, 8_000_000
 BITMAP_BITS = 1 << 27
 
 
@@ -54,140 +59,165 @@ def members_of(keys: DataFrame, name: str) -> DataFrame:
     return staged(keys.join(shared, "key").select("band", "center", "node").distinct(), f"{name}_members")
 
 
-def cells(members: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
-    """Where families meet, ids only: rows (band, g1, g2, pa, pb, part, node,
-    centers). Families that hang together go to one cell, so that an item's
-    payload travels there once; what hangs together but exceeds a cell is cut by
-    center, and a family that alone exceeds one is cut into parts by node, of
-    which part p meets part q in cell (p, q)."""
+#: A cell; ``rest``: the row's side where parts meet across, else null.
+CELL = ["band", "center", "p", "q"]
+
+
+def _parts(rows: int, least: str = "n") -> Column:
+    return F.ceil(F.greatest(F.col(least) / rows, F.col("b") / CELL_BYTES)).cast("int")
+
+
+def families_of(members: DataFrame, payload: DataFrame, name: str) -> DataFrame:
+    """(band, center, node, g): members with the number of parts of their family."""
+    sizes = payload.select("band", "node", (F.octet_length("payload") + 8 * F.col("size")).alias("bytes"))
     rows = staged(members.join(sizes, ["band", "node"]), f"{name}_sized")
-    family = rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    cut = F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("b") / CELL_BYTES))
-    big = staged(family.withColumn("g", cut).where("g > 1").select("band", "center", "g"), f"{name}_big")
-    grid = rows.join(big, ["band", "center"]).withColumn("part", F.pmod(F.xxhash64("node"), "g").cast("int"))
-    grid = grid.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("g") - 1).cast("int"))))
-    grid = grid.select("band", F.col("center").alias("g1"), F.lit(-1).alias("g2"), F.least("part", "other").alias("pa"),
-                       F.greatest("part", "other").alias("pb"), "part", "node", F.array("center").alias("centers"))
-    small = rows.join(big, ["band", "center"], "left_anti")
-    own, middle = F.xxhash64("band", "node"), F.xxhash64("band", "center")
-    whole = components(small.select(middle.alias("a"), own.alias("b")), f"{name}_whole")
-    small = staged(small.withColumn("id", middle).join(whole, "id"), f"{name}_whole")
-    load = small.dropDuplicates(["component", "band", "node"]).groupBy("component").agg(
-        F.count("*").alias("n"), F.sum("bytes").alias("b")).select("component", cut.alias("g"))
-    small = small.join(staged(load, f"{name}_load"), "component")
-    small = small.withColumn("g2", F.pmod(F.xxhash64("center"), "g").cast("int"))
-    small = small.groupBy("band", F.col("component").alias("g1"), "g2", "node").agg(F.collect_set("center").alias("centers"))
-    zero = F.lit(0)
-    return small.select("band", "g1", "g2", zero.alias("pa"), zero.alias("pb"), zero.alias("part"), "node", "centers").union(grid)
-
-
-def pairs_in(rows: pa.Table, close: Callable, most: int | None):
-    """(a, b) node pairs of one cell that share a family, may link and lie in
-    different known components. ``most`` None: only enough pairs to join
-    everything; otherwise up to ``most`` partners of each row in each family."""
-    node = rows.column("node").to_numpy()
-    order = np.argsort(node, kind="stable")
-    node = node[order]
-    pick = pa.array(order)
-    size = rows.column("size").to_numpy()[order]
-    part = rows.column("part").to_numpy()[order]
-    root = rows.column("known").to_numpy()[order].copy()
-    data = rows.column("payload").combine_chunks().take(pick).to_pylist()
-    fill = -len(data[0]) % 8
-    x = np.frombuffer(b"".join(d + bytes(fill) for d in data), np.uint64).reshape(len(node), -1)
-    split = rows.column("pa")[0].as_py() != rows.column("pb")[0].as_py()
-    denied = rows.column("denied").combine_chunks().take(pick)
-    any_denied = denied.null_count < len(denied)
-    centers = rows.column("centers").combine_chunks().take(pick)
-    owner = np.repeat(np.arange(len(node)), centers.value_lengths().to_numpy(zero_copy_only=False))
-    by = np.argsort(centers.flatten().to_numpy(), kind="stable")
-    cut = np.flatnonzero(np.diff(centers.flatten().to_numpy()[by])) + 1
-    out = []
-    for family in np.split(owner[by], cut):
-        own, n = np.ascontiguousarray(x[family].T), size[family]   # words by item, so that sums run along items
-        for k, i in enumerate(family[:-1]):
-            rest = family[k + 1:]
-            may = root[rest] != root[i]
-            if split:
-                may &= part[rest] != part[i]
-            left = np.count_nonzero(may)
-            if not left:
-                continue
-            if 2 * left < len(rest):
-                at = np.flatnonzero(may)
-                at = rest[at[close(own[:, k:k + 1], n[k], own[:, k + 1:][:, at], n[k + 1:][at])]]
-            else:
-                at = rest[may & close(own[:, k:k + 1], n[k], own[:, k + 1:], n[k + 1:])]
-            if len(at) and any_denied and denied[i].as_py():
-                at = at[~np.isin(node[at], denied[i].as_py())]
-            if most is not None:
-                out += [(int(node[i]), int(node[j])) for j in at[:most]]
-                continue
-            while len(at):
-                j = at[0]
-                out.append((int(node[i]), int(node[j])))
-                root[root == root[j]] = root[i]
-                at = at[root[at] != root[i]]
-    return out
-
-
-KEYS = ["band", "g1", "g2", "pa", "pb"]
-
-
-def candidates(rows: DataFrame, payload: DataFrame, close: Callable, most: int | None) -> DataFrame:
-    """Distinct (a, b) from the cells of ``rows``, joined with the payloads."""
-    def run(batches):
-        for table in whole_groups(batches, KEYS):
-            change = np.zeros(len(table), bool)
-            change[0] = True
-            for k in KEYS:
-                c = table.column(k).to_numpy()
-                change[1:] |= c[1:] != c[:-1]
-            first = np.append(np.flatnonzero(change), len(table))
-            out = []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                if b - a > 1:
-                    out += pairs_in(table.slice(a, b - a), close, most)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()),
-                                                  pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
-    dealt = rows.join(payload, ["band", "node"]).repartition(*KEYS).sortWithinPartitions(*KEYS)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def links(members: DataFrame, payload: DataFrame, close: Callable, verify: Callable, name: str) -> DataFrame:
-    """Checked links (a, b, ...) that connect whatever is linked.
+    big = rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).withColumn("g", _parts(CELL_ROWS)).where("g > 1")
+    return rows.join(big, ["band", "center"], "left").select("band", "center", "node", "bytes", F.coalesce("g", F.lit(1)).alias("g"))
+
+
+def own_cells(rows: DataFrame) -> DataFrame:
+    """Cells of the families' parts; the center is in each."""
+    part = F.when(F.col("node") == F.col("center"), F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("g")).cast("int")))
+    return rows.select("band", "center", F.explode(part).alias("p"), F.lit(0).alias("q"), "node", F.col("node").alias("known"),
+                       F.lit(None).cast("boolean").alias("rest"))
+
+
+def cross_cells(rows: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """Cells in which members not joined with their center (``parts``: id, component)
+    meet the whole family."""
+    known = parts.select(F.col("id").alias("node"), F.col("component").alias("known"))
+    rows = rows.where("g > 1").join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
+    hub = rows.where("node = center").select("band", "center", F.col("known").alias("hub"))
+    rows = staged(rows.join(hub, ["band", "center"]).withColumn("rest", F.col("known") != F.col("hub")), f"{name}_known")
+    load = rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.count_if("rest").alias("r"), F.sum("bytes").alias("b"))
+    load = load.where("r > 0").select("band", "center", _parts(ACROSS_ROWS).alias("gq"), _parts(ACROSS_ROWS, "r").alias("gp"))
+    rows = rows.drop("g", "hub", "bytes").join(load, ["band", "center"])
+    h = F.xxhash64("node")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = rows.where("rest").select("band", "center", F.pmod(h, F.col("gp")).cast("int").alias("p"), upto("gq").alias("q"), "node", "known", "rest")
+    b = rows.select("band", "center", upto("gp").alias("p"), F.pmod(h, F.col("gq")).cast("int").alias("q"), "node", "known", F.lit(False).alias("rest"))
+    return a.union(b)
+
+
+class _Cell:
+    """One cell's rows as arrays, by node (the rest's side first where parts meet across)."""
+
+    def __init__(self, rows: pa.Table):
+        self.across = rows.column("rest")[0].is_valid
+        rest = rows.column("rest").fill_null(False).to_numpy()
+        order = np.lexsort((rows.column("node").to_numpy(), ~rest))
+        self.order, self.n_rest = order, int(rest.sum()) if self.across else 0
+        self.node, self.size = rows.column("node").to_numpy()[order], rows.column("size").to_numpy()[order]
+        self.root = np.unique(rows.column("known").to_numpy()[order], return_inverse=True)[1]
+        data = rows.column("payload").combine_chunks().take(pa.array(order)).to_pylist()
+        fill = bytes(-len(data[0]) % 8)
+        x = np.frombuffer(b"".join(d + fill for d in data), np.uint64).reshape(len(order), -1)
+        self.words = np.ascontiguousarray(x.T)   # words by item, so that sums run along items
+
+    def alike(self, i: int, close: Callable, open_only: bool = True) -> np.ndarray:
+        """Later rows of the cell that may link with row ``i``; those of known parts only if another's."""
+        lo = self.n_rest if self.across else i + 1
+        at = lo + np.flatnonzero(self.root[lo:] != self.root[i]) if open_only else np.arange(lo, len(self.node))
+        if len(at):
+            at = at[close(self.words[:, i:i + 1], self.size[i], self.words[:, at], self.size[at])]
+        return at
+
+    def firsts(self) -> range:
+        return range(self.n_rest if self.across else len(self.node) - 1)
+
+    def join(self, i: int, j: int) -> None:
+        self.root[self.root == self.root[j]] = self.root[i]
+
+
+def alike_groups(cell: _Cell, close: Callable) -> np.ndarray:
+    """A group number for each row of a cell that may link with another, else -1. Across
+    parts, where some rows are joined already, all rows with a partner are one group."""
+    group = np.full(len(cell.node), -1, np.int64)
+    if cell.across:
+        for i in cell.firsts():
+            at = cell.alike(i, close)
+            if len(at):
+                group[i] = group[at] = 0
+        return group
+    for i in cell.firsts():
+        at = cell.alike(i, close)
+        while len(at):
+            cell.join(i, at[0])
+            at = at[cell.root[at] != cell.root[i]]
+    _, back, count = np.unique(cell.root, return_inverse=True, return_counts=True)
+    return np.where(count[back] > 1, back, -1)
+
+
+def checked_links(cell: _Cell, sets: list[np.ndarray], close: Callable, same: Callable):
+    """(a, b, shared, total) of enough links to join whatever links in one group."""
+    for i in cell.firsts():
+        for j in cell.alike(i, close):
+            if cell.root[j] != cell.root[i]:
+                ok, shared, total = same(sets[i], sets[j])
+                if ok:
+                    cell.join(i, j)
+                    yield int(cell.node[i]), int(cell.node[j]), int(shared), int(total)
+
+
+def _each(batches, keys: list[str]):
+    """One table for each group of equal ``keys`` of a sorted stream that has two rows or more."""
+    for table in whole_groups(batches, keys):
+        change = np.zeros(len(table), bool)
+        change[0] = True
+        for k in keys:
+            c = table.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        first = np.append(np.flatnonzero(change), len(table))
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            if b - a > 1:
+                yield table.slice(a, b - a)
+
+
+def decided(cells: DataFrame, payload: DataFrame, close: Callable, sets_of: Callable, same: Callable, name: str) -> DataFrame:
+    """Checked links (a, b, shared, total) of the cells."""
+    def groups(batches):
+        for table in _each(batches, CELL):
+            cell = _Cell(table)
+            group = np.empty(len(table), np.int64)
+            group[cell.order] = alike_groups(cell, close)
+            if (group >= 0).any():
+                yield from table.select([*CELL, "node", "known", "rest"]).append_column("g", pa.array(group)).filter(pa.array(group >= 0)).to_batches()
+    dealt = cells.join(payload, ["band", "node"]).repartition(*CELL).sortWithinPartitions(*CELL)
+    some = staged(dealt.mapInArrow(groups, "band int, center long, p int, q int, node long, known long, rest boolean, g long"), f"{name}_groups")
+    sets = sets_of(some.select("node").distinct())
+    keys = [*CELL, "g"]
+
+    def links(batches):
+        for table in _each(batches, keys):
+            cell = _Cell(table)
+            items = table.column("items").combine_chunks()
+            flat, off = items.flatten().to_numpy().view(np.uint64), items.offsets.to_numpy() - items.offsets[0].as_py()
+            own = [flat[off[k]:off[k + 1]] for k in cell.order]
+            got = list(checked_links(cell, own, close, same))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["a", "b", "shared", "total"])
+    dealt = some.join(payload, ["band", "node"]).join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
+    return staged(dealt.mapInArrow(links, "a long, b long, shared long, total long"), f"{name}_links")
+
+
+def links(members: DataFrame, payload: DataFrame, close: Callable, sets_of: Callable, same: Callable, name: str) -> tuple[DataFrame, DataFrame]:
+    """(checked links (a, b, shared, total) that connect whatever is linked, (id, component) of their ends).
 
     ``payload`` has (band, node, size, payload binary), of one length in a band; it
-    comes back filled up with zeros, a column of 64-bit words for each item.
-    ``close(x, n, xs, ns)`` says which of the others may link with the first;
-    ``verify(pairs)`` returns (a, b, ok, ...) for every pair."""
+    comes back filled up with zeros, as columns of 64-bit words. ``close(x, n, xs, ns)``
+    says which of the others may link with the first; ``sets_of(nodes)`` returns (node,
+    items array<bigint>) of some nodes; ``same(x, y)`` decides on two nodes' items (as
+    unsigned) and returns (ok, shared, total)."""
     spark: SparkSession = members.sparkSession
-    sizes = payload.select("band", "node", F.octet_length("payload").alias("bytes"))
-    rows = staged(cells(members, sizes, name), f"{name}_cells")
-    blank = rows.withColumn("known", F.col("node")).withColumn("denied", F.lit(None).cast("array<bigint>"))
-    pairs, most, done, refused = staged(candidates(blank, payload, close, None), f"{name}_pairs"), None, None, None
-    while True:
-        checked = staged(verify(pairs), f"{name}_checked")
-        ok, no = checked.where("ok"), checked.where("not ok").select("a", "b")
-        done = ok if done is None else staged(done.unionByName(ok), f"{name}_links")
-        # A row that handed on fewer than ``most`` pairs left none out; of others there may be more to check.
-        whole = most is None or pairs.groupBy("a").count().where(F.col("count") >= most).isEmpty()
-        if whole and no.isEmpty():
-            return done.drop("ok")
-        most = 4 if most is None else 4 * most
-        refused = no if refused is None else staged(refused.union(no), f"{name}_refused")
-        part = staged(components(done.select("a", "b"), name), f"{name}_parts") if not done.isEmpty() \
-            else empty(spark, "id long, component long")
-        known = part.select(F.col("id").alias("node"), F.col("component").alias("known"))
-        apart = (refused.join(known.withColumnsRenamed({"node": "a", "known": "ka"}), "a", "left")
-                 .join(known.withColumnsRenamed({"node": "b", "known": "kb"}), "b", "left")
-                 .where(F.coalesce("ka", "a") != F.coalesce("kb", "b")).select("a", "b"))
-        again = rows.join(staged(apart.select(F.col("a").alias("node")).distinct(), f"{name}_apart"), "node", "left_semi")
-        open_ = rows.join(again.select(*KEYS).distinct(), KEYS, "left_semi")
-        denied = refused.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("denied"))
-        open_ = (open_.join(known, "node", "left").join(denied, "node", "left")
-                 .withColumn("known", F.coalesce("known", "node")))
-        pairs = staged(candidates(open_, payload, close, most), f"{name}_pairs")
-        if pairs.isEmpty():
-            return done.drop("ok")
+    rows = staged(families_of(members, payload, name), f"{name}_families")
+    found = decided(own_cells(rows), payload, close, sets_of, same, name)
+    none = empty(spark, "id long, component long")
+    parts = none if found.isEmpty() else components(found.select("a", "b"), name)
+    if not rows.where("g > 1").isEmpty():
+        across = staged(cross_cells(rows, parts, name), f"{name}_across")
+        if not across.isEmpty():
+            more = decided(across, payload, close, sets_of, same, f"{name}_across")
+            if not more.isEmpty():
+                found = found.unionByName(more)
+                parts = components(found.select("a", "b"), name)
+    return found, parts

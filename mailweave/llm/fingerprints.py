@@ -200,10 +200,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> tup
 
     def node_of(data, off, doc, h, n):
         return nodes_of(signatures(data, off, k))
-    links = families.links(members, one.select("band", "node", "size", "payload"), close,
-                           lambda pairs: parity.verified(docs, pairs, k, percent, "fp", node_of), "fp")
-    parts = components(links.select("a", "b"), "fp") if not links.isEmpty() \
-        else empty(docs.sparkSession, "id long, component long")
+    links, parts = families.links(members, one.select("band", "node", "size", "payload"), close,
+                                  parity.sets_for(docs, k, "fp", node_of), parity.alike(percent), "fp")
     every = rows.select("doc_id", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
     every = every.withColumn("_group", F.coalesce("component", "node"))
     first = staged(every.groupBy(F.col("_group").alias("_g")).agg(F.min("doc_id").alias("_first")), "fp_first")

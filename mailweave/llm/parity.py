@@ -9,7 +9,7 @@ parity (XOR) of its shingles: 32 bits of which a shingle flips exactly one, and
 bound of the symmetric difference. By the pigeonhole principle two sets within d
 agree on a whole chunk, so chunks are the join keys; families of documents that
 share one are compared by Hamming distance, and what is within the bound is
-verified on the shingle sets themselves.
+decided on the shingle sets themselves, which are read once for the nodes in question.
 
 Bands grow by the factor ``GROWTH``; a set too large for no partner in the next
 band is in that band as well. Chunks without shingles are no keys as long as the
@@ -29,11 +29,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import families, vec
-from .common import components, empty, staged
+from .common import staged
 
 GROWTH = 1.5
 
@@ -146,28 +146,35 @@ def rows_of(docs: DataFrame, k: int, percent: int, shared: bytes) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, ROW)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str, node_of=None) -> DataFrame:
-    """(a, b, ok, shared, total) of every pair of nodes, on whole shingle sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    told = docs.sparkSession.sparkContext.broadcast(families.bitmap(ends, "node"))
-
-    def run(batches):
-        wanted = np.frombuffer(told.value, np.uint32)
-        for b in batches:
-            for _, doc, h, n, node in _sets(b, k, node_of):
-                use = families.passes(wanted, node.view(np.uint64)) & (n > 0)
-                use[np.setdiff1d(np.arange(len(n)), np.unique(node, return_index=True)[1])] = False
-                pick = use[doc]
-                at = (np.cumsum(use) - 1)[doc[pick]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[use]), vec.lists(at, h[pick].view(np.int64), int(use.sum()))], names=["node", "items"])
-    sets = docs.select("text").mapInArrow(run, "node long, items array<bigint>").join(ends, "node", "left_semi")
-    sets = staged(sets.groupBy("node").agg(F.min("items").alias("items")), f"{name}_sets")
-    left = pairs.join(sets.withColumnsRenamed({"node": "a", "items": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"node": "b", "items": "y"}), "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
-    both = both.withColumn("total", F.size("x") + F.size("y") - F.col("shared"))
-    return both.select("a", "b", (F.col("shared") * 100 >= F.col("total") * percent).alias("ok"), "shared", "total")
+def sets_for(docs: DataFrame, k: int, name: str, node_of=None):
+    """Function from nodes to (node, items): the whole shingle sets of those nodes, by
+    one read of the documents; of equal sets one is kept."""
+    def sets(nodes: DataFrame) -> DataFrame:
+        told = docs.sparkSession.sparkContext.broadcast(families.bitmap(nodes, "node"))
+
+        def run(batches):
+            wanted = np.frombuffer(told.value, np.uint32)
+            for b in batches:
+                for _, doc, h, n, node in _sets(b, k, node_of):
+                    use = families.passes(wanted, node.view(np.uint64)) & (n > 0)
+                    use[np.setdiff1d(np.arange(len(n)), np.unique(node, return_index=True)[1])] = False
+                    pick = use[doc]
+                    at = (np.cumsum(use) - 1)[doc[pick]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node[use]), vec.lists(at, h[pick].view(np.int64), int(use.sum()))], names=["node", "items"])
+        found = docs.select("text").mapInArrow(run, "node long, items array<bigint>").join(nodes, "node", "left_semi")
+        return staged(found.groupBy("node").agg(F.min("items").alias("items")), f"{name}_sets")
+    return sets
+
+
+def alike(percent: int):
+    """Whether two ascending arrays of distinct hashes have that Jaccard similarity, with their shared and total number."""
+    def same(x: np.ndarray, y: np.ndarray) -> tuple[bool, int, int]:
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        total = len(x) + len(y) - shared
+        return shared * 100 >= total * percent, shared, total
+    return same
 
 
 def joined(docs: DataFrame, k: int = 3, percent: int = 90, name: str = "op5") -> tuple[DataFrame, DataFrame]:
@@ -175,7 +182,6 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90, name: str = "op5") ->
     every document (``tie``: hash of its text, ``group_id``: null if it has no
     words); links (a, b, shared, total) between nodes, enough of them to
     connect whatever is linked, each verified."""
-    spark: SparkSession = docs.sparkSession
     shared = keys_of(docs, k, percent).groupBy("key").count().where("count > 1")
     rows = staged(rows_of(docs, k, percent, families.bitmap(shared, "key")), f"{name}_rows")
     sketch = (rows.where(F.size("sketches") > 0).select("node", F.col("n_shingles").alias("size"), F.inline("sketches"))
@@ -188,9 +194,8 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90, name: str = "op5") ->
         total = ns + n
         return (far * (100 + percent) <= total * (100 - percent)) & \
             (np.minimum(ns, n) * 100 >= percent * np.maximum(ns, n))
-    found = families.links(members, sketch.select("band", "node", "size", "payload"), close,
-                           lambda pairs: verified(docs, pairs, k, percent, name), name)
-    parts = components(found.select("a", "b"), name) if not found.isEmpty() else empty(spark, "id long, component long")
+    found, parts = families.links(members, sketch.select("band", "node", "size", "payload"), close,
+                                  sets_for(docs, k, name), alike(percent), name)
     every = rows.select("doc_id", "tie", "n_shingles", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
     every = every.withColumn("_group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     first = staged(every.where("_group is not null").groupBy(F.col("_group").alias("_g")).agg(F.min("doc_id").alias("_first")),
