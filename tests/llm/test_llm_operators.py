@@ -605,6 +605,58 @@ def test_surrogates_edge_cases(edge):
     assert sorted((str(r.doc_id), r.text) for r in rows if r.doc_id != 9 and r.text) == \
         sorted((str(i), t) for i, t, *_ in edge_rows() if i != 9 and t)
 
+def one_text(spark, *texts, **more):
+    return [r.text for r in pii.replaced(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), **more).orderBy("doc_id").collect()]
+
+
+def test_long_runs_end_no_task(spark):
+    """Texts of 1 MB that invite a pattern to recurse or to try again and again."""
+    texts_ = []
+    for piece in ("a.", "1", "1 ", "x:", "x", "x@", "Ab ", "+1", "a-", "f:", "A1B2 ", "sk-a", "eyJa.", "Mr Ab"):
+        n = 1_000_000 // len(piece)
+        texts_ += [piece * n, "x@" + piece * n + "b"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "doc_id long, text string").repartition(8)
+    out = {r.doc_id: r.n for r in pii.replaced(rows).select("doc_id", F.length("text").alias("n")).collect()}
+    assert set(out) == set(range(len(texts_))) and all(n > 500_000 for n in out.values())
+
+
+def test_one_person_keeps_one_name_and_gender(spark):
+    out = one_text(spark, "Mr Kim Berg met Dr Kim Berg.", "Dr Robin Vale and Ms Robin Vale", "Prof Robin Berg", "Dr Lee Vale")
+    m = re.fullmatch(r"Mr (\S+) (\S+) met Dr (\S+) (\S+)\.", out[0])
+    assert m[1] == m[3] in pii.GIVEN_M and m[2] == m[4]
+    r = re.fullmatch(r"Dr (\S+) (\S+) and Ms (\S+) (\S+)", out[1])
+    assert r[1] == r[3] in pii.GIVEN_F and r[2] == r[4]
+    p, q = re.fullmatch(r"Prof (\S+) (\S+)", out[2]), re.fullmatch(r"Dr (\S+) (\S+)", out[3])
+    assert (p[1], p[2], q[2]) == (r[1], m[2], r[2]) and len({m[1], r[1], q[1]}) == 3
+
+
+def test_script_zeros_and_check_digits_stay(spark):
+    out = one_text(spark, "пишите: иван@почта.рф или ИВАН@ПОЧТА.РФ", "at 2001:db8::1 or 2001:0db8:0:0:0:0:0:1 or 2001:DB8::0001",
+                   "γιάννης@παράδειγμα.ελ", "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 but DE00 3704 0044 0532 0130 00")
+    m = re.fullmatch(r"пишите: ([а-я]{4})@([а-я]{5})\.рф или ([А-Я]{4})@([А-Я]{5})\.РФ", out[0])
+    assert m and m[3] == m[1].upper() and m[1] != "иван"
+    a, b, c = re.fullmatch(r"at (\S+) or (\S+) or (\S+)", out[1]).groups()
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]", a) and re.fullmatch(r"[0-9a-f]{4}:0[0-9a-f]{3}:0:0:0:0:0:[0-9a-f]", b)
+    import ipaddress
+    assert len({ipaddress.ip_address(x) for x in (a, b, c)}) == 1 and c == c.upper() and re.search("::000[0-9A-F]$", c)
+    assert re.fullmatch(r"[α-ωά-ώ]{7}@[α-ωά-ώ]{10}\.ελ", out[2]) and "γιάννης" not in out[2]
+    valid = lambda x: int("".join(str(int(ch, 36)) for ch in (x[4:] + x[:4]))) % 97 == 1
+    x, y, z = re.fullmatch(r"(DE[\d ]+\d) and (GB\w+) but (DE[\d ]+\d)", out[3]).groups()
+    assert valid(x.replace(" ", "")) and valid(y) and len(x) == 27 and x[4] == " " and x != z
+
+
+def test_names_never_coincide_with_real_ones(spark):
+    """Every given name of the lists occurs, with and without titles: all surrogates differ from each other and from them."""
+    names = sorted({*pii.GIVEN_F, *pii.GIVEN_M, "Kim", "Robin", "Lee", "Sasha"})
+    out = one_text(spark, *[f"Dr {n} Berg" for n in names])
+    fake = [t.split()[1] for t in out]
+    assert len(set(fake)) == len(names) and not set(fake) & set(names) and len({t.split()[2] for t in out}) == 1
+
+
+def test_only_texts_with_entities_are_matched_again(spark):
+    plan = pii.replaced(frame(spark, [(1, "a 1", "en", "a")]))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEval" not in plan and "MapInArrow" not in plan and "Python" not in plan
+
 
 # --- 9 URL filters -----------------------------------------------------------------------------------------------
 
