@@ -320,7 +320,7 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
     brackets the middle in one pass; a second pass counts what lies below and each value
     inside. A bracket that would hold too many rows is narrowed by another pass."""
     v = df.select(F.col(value).alias("v")).filter("v is not null")
-    spark, low, n, below, inside = df.sparkSession, None, None, 0, None
+    spark, low, high, n, below, inside = df.sparkSession, None, None, None, 0, None
     while True:
         rank = 0.5 if n is None else ((n - 1) / 2 - below) / max(1, inside)
         at = [min(1.0, max(0.0, rank + d / ACCURACY)) for d in (-2, 2)]
@@ -331,8 +331,8 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
             return spark.createDataFrame([(None, None)], "lo long, hi long")
         if n is None:
             n = got["n"]
-        low, high = got["q"]
-        if got["n"] * 6 // ACCURACY <= BRACKET_ROWS:
+        before, (low, high) = (low, high) if low is not None else None, got["q"]
+        if got["n"] * 6 // ACCURACY <= BRACKET_ROWS or before == (low, high):   # few rows, or few values
             break
         c = v.agg(F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v").between(low, high)).alias("inside")).first()
         below, inside = c["below"], c["inside"]
