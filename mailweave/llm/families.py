@@ -72,6 +72,7 @@ def families_of(members: DataFrame, payload: DataFrame, name: str) -> DataFrame:
     sizes = payload.select("band", "node", (F.octet_length("payload") + 8 * F.col("size")).alias("bytes"))
     rows = staged(members.join(sizes, ["band", "node"]), f"{name}_sized")
     big = rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).withColumn("g", _parts(CELL_ROWS)).where("g > 1")
+    big = staged(big.select("band", "center", "g"), f"{name}_big")    # from files, so that the join can split a hot center
     return rows.join(big, ["band", "center"], "left").select("band", "center", "node", "bytes", F.coalesce("g", F.lit(1)).alias("g"))
 
 
@@ -90,7 +91,7 @@ def cross_cells(rows: DataFrame, parts: DataFrame, name: str) -> DataFrame:
     hub = rows.where("node = center").select("band", "center", F.col("known").alias("hub"))
     rows = staged(rows.join(hub, ["band", "center"]).withColumn("rest", F.col("known") != F.col("hub")), f"{name}_known")
     load = rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.count_if("rest").alias("r"), F.sum("bytes").alias("b"))
-    load = load.where("r > 0").select("band", "center", _parts(ACROSS_ROWS).alias("gq"), _parts(ACROSS_ROWS, "r").alias("gp"))
+    load = staged(load.where("r > 0").select("band", "center", _parts(ACROSS_ROWS).alias("gq"), _parts(ACROSS_ROWS, "r").alias("gp")), f"{name}_load")
     rows = rows.drop("g", "hub", "bytes").join(load, ["band", "center"])
     h = F.xxhash64("node")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
