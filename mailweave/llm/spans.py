@@ -6,12 +6,13 @@ that cuts depend on the words nearby only, and a passage is cut alike wherever i
 stands). From every sentence starts one span: the shortest run of at least ``RUN``
 sentences and ``MIN_WORDS`` words. Every passage of 3 ``WINDOW`` + ``MIN_WORDS`` - 1
 = 50 words holds a whole span, wherever it begins and ends: its first ``WINDOW``
-words hold a cut, the span from there ends at the next cut after ``MIN_WORDS``
-words, and no cut from there to ``WINDOW`` words before the passage's end depends on
-words outside of it. The words before the first and after the last common cut
-stay. Spans are hashed word by word (ASCII letters lower-cased) and joined over all
-documents; the first occurrence, by doc_id and place, stays, and every sentence
-that another occurrence covers is removed.
+words hold a cut, after which no word outside of it makes another one until
+``WINDOW`` words before its end; sentences have ``WINDOW`` words at most, so the span
+from that cut ends within ``MIN_WORDS`` + ``WINDOW`` - 1 words, or after
+``RUN`` times ``WINDOW``, which is less. The words before the first and after the last common cut
+stay. Spans are hashed word by word (ASCII letters lower-cased), by two independent
+64-bit hashes, and joined over all documents; the first occurrence, by doc_id and
+place, stays, and every sentence that another occurrence covers is removed.
 
 Spans are counted first by hash alone; a fixed-size bitmap of the repeated
 hashes then keeps all other spans from being shuffled with their places.
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from . import families, vec
 from .common import staged
 
-RUN, MIN_WORDS, WINDOW = 1, 12, 13
+RUN, MIN_WORDS, WINDOW = 2, 15, 12
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 
@@ -73,7 +74,7 @@ def sentences(data: np.ndarray, off: np.ndarray):
 
 
 def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, span hash, first sentence, sentence after the last), sentences counted inside the document."""
+    """(document, span hash, first sentence, sentence after the last, second hash), sentences counted inside the document."""
     doc, _, first, h, number = sentences(data, off)
     m = len(doc)
     i = np.arange(m)
@@ -83,11 +84,14 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     i, last = i[ok], last[ok]
     ok = doc[i] == doc[last]
     i, last = i[ok], last[ok]
-    total = np.append(np.uint64(0), np.cumsum(h * vec._power("up", len(h)), dtype=np.uint64))
     a, b = first[i], np.append(first, len(h))[last + 1]
-    key = vec.mix((total[b] - total[a]) * vec._power("down", len(h) + 1)[a] + (b - a).astype(np.uint64))
+    up, down = vec._power("up", len(h)), vec._power("down", len(h) + 1)
+
+    def hashed(word):
+        total = np.append(np.uint64(0), np.cumsum(word * up, dtype=np.uint64))
+        return vec.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
     base = np.searchsorted(doc, np.arange(len(off) - 1))
-    return doc[i], key, i - base[doc[i]], last + 1 - base[doc[i]]
+    return doc[i], hashed(h), i - base[doc[i]], last + 1 - base[doc[i]], hashed(vec.mix(h + np.uint64(0x9E3779B97F4A7C15)))
 
 
 def repeats(docs: DataFrame, name: str = "spans") -> DataFrame:
@@ -104,19 +108,19 @@ def repeats(docs: DataFrame, name: str = "spans") -> DataFrame:
         words = np.frombuffer(told.value, np.uint32)
         for b in batches:
             for part, data, off in vec.text_slices(b):
-                doc, key, a, z = spans(data, off)
+                doc, key, a, z, key2 = spans(data, off)
                 hit = families.passes(words, key)
                 doc = pa.array(doc[hit])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(doc), part.column(2).take(doc), pa.array(key[hit].view(np.int64)),
-                     pa.array(a[hit].astype(np.int32)), pa.array(z[hit].astype(np.int32))],
-                    names=["doc_id", "tie", "key", "first", "after"])
+                     pa.array(a[hit].astype(np.int32)), pa.array(z[hit].astype(np.int32)), pa.array(key2[hit].view(np.int64))],
+                    names=["doc_id", "tie", "key", "first", "after", "key2"])
     at = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(
-        places, "doc_id long, tie long, key long, first int, after int")
+        places, "doc_id long, tie long, key long, first int, after int, key2 long")
     at = staged(at.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "first")), f"{name}_at")
-    first = staged(at.groupBy("key").agg(F.min("place").alias("origin"), F.max("place").alias("_last"))
-                   .where("origin < _last").select("key", "origin"), f"{name}_first")
-    again = at.join(first, "key").where("place > origin")
+    first = staged(at.groupBy("key", "key2").agg(F.min("place").alias("origin"), F.max("place").alias("_last"))
+                   .where("origin < _last").select("key", "key2", "origin"), f"{name}_first")
+    again = at.join(first, ["key", "key2"]).where("place > origin")
     mine = F.collect_set(F.when(~F.col("origin.doc_id").eqNullSafe(F.col("doc_id")), F.col("origin.doc_id")))
     return again.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "after")).alias("cuts"),
                                              F.array_sort(mine).alias("first_docs"))

@@ -7,6 +7,7 @@ import struct
 import textwrap
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -117,14 +118,24 @@ def test_global_ranks(spark):
 
 # --- 1 substring dedup -------------------------------------------------------------------------------------------
 
+def brute_sentences(text):
+    """(words, index of each sentence's first word): ends by the definition, window by window."""
+    found = list(re.finditer(WORD, text or ""))
+    words = [m[0].translate(LOWER) for m in found]
+    ends = [m[0][-1] in ".!?" or "\n" in text[m.end():n.start()] for m, n in zip(found, [*found[1:], found[-1]], strict=True)] if found else []
+    raw = [np.frombuffer(w.encode(), np.uint8) for w in words]
+    rank = [0 if e else int(vec.span_hash(vec.prefix_hash(r), np.array([0]), np.array([len(r)]))[0]) | 1 for e, r in zip(ends, raw, strict=True)]
+    for i in range(len(words) - spans.WINDOW + 1):
+        window = range(i, i + spans.WINDOW)
+        ends[min(window, key=lambda j: (rank[j], -j))] = True
+    return words, [j for j in range(len(words)) if j == 0 or ends[j - 1]]
+
+
 def brute_spans(items):
     """{place: (sentences, removed)} of (place, text) in order, spans compared as word tuples."""
     seen, out = {}, {}
     for place, text in items:
-        raw = (text or "").encode()
-        _, _, first, h, _ = spans.sentences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        w = re.findall(WORD, (text or "").translate(LOWER))
-        assert len(w) == len(h)
+        w, first = brute_sentences(text)
         cut, gone = [*first, len(w)], set()
         for s in range(len(first)):
             e = next((e for e in range(s + spans.RUN, len(first) + 1) if cut[e] - cut[s] >= spans.MIN_WORDS), None)
@@ -165,7 +176,8 @@ def test_passages_cut_at_arbitrary_words_hold_a_span():
 def test_spans_edge_cases(edge, none):
     got = [(r.doc_id, r.text, r.n_removed) for r in spans.deduplicated(edge).collect()]
     assert len(got) == 12 and (1, None, 0) in got and (2, "", 0) in got and (4, PROSE, 0) in got
-    assert [x for x in got if x[0] == 5] == [(5, "", 4)] * 2 and (None, "", 4) in got
+    n = len(brute_sentences(PROSE)[1])     # all of them
+    assert [x for x in got if x[0] == 5] == [(5, "", n)] * 2 and (None, "", n) in got
     assert spans.deduplicated(none).count() == 0
 
 
@@ -284,6 +296,56 @@ def test_language_edge_cases(spark, edge, none):
     assert {r.doc_id for r in langid.identify(junk, langid.train(junk), ["doc_id"]).collect() if r.rejected} == {99}
 
 
+def plain_kneser_ney(samples):
+    """{language: function from a text to its entropy}: counts in dictionaries, one n-gram at a time."""
+    order = langid.ORDER
+
+    def codes(text):
+        x, at, _ = langid.letters(*flat([text]))
+        return [tuple(int(c) for c in x[i - order + 1:i + 1]) for i in at]
+    fit = {k: [t for i, t in enumerate(v) if i % langid.HOLD or len(v) < langid.HOLD] for k, v in samples.items()}
+    size = max(2, len({c for v in fit.values() for t in v for g in codes(t) for c in g})) + 1
+    models = {}
+    for k, v in fit.items():
+        count, tables = defaultdict(int), []
+        for t in v:
+            for g in codes(t):
+                count[g] += 1
+        for n in range(order, 0, -1):
+            one, two = sum(m == 1 for m in count.values()), sum(m == 2 for m in count.values())
+            total, kinds = defaultdict(int), defaultdict(int)
+            for g, m in count.items():
+                total[g[:-1]] += m
+                kinds[g[:-1]] += 1
+            tables.append((dict(count), one / (one + 2 * two) if one and two else 0.5, total, kinds))
+            lower = defaultdict(int)
+            for g in count:
+                lower[g[1:]] += 1
+            count = lower
+        models[k] = tables
+
+    def chance(tables, g):
+        if not tables:
+            return 1 / size
+        count, cut, total, kinds = tables[0]
+        less = chance(tables[1:], g[1:])
+        if not total.get(g[:-1]):
+            return less
+        return (max(0, count[g] - cut) if g in count else 0) / total[g[:-1]] + cut * kinds[g[:-1]] / total[g[:-1]] * less
+    return {k: lambda text, m=m: -sum(np.log(chance(m, g)) for g in codes(text)) / len(codes(text)) for k, m in models.items()}
+
+
+def test_entropies_equal_a_plain_kneser_ney(docs):
+    rows = docs.where("lang is not null and length(text) < 4000").orderBy("doc_id").limit(60).collect()
+    samples = defaultdict(list)
+    for r in rows:
+        samples[r.lang].append(r.text)
+    model, plain = langid.Model(dict(samples)), plain_kneser_ney(samples)
+    tests = [r.text[:300] for r in rows[:12]] + ["Zwölf ältere Bäume", "日本 42 x", "aaaa aaaa"]
+    h, _ = model.entropies(*flat(tests))
+    assert np.allclose(h, [[plain[k](t) for k in model.languages] for t in tests], rtol=1e-4)
+
+
 # --- 4 decontamination -------------------------------------------------------------------------------------------
 
 def edit_distance_in(pattern, text):
@@ -480,6 +542,25 @@ def test_wrapped_notices_are_confirmed(docs):
     assert model.scan(*flat([PROSE.replace(". ", ".\n") + "\n" + PROSE])) == [[]]
 
 
+def test_scores_equal_a_plain_regression(docs, texts):
+    """Window by window: the probabilities from n-grams looked up one at a time."""
+    model = licenses.train(docs)
+    for t in list(texts.values())[:12]:
+        h, (doc, a, z, *_) = licenses.windows(*flat([t]))
+        p = licenses._softmax(model._logits(len(a), *licenses.features(h, a, z)) / model.heat)
+        for i in range(min(len(a), 15)):
+            own, total = [int(x) for x in h[a[i]:z[i]]], model.bias.copy()
+            for j in range(len(own)):
+                gram = own[j]
+                for k in range(3):
+                    if k and j + k < len(own):
+                        gram = int(vec.mix(np.array([(gram * int(vec._COEF[k]) + own[j + k]) % 2 ** 64], np.uint64))[0])
+                    if j + k < len(own) and model.place[gram >> 64 - licenses.BITS] >= 0:
+                        total = total + model.weights[model.place[gram >> 64 - licenses.BITS]]
+            e = np.exp((total - total.max()) / model.heat)
+            assert np.allclose(e / e.sum(), p[i], atol=1e-5)
+
+
 def test_licence_edge_cases(edge, none, docs):
     model = licenses.train(none)
     assert licenses.scanned(none, model).count() == 0
@@ -698,6 +779,34 @@ def test_unlabelled_hosts_fall_back_to_domain_then_suffix(spark):
     assert got[84] == got[85]
 
 
+def test_sites_without_users_and_ports_and_addresses(spark):
+    names = ["me:pw@bad.example.com:8080", "bad.example.com", "10.0.0.1", "192.168.0.1:80", "[2001:db8::1]:443", "a.co.uk", "com", ""]
+    df = spark.createDataFrame([(h,) for h in names], "host string").withColumn("site", hosts.site_of(F.col("host")))
+    got = {r.host: tuple(r)[1:] for r in df.select("host", "site", hosts.domain_of(F.col("site")), hosts.suffix_of(F.col("site"))).collect()}
+    assert got == {names[0]: ("bad.example.com", "example.com", "com"), names[1]: ("bad.example.com", "example.com", "com"),
+                   "10.0.0.1": ("10.0.0.1",) * 3, names[3]: ("192.168.0.1",) * 3, names[4]: ("[2001:db8::1]",) * 3,
+                   "a.co.uk": ("a.co.uk", "a.co.uk", "co.uk"), "com": ("com",) * 3, "": ("",) * 3}
+
+
+def test_verdicts_in_sql_with_unlabelled_hosts(spark, tmp_path):
+    """Both sides on hosts of all kinds, half of them without an outcome."""
+    rng = np.random.default_rng(9)
+    sites = [f"h{i}.{d}" for i in range(12) for d in ("bad.test", "good.test", "mixed.test", "shop.co.uk", "bad.example")] + \
+        ["10.0.0.1", "10.0.0.2:80", "u@h1.bad.test:81", "fresh.new", "x.other.test", "[::1]", ""]
+    pages = [(i, None if i % 40 == 39 else f"https://{sites[int(rng.integers(len(sites)))]}/p{i}") for i in range(600)]
+    bad = lambda u: u is not None and ("bad" in u or "10.0.0.1" in u or ("mixed" in u and rng.random() < 0.6) or rng.random() < 0.05)
+    labels = [(i, None if i % 3 else int(not bad(u)), int(bad(u))) for i, u in pages if i % 2 == 0 and not (u and ("fresh" in u or "other" in u))]
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels"))
+    got = hosts.filter_urls(spark.read.parquet(str(tmp_path / "pages")), spark.read.parquet(str(tmp_path / "labels"))).collect()
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}/*.parquet')")
+    want = con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({hosts.SQL})").fetchall()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    assert {r.verdict for r in got if r.host == "u@h1.bad.test:81"} == {"block"} and len({r.verdict for r in got}) == 2
+
+
 # --- 10 WARC -----------------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, record_type string"
