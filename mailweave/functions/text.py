@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# What is taken out of a body: comments, script / style /
-# template blocks with their content, then tags and declarations. A tag opens
-# only before a letter, '/' and a letter, '!' or '?', so 'a < b' stays text.
-HTML_STRIP = (r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</(script|style|template)>"
-              r"|</?[a-z][^>]*>|<[!?][^>]*>")
+# What is taken out of a body: comments (an unclosed one to the end), script / style /
+# template blocks with their content (likewise), then tags and declarations. A tag opens only before a
+# letter, '/' and a letter, '!' or '?', so 'a < b' stays text; a '>' inside a quoted attribute value does
+# not close it. Groups are possessive, so that they are matched in a loop.
+_INSIDE = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+"""
+HTML_STRIP = (r"(?is)<!--.*?(?:-->|\z)|<(script|style|template)\b" + _INSIDE + r">.*?(?:</\1\s*>|\z)"
+              r"|</?[a-z]" + _INSIDE + r">|<[!?][^>]*>")
 
 # Named character references and their code points.
 HTML_ENTITIES = {

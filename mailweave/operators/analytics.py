@@ -13,7 +13,7 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import landed
+from ..session import folders, landed
 
 MB = 1024 * 1024
 KB = 1024
@@ -284,6 +284,29 @@ def metrics_upsert(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_v")
 
 
+METRICS = "metric_name string, metric_value double, date date"
+
+
+def read_metrics(spark, path: str) -> DataFrame:
+    """The stored metric history: date, metric_name, metric_value."""
+    return spark.read.schema(METRICS).parquet(path).select("date", "metric_name", "metric_value")
+
+
+def store_metrics(fresh: DataFrame, path: str) -> None:
+    """Write metric rows into the history at ``path``, one folder a date. Of a
+    stored day the rows with a fresh value are replaced and the others stay; days
+    without fresh rows keep their files. Repeating a write changes nothing."""
+    spark = fresh.sparkSession
+    fresh, _ = landed(fresh.select("date", "metric_name", "metric_value"), "metrics", "fresh")
+    rows = fresh
+    if folders(spark, path):
+        days = F.broadcast(fresh.select("date").distinct())     # a row per day
+        rows = metrics_upsert(read_metrics(spark, path).join(days, "date", "left_semi"), fresh)
+    rows, _ = landed(rows, "metrics", "days")
+    (rows.repartition("date").sortWithinPartitions("date", "metric_name").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
+
+
 # ------------------------------------------------------------- G1 / G2
 def replies(df: DataFrame) -> DataFrame:
     """The reply pairs: within a thread ordered by (timestamp, message_id),

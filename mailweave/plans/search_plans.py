@@ -7,6 +7,8 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..operators import substrings as SUB
+from ..session import scratch_path
 from ..sources import fixtures as fx
 from .registry import register
 from .sqlfrag import with_m
@@ -101,6 +103,17 @@ def q_text_like(spark, sf):
     return _run(spark, sf, text="The")
 
 
+def _trigrams(m, fields):
+    return SUB.store_trigrams(m, scratch_path(m.sparkSession, "trigrams"), fields, buckets=16)
+
+
+@register("text_like_indexed", _sql("lower(subject) LIKE '%enth%' OR lower(body) LIKE '%enth%'"))
+def q_text_like_indexed(spark, sf):
+    """C16 by trigrams instead of a scan."""
+    m = _m(spark, sf)
+    return _hits(SUB.containing(m, _trigrams(m, ("subject", "body")), "eNth").filter(~F.col("is_deleted")))
+
+
 @register("search_date_range", _sql("timestamp BETWEEN TIMESTAMP '2024-01-07 06:00:00' AND TIMESTAMP '2024-01-09'"))
 def q_search_date_range(spark, sf):
     return _hits(S.by_date_range(_m(spark, sf), D(2024, 1, 7, 6), D(2024, 1, 9)))
@@ -151,6 +164,13 @@ def q_suggestions(spark, sf):
     return S.suggestions(_m(spark, sf), "us", 10)
 
 
+@register("suggestions_indexed", _sugg_sql("er1", 10))
+def q_suggestions_indexed(spark, sf):
+    """D9 by trigrams instead of a scan per keystroke."""
+    m = _m(spark, sf)
+    return SUB.suggestions(m, _trigrams(m, ("subject", "sender_email")), "Er1", 10)
+
+
 EXPORT_FILTERS = dict(date_range=(D(2024, 1, 2), D(2024, 1, 29)), sender_email="mail1",
                       subject_contains="e", has_label="import", is_unread=False, min_size_mb=0.01)
 
