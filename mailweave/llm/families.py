@@ -4,6 +4,9 @@ Items (``node``, a 64-bit id of one distinct content) that share a join key form
 a family around the key's smallest node, its center. Families meet in cells of bounded
 size, at most twice:
 
+* families around neighbouring centers mostly have the same members (a group of near copies
+  shares many keys); a family that has half of its members in common with the one its center
+  belongs to is laid into that, so that pairs do not meet once a key;
 * each family is cut into parts by node, and its center joins every part, so that work
   and shuffle are linear in the family. A numpy test on compact payloads groups what may
   be similar; only of items in such a group do the sets themselves travel, and a pair
@@ -25,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailweave.session import dealt as spread
+
 from .common import components, empty, staged, whole_groups
 
 #: Rows and bytes (of payloads and sets) of a family's part, and of the parts that meet across.
@@ -67,10 +72,26 @@ def _parts(rows: int, least: str = "n") -> Column:
     return F.ceil(F.greatest(F.col(least) / rows, F.col("b") / CELL_BYTES)).cast("int")
 
 
+def laid_together(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (band, center, node, bytes) with families laid into those they resemble. Any
+    choice of these is right: a family's members stay together."""
+    size = staged(rows.groupBy("band", "center").agg(F.count("*").alias("n")), f"{name}_sizes")
+    of_center = rows.join(size.select("band", F.col("center").alias("node")), ["band", "node"]).where("center < node")
+    into = staged(of_center.groupBy("band", F.col("node").alias("center")).agg(F.min("center").alias("to")), f"{name}_into")
+    there = rows.select("band", F.col("center").alias("to"), "node")
+    common = rows.join(into, ["band", "center"]).join(there, ["band", "to", "node"]).groupBy("band", "center", "to").agg(F.count("*").alias("m"))
+    hook = staged(common.join(size, ["band", "center"]).where("2 * m >= n").select("band", "center", "to"), f"{name}_hook")
+    for k in range(3):      # follow chains; what is longer stays in several families
+        up = hook.select("band", F.col("center").alias("to"), F.col("to").alias("up"))
+        hook = staged(hook.join(up, ["band", "to"], "left").select("band", "center", F.coalesce("up", "to").alias("to")), f"{name}_hook{k}")
+    moved = rows.join(hook, ["band", "center"], "left").select("band", F.coalesce("to", "center").alias("center"), "node", "bytes")
+    return staged(moved.distinct(), f"{name}_together")
+
+
 def families_of(members: DataFrame, payload: DataFrame, name: str) -> DataFrame:
     """(band, center, node, g): members with the number of parts of their family."""
     sizes = payload.select("band", "node", (F.octet_length("payload") + 8 * F.col("size")).alias("bytes"))
-    rows = staged(members.join(sizes, ["band", "node"]), f"{name}_sized")
+    rows = laid_together(staged(members.join(sizes, ["band", "node"]), f"{name}_sized"), name)
     big = rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).withColumn("g", _parts(CELL_ROWS)).where("g > 1")
     big = staged(big.select("band", "center", "g"), f"{name}_big")    # from files, so that the join can split a hot center
     return rows.join(big, ["band", "center"], "left").select("band", "center", "node", "bytes", F.coalesce("g", F.lit(1)).alias("g"))
@@ -183,7 +204,8 @@ def decided(cells: DataFrame, payload: DataFrame, close: Callable, sets_of: Call
             group[cell.order] = alike_groups(cell, close)
             if (group >= 0).any():
                 yield from table.select([*CELL, "node", "known", "rest"]).append_column("g", pa.array(group)).filter(pa.array(group >= 0)).to_batches()
-    dealt = cells.join(payload, ["band", "node"]).repartition(*CELL).sortWithinPartitions(*CELL)
+    # Dealt by number: cells are small data but long work, and adaptive execution would put many into one task.
+    dealt = spread(cells.join(payload, ["band", "node"]), *CELL).sortWithinPartitions(*CELL)
     some = staged(dealt.mapInArrow(groups, "band int, center long, p int, q int, node long, known long, rest boolean, g long"), f"{name}_groups")
     sets = sets_of(some.select("node").distinct())
     keys = [*CELL, "g"]
@@ -197,7 +219,7 @@ def decided(cells: DataFrame, payload: DataFrame, close: Callable, sets_of: Call
             got = list(checked_links(cell, own, close, same))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["a", "b", "shared", "total"])
-    dealt = some.join(payload, ["band", "node"]).join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = spread(some.join(payload, ["band", "node"]).join(sets, "node"), *keys).sortWithinPartitions(*keys)
     return staged(dealt.mapInArrow(links, "a long, b long, shared long, total long"), f"{name}_links")
 
 
