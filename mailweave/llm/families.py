@@ -81,9 +81,11 @@ def laid_together(rows: DataFrame, name: str) -> DataFrame:
     there = rows.select("band", F.col("center").alias("to"), "node")
     common = rows.join(into, ["band", "center"]).join(there, ["band", "to", "node"]).groupBy("band", "center", "to").agg(F.count("*").alias("m"))
     hook = staged(common.join(size, ["band", "center"]).where("2 * m >= n").select("band", "center", "to"), f"{name}_hook")
-    for k in range(3):      # follow chains; what is longer stays in several families
+    while True:      # follow chains to their ends (each leads to smaller centers), so that every center kept is a member
         up = hook.select("band", F.col("center").alias("to"), F.col("to").alias("up"))
-        hook = staged(hook.join(up, ["band", "to"], "left").select("band", "center", F.coalesce("up", "to").alias("to")), f"{name}_hook{k}")
+        if hook.join(up, ["band", "to"], "left_semi").isEmpty():
+            break
+        hook = staged(hook.join(up, ["band", "to"], "left").select("band", "center", F.coalesce("up", "to").alias("to")), f"{name}_hook")
     moved = rows.join(hook, ["band", "center"], "left").select("band", F.coalesce("to", "center").alias("center"), "node", "bytes")
     return staged(moved.distinct(), f"{name}_together")
 

@@ -462,6 +462,34 @@ def test_links_behind_a_hub_that_only_looks_close(spark, leaves):
     assert found == {(1, 2)} | {(2, j) for j in ids[2:]}
 
 
+def test_chains_of_similar_families_end_at_a_member(spark):
+    """Each family has half of its members in common with the one before only: all lie in one, whose center is in it."""
+    rows = [(0, c, n, 10) for c in range(0, 80, 2) for n in range(c, c + 4)]
+    df = spark.createDataFrame(rows, "band int, center long, node long, bytes long")
+    got = families.laid_together(df, "chain").collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.center].add(r.node)
+    assert all(c in members for c, members in groups.items()) and len(got) == sum(map(len, groups.values()))
+    assert groups == {0: set(range(82))}
+
+
+@pytest.mark.parametrize(("cell", "across"), [(4, 3), (256, 1000)])
+def test_links_in_small_cells(spark, monkeypatch, cell, across):
+    """Numbers link if they differ by 1: one large family, cut into parts, gives chains broken at multiples of 10."""
+    monkeypatch.setattr(families, "CELL_ROWS", cell)
+    monkeypatch.setattr(families, "ACROSS_ROWS", across)
+    ids = [i for i in range(1, 60) if i % 10]
+    members = spark.createDataFrame([(0, 1, i) for i in ids], "band int, center long, node long")
+    payload = spark.createDataFrame([(0, i, 1, bytearray(struct.pack("<q", i))) for i in ids], "band int, node long, size long, payload binary")
+    sets = spark.createDataFrame([(i, [i]) for i in ids], "node long, items array<bigint>")
+    close = lambda x, n, xs, ns: (np.abs(xs.astype(np.int64) - x.astype(np.int64)) <= 2).reshape(-1)
+    same = lambda x, y: (abs(int(x[0]) - int(y[0])) == 1, 0, 1)
+    found, parts = families.links(members, payload, close, lambda nodes: sets.join(nodes, "node"), same, "cells")
+    assert all(abs(r.a - r.b) == 1 for r in found.collect())
+    assert {r.id: r.component for r in parts.collect()} == {i: i // 10 * 10 + 1 for i in ids}
+
+
 def test_sketch_distance_is_a_lower_bound(texts):
     data, off = flat(list(texts.values()))
     doc, h = parity.sets_of(data, off, 3)
