@@ -32,8 +32,10 @@ from mailweave.session import dealt as spread
 
 from .common import components, empty, staged, whole_groups
 
-#: Rows and bytes (of payloads and sets) of a family's part, and of the parts that meet across.
-CELL_ROWS, ACROSS_ROWS, CELL_BYTES = 256, 1000, 8_000_000
+#: Rows and bytes (of payloads and sets) of a family's part, at most, and of the parts that meet across: these are
+#: larger, as every row travels once for each part of the other side.
+CELL_ROWS, CELL_BYTES = 256, 8_000_000
+ACROSS_ROWS, ACROSS_BYTES = 8000, 48_000_000
 BITMAP_BITS = 1 << 27
 
 
@@ -68,8 +70,8 @@ def members_of(keys: DataFrame, name: str) -> DataFrame:
 CELL = ["band", "center", "p", "q"]
 
 
-def _parts(rows: int, least: str = "n") -> Column:
-    return F.ceil(F.greatest(F.col(least) / rows, F.col("b") / CELL_BYTES)).cast("int")
+def _parts(n: str, b: str, rows: int, most: int) -> Column:
+    return F.ceil(F.greatest(F.col(n) / rows, F.col(b) / most)).cast("int")
 
 
 def laid_together(rows: DataFrame, name: str) -> DataFrame:
@@ -94,7 +96,7 @@ def families_of(members: DataFrame, payload: DataFrame, name: str) -> DataFrame:
     """(band, center, node, g): members with the number of parts of their family."""
     sizes = payload.select("band", "node", (F.octet_length("payload") + 8 * F.col("size")).alias("bytes"))
     rows = laid_together(staged(members.join(sizes, ["band", "node"]), f"{name}_sized"), name)
-    big = rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).withColumn("g", _parts(CELL_ROWS)).where("g > 1")
+    big = rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).withColumn("g", _parts("n", "b", CELL_ROWS, CELL_BYTES)).where("g > 1")
     big = staged(big.select("band", "center", "g"), f"{name}_big")    # from files, so that the join can split a hot center
     return rows.join(big, ["band", "center"], "left").select("band", "center", "node", "bytes", F.coalesce("g", F.lit(1)).alias("g"))
 
@@ -113,8 +115,10 @@ def cross_cells(rows: DataFrame, parts: DataFrame, name: str) -> DataFrame:
     rows = rows.where("g > 1").join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
     hub = rows.where("node = center").select("band", "center", F.col("known").alias("hub"))
     rows = staged(rows.join(hub, ["band", "center"]).withColumn("rest", F.col("known") != F.col("hub")), f"{name}_known")
-    load = rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.count_if("rest").alias("r"), F.sum("bytes").alias("b"))
-    load = staged(load.where("r > 0").select("band", "center", _parts(ACROSS_ROWS).alias("gq"), _parts(ACROSS_ROWS, "r").alias("gp")), f"{name}_load")
+    load = rows.groupBy("band", "center").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.count_if("rest").alias("nr"),
+                                              F.sum(F.when(F.col("rest"), F.col("bytes"))).alias("br"))
+    load = staged(load.where("nr > 0").select("band", "center", _parts("n", "b", ACROSS_ROWS, ACROSS_BYTES).alias("gq"),
+                                              _parts("nr", "br", ACROSS_ROWS, ACROSS_BYTES).alias("gp")), f"{name}_load")
     rows = rows.drop("g", "hub", "bytes").join(load, ["band", "center"])
     h = F.xxhash64("node")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -205,10 +209,12 @@ def decided(cells: DataFrame, payload: DataFrame, close: Callable, sets_of: Call
             group = np.empty(len(table), np.int64)
             group[cell.order] = alike_groups(cell, close)
             if (group >= 0).any():
-                yield from table.select([*CELL, "node", "known", "rest"]).append_column("g", pa.array(group)).filter(pa.array(group >= 0)).to_batches()
+                yield from table.select([*CELL, "node", "known", "rest", "size", "payload"]).append_column("g", pa.array(group)) \
+                    .filter(pa.array(group >= 0)).to_batches()
     # Dealt by number: cells are small data but long work, and adaptive execution would put many into one task.
     dealt = spread(cells.join(payload, ["band", "node"]), *CELL).sortWithinPartitions(*CELL)
-    some = staged(dealt.mapInArrow(groups, "band int, center long, p int, q int, node long, known long, rest boolean, g long"), f"{name}_groups")
+    some = staged(dealt.mapInArrow(groups, "band int, center long, p int, q int, node long, known long, rest boolean, "
+                                   "size long, payload binary, g long"), f"{name}_groups")
     sets = sets_of(some.select("node").distinct())
     keys = [*CELL, "g"]
 
@@ -221,7 +227,7 @@ def decided(cells: DataFrame, payload: DataFrame, close: Callable, sets_of: Call
             got = list(checked_links(cell, own, close, same))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["a", "b", "shared", "total"])
-    dealt = spread(some.join(payload, ["band", "node"]).join(sets, "node"), *keys).sortWithinPartitions(*keys)
+    dealt = spread(some.join(sets, "node"), *keys).sortWithinPartitions(*keys)
     return staged(dealt.mapInArrow(links, "a long, b long, shared long, total long"), f"{name}_links")
 
 
