@@ -184,17 +184,16 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90, name: str = "op5") ->
     connect whatever is linked, each verified."""
     shared = keys_of(docs, k, percent).groupBy("key").count().where("count > 1")
     rows = staged(rows_of(docs, k, percent, families.bitmap(shared, "key")), f"{name}_rows")
-    sketch = (rows.where(F.size("sketches") > 0).select("node", F.col("n_shingles").alias("size"), F.inline("sketches"))
-              .dropDuplicates(["node", "band"]))
-    sketch = staged(sketch, f"{name}_sketches")
-    members = families.members_of(sketch.select("band", "node", F.explode("keys").alias("key")), name)
+    own = rows.where(F.size("sketches") > 0).select("node", F.col("n_shingles").alias("size"), F.inline("sketches"))
+    sketch = staged(own.select("band", "node", "size", "payload").dropDuplicates(["node", "band"]), f"{name}_sketches")
+    members = families.members_of(own.select("band", "node", F.explode("keys").alias("key")), name)
 
     def close(x, n, xs, ns):
         far = np.bitwise_count(xs ^ x).sum(0, dtype=np.uint32).astype(np.int64)
         total = ns + n
         return (far * (100 + percent) <= total * (100 - percent)) & \
             (np.minimum(ns, n) * 100 >= percent * np.maximum(ns, n))
-    found, parts = families.links(members, sketch.select("band", "node", "size", "payload"), close,
+    found, parts = families.links(members, sketch, close,
                                   sets_for(docs, k, name), alike(percent), name)
     every = rows.select("doc_id", "tie", "n_shingles", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
     every = every.withColumn("_group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
