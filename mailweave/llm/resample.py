@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ranked, staged
-from .vec import buffers, slices
+from .vec import text_slices
 
 #: What stands between words, once A-Z are lower case (bytes outside ASCII belong to words).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,10 +47,10 @@ SLICE_BYTES = 4_000_000
 
 
 def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """(batch part, its texts), some ``SLICE_BYTES`` at a time; null is empty."""
-    text = batch.column(batch.schema.get_field_index("text")).fill_null("")
-    for a, b in slices(np.diff(buffers(text)[1]), SLICE_BYTES):
-        yield batch.slice(a, b - a), text.slice(a, b - a).cast(pa.large_string())
+    """(batch part, its texts), some ``SLICE_BYTES`` at a time; null is empty. Each part's
+    offsets start at 0: of others ``ascii_lower`` reads the wrong bytes."""
+    for part, data, off in text_slices(batch, limit=SLICE_BYTES):
+        yield part, pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(off), pa.py_buffer(data))
 
 
 def features(text: pa.Array, buckets: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -88,6 +88,20 @@ def test_draw_without_documents_or_target(spark, edge):
     assert resample.drawn(edge, target, name="t").count() == len(EDGE)
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_features_of_a_batch_cut_into_parts(monkeypatch, kind):
+    """Texts after the first part of a batch are read from their own bytes."""
+    texts = ["Aa bb", None, "É x1, X1", "日本 q" * 9, "", "last WORD"]
+    batch = pa.record_batch({"text": pa.array([*texts, "cut off"], kind)}).slice(0, len(texts))
+    monkeypatch.setattr(resample, "SLICE_BYTES", 8)
+    got = []
+    for part, text in resample.texts_of(batch.slice(1)):
+        n_words, doc, bucket = resample.features(text, 10_000, 1)
+        got += [(int(n), bucket[doc == i].tolist()) for i, n in enumerate(n_words)]
+        assert len(part) == len(text)
+    assert got == [(len(w), [zlib.crc32(x.encode()) % 10_000 for x in w]) for w in map(words_of, texts[1:])]
+
+
 def test_draw_in_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
