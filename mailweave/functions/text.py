@@ -66,7 +66,8 @@ def html_to_text(c: Column) -> Column:
     """Strip markup with one linear-time regex pass, then replace character
     references. Applied to every chosen body, plain or HTML; a text without
     '<' and '&' is passed on untouched."""
-    return unescape(F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, HTML_STRIP, "")).otherwise(c))
+    stripped = F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, HTML_STRIP, "")).otherwise(c)
+    return F.get(F.transform(F.array(stripped), unescape), F.lit(0))     # stripped once
 
 
 def normalized(c: Column) -> Column:

@@ -64,27 +64,16 @@ def path_text(path: Column) -> Column:
                                     .otherwise(i.cast("string"))), ".")
 
 
-def _node_fields(nodes: Column) -> Column:
-    return F.transform(nodes, lambda n: F.struct(
-        n["path"].alias("chain"),
-        F.try_variant_get(n["node"], "$.mimeType", "string").alias("mime_type"),
-        F.try_variant_get(n["node"], "$.body.data", "string").alias("data"),
-        F.try_variant_get(n["node"], "$.body.attachmentId", "string").alias("attachment_id"),
-        F.try_variant_get(n["node"], "$.body.size", "bigint").alias("size"),
-        F.try_variant_get(n["node"], "$.filename", "string").alias("filename"),
-        F.try_variant_get(n["node"], "$.headers", HEADERS_T).alias("headers"),
-        F.size(_children(n["node"], "$.parts")).alias("n_children"),
-    ))
-
-
-def select_body(v: Column, nodes: Column) -> Column:
-    """Top-level ``body.data`` first; otherwise, among top-level parts
-    of a supported type in order, the first depth-first non-empty data
-    that decodes. Candidates are sorted by path, and the fold decodes each at
-    most once and none after the first success. Returns struct(text, part):
-    the top-level text, or null and the chosen part's path and text, before
-    HTML stripping."""
-    top = b64url_decode(F.try_variant_get(v, "$.payload.body.data", "string"))
+def top_text(v: Column) -> Column:
+    """The decoded top-level ``body.data``, before HTML stripping."""
+    return b64url_decode(F.try_variant_get(v, "$.payload.body.data", "string"))
+
+
+def select_part(nodes: Column) -> Column:
+    """Where no top-level text is: among top-level parts of a supported type in
+    order, the first depth-first non-empty data that decodes. Candidates are sorted by
+    path, and the fold decodes each at most once and none after the first success.
+    Returns struct(path, text): the chosen part's, before HTML stripping."""
     cands = F.array_sort(F.filter(
         F.transform(nodes, lambda n: F.struct(n["path"].alias("path"),
                                               F.try_variant_get(n["node"], "$.body.data", "string").alias("data"),
@@ -95,8 +84,7 @@ def select_body(v: Column, nodes: Column) -> Column:
     decoded = lambda c: F.try_element_at(F.filter(F.transform(
         F.array(b64url_decode(c["data"])), lambda t: F.struct(c["path"].alias("path"), t.alias("text"))),
         lambda x: F.length(x["text"]) > 0), F.lit(1))
-    first = F.aggregate(cands, none, lambda acc, c: F.coalesce(acc, decoded(c)))
-    return F.struct(top.alias("text"), F.when(top.isNull(), first).alias("part"))
+    return F.aggregate(cands, none, lambda acc, c: F.coalesce(acc, decoded(c)))
 
 
 def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value") -> DataFrame:
@@ -104,12 +92,12 @@ def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value") -> D
     row is good). Each expensive part is one column of its own projection."""
     d = raw.select(F.col(value_col), F.try_parse_json(F.col(value_col)).alias("_v"), labels.alias("_dict"))
     v, labels = F.col("_v"), F.col("_dict")
-    d = d.select("*", part_nodes(v, F.col(value_col)).alias("_nodes"),
+    d = d.select("*", part_nodes(v, F.col(value_col)).alias("_nodes"), top_text(v).alias("_top"),
                  F.coalesce(F.try_variant_get(v, "$.payload.headers", HEADERS_T),
                             F.array().cast(HEADERS_T)).alias("_headers"),
                  F.try_variant_get(v, "$.labelIds", "array<string>").alias("_ids"),
                  F.try_variant_get(v, "$.internalDate", "string").alias("_internal"))
-    d = d.select("*", select_body(v, F.col("_nodes")).alias("_body"),
+    d = d.select("*", F.when(F.col("_top").isNull(), select_part(F.col("_nodes"))).alias("_part"),
                  *[header(F.col("_headers"), k).alias(f"_{k}") for k in ("from", "to", "cc", "bcc")])
     headers, ids, internal = F.col("_headers"), F.col("_ids"), F.col("_internal")
     date_hdrs = F.filter(F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == "date"),
@@ -121,7 +109,7 @@ def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value") -> D
         F.struct(F.lit(k).alias("key"),
                  F.when(F.col(f"_{k}").isNotNull(), parse_address_list(F.col(f"_{k}"))).alias("value"))
         for k in ("to", "cc", "bcc")]), lambda e: e["value"].isNotNull()))
-    text = F.coalesce("_body.text", "_body.part.text")
+    text = F.coalesce("_top", "_part.text")
     parsed = d.select(
         F.col(value_col),
         F.try_variant_get(v, "$.id", "string").alias("message_id"),
@@ -135,8 +123,8 @@ def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value") -> D
                                 lambda x: F.element_at(labels, x))).alias("labels"),
         header(headers, "subject").alias("subject"),
         F.when(text.isNotNull(), html_to_text(text)).alias("body"),
-        F.when(F.col("_body.text").isNotNull(), F.lit("payload"))
-         .otherwise(path_text(F.col("_body.part.path"))).alias("body_path"),
+        F.when(F.col("_top").isNotNull(), F.lit("payload"))
+         .otherwise(path_text(F.col("_part.path"))).alias("body_path"),
         F.coalesce(F.try_variant_get(v, "$.sizeEstimate", "bigint"), F.lit(0).cast("bigint")).alias("size"),
         ts.alias("timestamp"),
         F.when(ids.isNull(), F.lit(False)).otherwise(~F.array_contains(ids, "UNREAD")).alias("is_read"),
@@ -173,12 +161,15 @@ def parts_table(raw: DataFrame) -> DataFrame:
     d = raw.select("value", F.try_parse_json(F.col("value")).alias("_v"))
     d = d.select("_v", part_nodes(F.col("_v"), F.col("value")).alias("_nodes"))
     d = d.select(F.try_variant_get("_v", "$.id", "string").alias("message_id"),
-                 _node_fields(F.col("_nodes")).alias("n"), F.spark_partition_id().alias("_barrier"))   # see parse_variant
+                 F.col("_nodes"), F.spark_partition_id().alias("_barrier"))   # see parse_variant
     e = (d.filter(F.col("message_id").isNotNull() & (F.col("_barrier") >= 0))
-          .select("message_id", F.explode("n").alias("p")))
-    return e.select("message_id", path_text(F.col("p.chain")).alias("path"), F.size("p.chain").alias("depth"),
-                    "p.mime_type", "p.data", "p.attachment_id", "p.size", "p.filename", "p.headers",
-                    "p.n_children")
+          .select("message_id", F.explode("_nodes").alias("p")))
+    field = lambda path, kind: F.try_variant_get("p.node", path, kind)  # noqa: E731  (of a part, and only if it is used)
+    return e.select("message_id", path_text(F.col("p.path")).alias("path"), F.size("p.path").alias("depth"),
+                    field("$.mimeType", "string").alias("mime_type"), field("$.body.data", "string").alias("data"),
+                    field("$.body.attachmentId", "string").alias("attachment_id"), field("$.body.size", "bigint").alias("size"),
+                    field("$.filename", "string").alias("filename"), field("$.headers", HEADERS_T).alias("headers"),
+                    F.size(_children(F.col("p.node"), "$.parts")).alias("n_children"))
 
 
 def attachment_parts(raw: DataFrame) -> DataFrame:

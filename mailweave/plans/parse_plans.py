@@ -72,10 +72,10 @@ def q_parse_quarantine(spark, sf):
 FROM m WHERE event_id % 100 <> 37"""))
 def q_label_names(spark, sf):
     raw = fx.raw_messages(spark, sf)
-    v = F.try_parse_json("value")
-    ids = F.try_variant_get(v, "$.labelIds", "array<string>")
-    d = raw.select(F.try_variant_get(v, "$.id", "string").alias("message_id"), ids.alias("ids"),
-                   fx.label_map(spark).alias("_dict")).filter(F.col("message_id").isNotNull())
+    v = F.col("_v")
+    d = raw.select(F.try_parse_json("value").alias("_v"), F.spark_partition_id().alias("_barrier"))   # parsed once, see P.parse_variant
+    d = d.select(F.try_variant_get(v, "$.id", "string").alias("message_id"), F.try_variant_get(v, "$.labelIds", "array<string>").alias("ids"),
+                 fx.label_map(spark).alias("_dict"), "_barrier").filter(F.col("message_id").isNotNull() & (F.col("_barrier") >= 0))
     lm = F.col("_dict")
     names = F.transform(F.filter("ids", lambda x: F.map_contains_key(lm, x)), lambda x: F.element_at(lm, x))
     return d.select("message_id", F.array_join("ids", ",").alias("label_ids"),

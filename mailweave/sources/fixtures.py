@@ -240,31 +240,30 @@ def raw_messages(spark: SparkSession, sf_dir: str, body_source: str = "documents
         _hdr("Date", rfc2822(F.col("timestamp"), offset)),
     ), lambda h: h.isNotNull())
 
-    data = b64url_encode(F.col("body"))
-    leaf = lambda mt, d: F.struct(F.lit(mt).alias("mimeType"),
-                                  F.struct(d.alias("data"), F.length(F.col("body")).alias("size")).alias("body"))
+    top_level = eid % 17 == 3
+    f = f.withColumns({"_data": b64url_encode(F.col("body")),     # encoded once, however often it is written
+                       "_html": F.when(~top_level, b64url_encode(F.concat(F.lit("<div>"), F.col("body"), F.lit("</div>"))))})
+    data, size = F.col("_data"), F.length("body")
+    # Parts are written as text, keys in order as a variant has them, and put into the message's text.
+    leaf = lambda mt, d: F.struct(F.struct(d.alias("data"), size.alias("size")).alias("body"),
+                                  F.lit(mt).alias("mimeType"))
     alt = F.struct(
-        F.lit("multipart/alternative").alias("mimeType"),
         F.struct(F.lit(0).alias("size")).alias("body"),
-        F.array(leaf("text/plain", data),
-                leaf("text/html", b64url_encode(F.concat(F.lit("<div>"), F.col("body"), F.lit("</div>"))))
-                ).alias("parts"))
+        F.lit("multipart/alternative").alias("mimeType"),
+        F.array(leaf("text/plain", data), leaf("text/html", F.col("_html"))).alias("parts"))
     attach = F.struct(
-        F.lit("application/pdf").alias("mimeType"),
+        F.struct(F.concat(F.lit("att-"), eid).alias("attachmentId"), (F.col("size") % 100000).alias("size"))
+         .alias("body"),
         F.concat(F.lit("report "), eid, F.lit(".pdf")).alias("filename"),
         F.array(_hdr("Content-Disposition", F.concat(F.lit('attachment; filename="report '), eid, F.lit('.pdf"'))),
                 _hdr("Content-ID", F.concat(F.lit("<att"), eid, F.lit(">")))).alias("headers"),
-        F.struct(F.concat(F.lit("att-"), eid).alias("attachmentId"), (F.col("size") % 100000).alias("size"))
-         .alias("body"))
-    top_level = eid % 17 == 3
-    parts = F.when(~top_level, F.filter(
-        F.array(F.to_json(alt), F.when(eid % 6 == 0, F.to_json(attach))), lambda x: x.isNotNull()))
+        F.lit("application/pdf").alias("mimeType"))
+    parts = F.concat(F.lit(',"parts":['), F.concat_ws(",", F.to_json(alt), F.when(eid % 6 == 0, F.to_json(attach))), F.lit("]}}"))
     payload = F.struct(
         F.when(top_level, F.lit("text/plain")).otherwise(F.lit("multipart/mixed")).alias("mimeType"),
         headers.alias("headers"),
-        F.when(top_level, F.struct(data.alias("data"), F.length("body").alias("size")))
+        F.when(top_level, F.struct(data.alias("data"), size.alias("size")))
          .otherwise(F.struct(F.lit(None).cast("string").alias("data"), F.lit(0).alias("size"))).alias("body"),
-        F.transform(parts, lambda p: F.parse_json(p)).alias("parts"),
     )
     doc = F.struct(
         F.col("message_id").alias("id"),
@@ -274,6 +273,8 @@ def raw_messages(spark: SparkSession, sf_dir: str, body_source: str = "documents
         F.when(eid % 29 != 0, ids).alias("labelIds"),
         payload.alias("payload"),
     )
-    js = F.to_json(doc)
-    value = F.when(eid % 100 == 37, F.substring(js, 1, 80)).otherwise(js)
+    f = f.select("event_id", F.to_json(doc).alias("_js"), F.when(F.coalesce(~top_level, F.lit(False)), parts).alias("_parts"))
+    js = F.col("_js")
+    js = F.when(F.col("_parts").isNull(), js).otherwise(F.concat(F.substr(js, F.lit(1), F.length(js) - 2), F.col("_parts")))
+    value = F.when(eid % 100 == 37, F.substring("_js", 1, 80)).otherwise(js)
     return f.select(value.alias("value"), "event_id") if keep_key else f.select(value.alias("value"))

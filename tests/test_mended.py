@@ -249,3 +249,22 @@ def test_versions_files_and_adapters(spark, tmp_path):
     assert sorted(map(tuple, top.collect())) == [("a", 2), ("b", 5)]
     many = EN.expanded(df, lambda r: [{"k": r["k"], "i": i} for i in range(r["v"] - 1)], "k string, i long")
     assert sorted(map(tuple, many.collect())) == [("a", 0), ("b", 0), ("b", 1), ("b", 2), ("b", 3)]
+
+
+# --- raw texts are made and parsed once ------------------------------------------------------
+def test_filters_hold_no_second_copy_of_the_raw_text(spark):
+    import __spark_entry__ as entry
+    for key in ("label_names", "part_walk", "body_select"):
+        plan = entry.queries()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.split("\n") if "Filter" in line and "replace(" in line], key
+
+
+def test_base64_with_white_space_and_without_padding(spark):
+    from mailweave.functions.mime import b64url_decode, b64url_encode
+    texts = ["", "a", "ab?>", "ÿþ~~ß日本" * 30]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    bare = F.rtrim(b64url_encode(F.col("t")), F.lit("="))
+    wide = F.regexp_replace(bare, "(.{3})", "$1 \n\t\r\f\x0b")
+    got = rows.select("t", b64url_decode(bare).alias("a"), b64url_decode(wide).alias("b")).collect()
+    assert all(r.t == r.a == r.b for r in got)
+    assert spark.range(1).select(b64url_decode(F.lit("!!YQ")).alias("x")).first().x is None
