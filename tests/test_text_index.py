@@ -184,3 +184,22 @@ def test_empty_archive(spark, tmp_path):
     assert IX.bm25(ix, terms).count() == 0 and IX.match_any(ix, terms).count() == 0 and ix.frequencies.count() == 0
     IX.extend(spark, ix.path, messages(spark, dict(message_id="a", body="a")), 1)
     assert [r["message_id"] for r in IX.bm25(IX.load_index(spark, ix.path), terms).collect()] == ["a"]
+
+
+# ------------------------------------------------------------------ the kernels
+def test_runs_of_parts_equal_plain_counting(monkeypatch):
+    """Words, places and nulls, whatever part of a batch a text is in."""
+    import pyarrow as pa
+    from mailweave.functions import runs as R
+    texts = ["b a b", None, "", " ", " 日本 é a é ", "x" * 50, "a"]
+    batch = pa.record_batch({"k": pa.array(range(len(texts) + 1)), "t": pa.array(["cut off", *texts])}).slice(1)
+    monkeypatch.setattr(R, "SLICE_BYTES", 10)
+    got = []
+    for part, text in R.text_parts(batch, 1):
+        dl, runs = R.runs_of(text)
+        assert len(part) == len(dl) == len(runs)
+        got += zip(part.column(0).to_pylist(), dl.to_pylist(), runs.to_pylist(), strict=True)
+    for (k, n, found), (i, t) in zip(got, enumerate(texts), strict=True):
+        words = (t or "").split()
+        assert (k, n) == (i + 1, len(words))
+        assert found == ([{"term": w, "positions": [p for p, x in enumerate(words) if x == w]} for w in sorted(set(words))] or None)
