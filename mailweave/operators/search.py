@@ -120,9 +120,15 @@ def matched(df: DataFrame, q: SearchQuery) -> DataFrame:
 def ordering(df: DataFrame, q: SearchQuery) -> list[Column]:
     """H1/H2: chosen column (validated) or newest first; ties by id."""
     name = q.sort_field or "timestamp"
-    c = _column(df, name)
-    c = c.asc() if (q.sort_order or "DESC").upper() == "ASC" else c.desc()
-    return [c, F.col("message_id").asc()]
+    return _sorted(_column(df, name), F.col("message_id"), _ascending(q))
+
+
+def _ascending(q: SearchQuery) -> bool:
+    return (q.sort_order or "DESC").upper() == "ASC"
+
+
+def _sorted(key: Column, ident: Column, ascending: bool) -> list[Column]:
+    return [key.asc() if ascending else key.desc(), ident.asc()]
 
 
 def page(df: DataFrame, q: SearchQuery) -> DataFrame:
@@ -130,22 +136,38 @@ def page(df: DataFrame, q: SearchQuery) -> DataFrame:
     order = ordering(df, q)
     if q.limit:
         return df.orderBy(*order).offset(int(q.offset or 0)).limit(int(q.limit))
-    return skipped(df, order, int(q.offset)).orderBy(*order) if q.offset else df.orderBy(*order)
-
-
-def skipped(df: DataFrame, order: list[Column], offset: int) -> DataFrame:
-    """All rows but the first ``offset`` in an order, without gathering any: the
-    rows are landed in ranges of the order, the ranges are counted, those before
-    the offset are left out, and only the one that holds it numbers its rows."""
-    ranges, _ = landed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "page")
+    return skipped(df, q).orderBy(*order) if q.offset else df.orderBy(*order)
+
+
+def skipped(df: DataFrame, q: SearchQuery) -> DataFrame:
+    """All rows but the first ``offset`` in the query's order, without gathering any.
+    Only the two sort keys are landed, in ranges of the order; the ranges are counted and
+    the one that holds the offset numbers its keys. The key found there cuts the rows
+    where they lie: later ones stay, and of rows with that very key the right number."""
+    offset, asc = int(q.offset), _ascending(q)
+    key, ident = _column(df, q.sort_field or "timestamp"), F.col("message_id")
+    order = _sorted(F.col("_key"), F.col("_id"), asc)
+    keys = df.select(key.alias("_key"), ident.alias("_id"))
+    ranges, _ = landed(keys.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "page")
     upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = ranges.groupBy("_range").count().withColumn("_upto", F.sum("count").over(upto))   # a row per range
-    counts = counts.select("_range", (F.col("_upto") - F.col("count")).alias("_before"), "_upto").filter(F.col("_upto") > offset)
-    kept = ranges.join(F.broadcast(counts), "_range")
-    whole = kept.filter(F.col("_before") >= offset)
-    part = kept.filter(F.col("_before") < offset).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")).filter(F.col("_n") > offset)
-    return whole.select(*df.columns).unionByName(part.select(*df.columns))
+    counts = counts.select("_range", (F.col("_upto") - F.col("count")).alias("_before"), "_upto")
+    inside = ranges.join(F.broadcast(counts.filter((F.col("_before") <= offset) & (F.col("_upto") > offset))), "_range")
+    at = Window.partitionBy("_range").orderBy(*order)
+    first = (inside.select("_key", "_id", "_before", F.row_number().over(at).alias("_n"), F.rank().over(at).alias("_rank"))
+             .filter(F.col("_n") + F.col("_before") == offset + 1)
+             .select("_key", "_id", (F.col("_n") - F.col("_rank")).alias("_equal")))
+    first, _ = landed(first, "page")                                                           # one row, or none past the end
+    cut = df.join(F.broadcast(first))
+    same_key = key.eqNullSafe(F.col("_key"))
+    past = (key > F.col("_key")) | (key.isNotNull() & F.col("_key").isNull()) if asc else (key < F.col("_key")) | (key.isNull() & F.col("_key").isNotNull())
+    past = F.coalesce(past, F.lit(False)) | (same_key & F.coalesce((ident > F.col("_id")) | (ident.isNotNull() & F.col("_id").isNull()), F.lit(False)))
+    equal = same_key & ident.eqNullSafe(F.col("_id"))
+    found = first.select("_equal").first()
+    if found is None or found["_equal"] == 0:        # no row before the cut has the key of the cut
+        return cut.filter(past | equal).select(*df.columns)
+    tied = cut.filter(equal).withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_id").orderBy(F.lit(0))))
+    return cut.filter(past).select(*df.columns).unionByName(tied.filter(F.col("_n") > F.col("_equal")).select(*df.columns))
 
 
 def search(df: DataFrame, q: SearchQuery) -> tuple[DataFrame, DataFrame]:
