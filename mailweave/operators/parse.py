@@ -87,10 +87,11 @@ def select_part(nodes: Column) -> Column:
     return F.aggregate(cands, none, lambda acc, c: F.coalesce(acc, decoded(c)))
 
 
-def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value") -> DataFrame:
+def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """The parse step: adds the typed columns and ``_reason`` (null when the
-    row is good). Each expensive part is one column of its own projection."""
-    d = raw.select(F.col(value_col), F.try_parse_json(F.col(value_col)).alias("_v"), labels.alias("_dict"))
+    row is good); columns of ``raw`` to ``keep`` come with them. Each expensive part is
+    one column of its own projection."""
+    d = raw.select(F.col(value_col), *keep, F.try_parse_json(F.col(value_col)).alias("_v"), labels.alias("_dict"))
     v, labels = F.col("_v"), F.col("_dict")
     d = d.select("*", part_nodes(v, F.col(value_col)).alias("_nodes"), top_text(v).alias("_top"),
                  F.coalesce(F.try_variant_get(v, "$.payload.headers", HEADERS_T),
@@ -111,7 +112,7 @@ def parse_variant(raw: DataFrame, labels: Column, value_col: str = "value") -> D
         for k in ("to", "cc", "bcc")]), lambda e: e["value"].isNotNull()))
     text = F.coalesce("_top", "_part.text")
     parsed = d.select(
-        F.col(value_col),
+        F.col(value_col), *keep,
         F.try_variant_get(v, "$.id", "string").alias("message_id"),
         F.try_variant_get(v, "$.threadId", "string").alias("thread_id"),
         F.when(F.try_variant_get(v, "$.payload", "variant").isNull(), F.lit(None))
