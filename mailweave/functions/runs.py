@@ -1,5 +1,5 @@
-"""Arrow kernels that cut normalized texts into words and their positions, used inside
-Spark tasks on a slice of a batch at a time."""
+"""Arrow and numpy kernels that cut normalized texts into words and their positions, or into
+runs of three characters, used inside Spark tasks on a slice of a batch at a time."""
 
 from __future__ import annotations
 
@@ -51,3 +51,34 @@ def runs_of(text: pa.Array) -> tuple[pa.Array, pa.Array]:
     runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([terms, positions], names=["term", "positions"]),
                                     mask=pa.array(dl == 0))
     return pa.array(dl, pa.int32()), runs
+
+
+def trigrams_of(text: pa.LargeStringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(runs of three characters, where each one's texts start and the last one's end, numbers
+    of the texts that hold it): runs ascend by code points, each one's texts ascend, once each.
+    The texts' offsets start at 0 (``text_parts``)."""
+    _, off, data = text.buffers()
+    off = np.frombuffer(off, np.int64, len(text) + 1)
+    data = memoryview(data)[:off[-1]] if data is not None else b""
+    chars = np.frombuffer(str(data, "utf-8").encode("utf-32-le"), np.uint32)
+    if len(chars) < len(data):       # from bytes to the characters that begin there
+        off = np.append(0, np.cumsum(np.frombuffer(data, np.int8) >= -64))[off]
+    row = np.repeat(np.arange(len(text), dtype=np.int32), np.diff(off))
+    at = np.flatnonzero(row[:-2] == row[2:])              # a run lies in one text
+    seen = np.zeros(0x110000, bool)
+    seen[chars] = True
+    alphabet, code = np.flatnonzero(seen), (np.cumsum(seen) - 1)[chars]
+    n, pairs = len(alphabet), None
+    pair = code[at] * n + code[at + 1]
+    if n ** 3 * len(text) >= 1 << 63:
+        pairs, pair = np.unique(pair, return_inverse=True)
+    key = (pair * n + code[at + 2]) * len(text) + row[at]
+    if n ** 3 * len(text) < 1 << 32:
+        key = key.astype(np.uint32)  # sorts in half the time
+    key.sort()
+    gram, place = np.divmod(key[np.flatnonzero(np.diff(key, prepend=key[:1] + 1))].astype(np.int64), max(1, len(text)))
+    starts = np.flatnonzero(np.diff(gram, prepend=-1))
+    pair, third = np.divmod(gram[starts], max(1, n))
+    first, second = np.divmod(pair if pairs is None else pairs[pair], max(1, n))
+    runs = alphabet[np.stack([first, second, third], 1)].astype(np.uint32).tobytes().decode("utf-32-le")
+    return [runs[i:i + 3] for i in range(0, len(runs), 3)], np.append(starts, len(place)), place

@@ -1,10 +1,13 @@
 """Substring search over a trigram index.
 
 The index holds, for each field, which messages contain which run of three characters
-of its lower-cased text: ``grams`` (gram, field, message_id), partitioned by ``bucket``
-(hash of the gram) and dealt by ranges of (bucket, gram, field, message), so that a
-frequent gram spreads over tasks; ``counts`` (gram, field, n) says how frequent each is.
-A message's runs are made inside its row.
+of its lower-cased text. Messages are taken in blocks, slices of a batch of one field's
+texts; a block's runs are made, sorted and put together where its rows lie, by a numpy
+kernel, so that building moves no row between tasks. ``grams`` has a row per (gram, field,
+block) with ``n`` and ``places``, the numbers of the block's messages that hold it, by
+``bucket`` (hash of the gram) and sorted; a frequent gram lies in as many rows as there are
+blocks. In bucket -1 lie each block's message ids, in the order of their numbers. ``counts``
+(gram, field, n) says how frequent each gram is.
 
 A needle of three characters or more is looked up by its ``PROBES`` least frequent
 runs; messages that hold all of those are candidates, and ``contains`` on the field
@@ -13,27 +16,53 @@ itself decides, so results are those of a scan. Shorter needles are scanned for.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.runs import text_parts, trigrams_of
+
 FIELDS = {"subject": F.col, "body": F.col, "sender_email": lambda _: F.col("sender.email"), "sender_name": lambda _: F.col("sender.name")}
 GRAM_BUCKETS = 64   # default of ``buckets``; raise it with the archive, so that a bucket stays a few files
 #: Runs of a needle that are looked up, the least frequent ones; its other runs are left to the check of the text.
 PROBES = 4
+#: Where ``grams`` keeps the blocks' message ids.
+IDS = -1
 
 
 def _column(field: str) -> Column:
     return FIELDS[field](field)
 
 
-def grams_of(text: Column) -> Column:
-    """The distinct runs of three characters of a lower-cased text."""
-    chars = F.split(F.lower(text), "")
-    runs = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat(
-        F.element_at(c, i), F.element_at(c, i + 1), F.element_at(c, i + 2)))
-    once = F.get(F.transform(F.array(chars), runs), F.lit(0))     # split once, not once a run
-    return F.when(F.length(F.lower(text)) >= 3, F.array_distinct(once))
+BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("field", pa.string()), ("gram", pa.string()), ("n", pa.int32()),
+                          ("places", pa.list_(pa.int16())), ("message_ids", pa.list_(pa.string()))])
+#: Messages of a block at most: their numbers are 16-bit integers.
+BLOCK_ROWS = 32_000
+
+
+def _blocks(fields: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of ids and the fields' lower-cased texts to the rows of ``grams``."""
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK_ROWS):
+                for k, field in enumerate(fields, 1):
+                    for part, text in text_parts(batch.slice(a, BLOCK_ROWS), k):
+                        grams, ends, places = trigrams_of(text)
+                        if not grams:
+                            continue
+                        size = len(grams)
+                        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int16()))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(size, block)), pa.repeat(field, size), pa.array(grams, pa.string()),
+                             pa.array(np.diff(ends), pa.int32()), lists, pa.nulls(size, BLOCK_SCHEMA.field("message_ids").type)], schema=BLOCK_SCHEMA)
+                        yield pa.RecordBatch.from_pylist([{"block": block, "field": field, "message_ids": part.column(0).to_pylist()}], BLOCK_SCHEMA)
+                        block += 1
+    return blocks
 
 
 def bucket_of(gram: Column | str, buckets: int) -> Column:
@@ -50,16 +79,16 @@ class Trigrams:
 
 def store_trigrams(messages: DataFrame, path: str, fields=("subject", "body"), buckets: int = GRAM_BUCKETS) -> Trigrams:
     """Build and write the index of some fields."""
-    rows = messages.select("message_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), grams_of(_column(f)).alias("g")) for f in fields])))
-    rows = rows.select("message_id", "field", F.explode("g").alias("gram")).withColumn("bucket", bucket_of("gram", buckets))
-    order = ["bucket", "gram", "field", "message_id"]
-    (rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/grams"))
-    n = _read(messages.sparkSession, path, "grams").groupBy("bucket", "gram", "field").agg(F.count(F.lit(1)).alias("n"))
+    texts = messages.select("message_id", *[F.lower(_column(f)).alias(f) for f in fields])
+    rows = texts.mapInArrow(_blocks(tuple(fields)), "block long, field string, gram string, n int, places array<smallint>, message_ids array<string>")
+    rows = rows.withColumn("bucket", F.when(F.col("gram").isNull(), F.lit(IDS)).otherwise(bucket_of("gram", buckets)))
+    (rows.sortWithinPartitions("bucket", "gram", "field", "block").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/grams"))
+    n = _read(messages.sparkSession, path, "grams").filter(F.col("bucket") != IDS).groupBy("bucket", "gram", "field").agg(F.sum("n").alias("n"))
     n.repartitionByRange("gram").sortWithinPartitions("gram", "field").write.mode("errorifexists").parquet(f"{path}/counts")
     return load_trigrams(messages.sparkSession, path, buckets)
 
 
-SCHEMAS = {"grams": "gram string, field string, message_id string, bucket int", "counts": "bucket int, gram string, field string, n long"}
+SCHEMAS = {"grams": "block long, field string, gram string, n int, places array<smallint>, message_ids array<string>, bucket int", "counts": "bucket int, gram string, field string, n long"}
 
 
 def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -80,9 +109,11 @@ def candidates(index: Trigrams, needle: str, field: str) -> DataFrame | None:
     known = index.counts.filter((F.col("field") == field) & F.col("gram").isin(runs)).select("gram", "bucket", "n").collect()   # a row per run
     rare = sorted(known, key=lambda r: (r["n"], r["gram"]))[:PROBES]
     if len(known) < len(runs):      # a run that no message has
-        return index.grams.filter(F.lit(False)).select("message_id")
+        return index.grams.filter(F.lit(False)).select(F.explode("message_ids").alias("message_id"))
     hit = index.grams.filter(F.col("bucket").isin([r["bucket"] for r in rare]) & F.col("gram").isin([r["gram"] for r in rare]) & (F.col("field") == field))
-    return hit.groupBy("message_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(rare)).select("message_id")
+    ids = index.grams.filter((F.col("bucket") == IDS) & (F.col("field") == field)).select("block", "message_ids")
+    held = hit.select("block", "places").join(ids, "block").select(F.explode(F.transform("places", lambda i: F.get("message_ids", i))).alias("message_id"))
+    return held.groupBy("message_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(rare)).select("message_id")
 
 
 def containing(messages: DataFrame, index: Trigrams, needle: str, fields=("subject", "body")) -> DataFrame:
