@@ -65,7 +65,7 @@ def trigrams_of(text: pa.LargeStringArray) -> tuple[list[str], np.ndarray, np.nd
         off = np.append(0, np.cumsum(np.frombuffer(data, np.int8) >= -64))[off]
     row = np.repeat(np.arange(len(text), dtype=np.int32), np.diff(off))
     at = np.flatnonzero(row[:-2] == row[2:])              # a run lies in one text
-    seen = np.zeros(0x110000, bool)
+    seen = np.zeros(int(chars.max(initial=0)) + 1, bool)
     seen[chars] = True
     alphabet, code = np.flatnonzero(seen), (np.cumsum(seen) - 1)[chars]
     n, pairs = len(alphabet), None

@@ -60,7 +60,9 @@ def _blocks(fields: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Ite
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(size, block)), pa.repeat(field, size), pa.array(grams, pa.string()),
                              pa.array(np.diff(ends), pa.int32()), lists, pa.nulls(size, BLOCK_SCHEMA.field("message_ids").type)], schema=BLOCK_SCHEMA)
-                        yield pa.RecordBatch.from_pylist([{"block": block, "field": field, "message_ids": part.column(0).to_pylist()}], BLOCK_SCHEMA)
+                        ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0).cast(pa.string()))
+                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([field]), *[pa.nulls(1, BLOCK_SCHEMA.field(c).type) for c in ("gram", "n", "places")], ids],
+                                                         schema=BLOCK_SCHEMA)
                         block += 1
     return blocks
 
