@@ -12,8 +12,12 @@ share one are compared by Hamming distance, and what is within the bound is
 decided on the shingle sets themselves, which are read once for the nodes in question.
 
 Bands grow by the factor ``GROWTH``; a set too large for no partner in the next
-band is in that band as well. Chunks without shingles are no keys as long as the
-others alone keep the guarantee (C has a few more than d + 1 for that).
+band is in that band as well. Chunks without shingles are no keys: a set with more
+than d filled ones shares one of these with each partner (C has a few more than d + 1,
+so that most sets do). The other sets meet each other by single shingles besides: of n
+shingles at most n (1 - t) are missing in a partner, so the least n (1 - t) + 1 by hash
+hold the least common one of both (prefix filter). An empty chunk as a key would put all
+sets that lack shingles there into one family, whose pairs grow with the square of its size.
 
 Equal sets are one node (a 64-bit set hash), so copies never form pairs. Before
 anything is shuffled back, a fixed-size bitmap of shared keys drops the others.
@@ -71,8 +75,8 @@ def nodes_of(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def sketches(doc, h, n, percent: int):
     """For each band that a document is in: (rows, band of the row, word offsets,
-    words, key words or 0). A word holds the XORed hashes above and the parity
-    bits below; a key is 0 where no key is due."""
+    words, (row's number, key) of every key). A word holds the XORed hashes above and the
+    parity bits below."""
     lo, diff, chunks = bands(percent, int(n.max(initial=1)) * 2 + 2)
     own = np.searchsorted(lo, n, side="right") - 1
     start = np.append(0, np.cumsum(n))
@@ -94,11 +98,16 @@ def sketches(doc, h, n, percent: int):
         filled = np.zeros(base[-1], bool)
         filled[at[first]] = True
         owner = np.repeat(np.arange(len(rows)), c)
-        enough = np.bincount(owner, filled) >= diff[band[rows]] + 1
-        due = filled | ~enough[owner]
         place = np.arange(base[-1]) - base[owner] + (band[rows][owner] << 40) + 1
-        key = np.where(due, vec.mix(words ^ vec.mix(place.astype(np.uint64))) | np.uint64(1 << 63), np.uint64(0))
-        yield rows, band[rows], base, words, key
+        key = vec.mix(words ^ vec.mix(place.astype(np.uint64)))[filled]
+        few = np.flatnonzero(np.bincount(owner, filled) <= diff[band[rows]])
+        p = m[few] * (100 - percent) // 100 + 1
+        least = np.repeat(start[rows[few]] - np.append(0, np.cumsum(p))[:-1], p) + np.arange(p.sum())
+        place = (np.repeat(band[rows[few]], p) << 40) + (1 << 39)
+        key = np.append(key, vec.mix(h[least] ^ vec.mix(place.astype(np.uint64)))) | np.uint64(1 << 63)
+        owner = np.append(owner[filled], np.repeat(few, p))
+        order = np.argsort(owner, kind="stable")
+        yield rows, band[rows], base, words, (owner[order], key[order])
 
 
 def _sets(batch, k, node_of=None):
@@ -115,8 +124,8 @@ def keys_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for _, doc, h, n, _ in _sets(b, k):
-                for *_, key in sketches(doc, h, n, percent):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[key != 0].view(np.int64))], names=["key"])
+                for *_, (_, key) in sketches(doc, h, n, percent):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
     return docs.select("text").mapInArrow(run, "key long")
 
 
@@ -134,12 +143,14 @@ def rows_of(docs: DataFrame, k: int, percent: int, shared: bytes) -> DataFrame:
         for b in batches:
             for part, doc, h, n, node in _sets(b, k):
                 got: list[list] = [[] for _ in range(len(part))]
-                for rows, band, base, words, key in sketches(doc, h, n, percent):
-                    hit = (key != 0) & families.passes(words_seen, key)
-                    for i in np.unique(np.searchsorted(base, np.flatnonzero(hit), side="right") - 1):
-                        own = slice(base[i], base[i + 1])
-                        got[rows[i]].append({"band": int(band[i]), "payload": words[own].astype(np.uint32).tobytes(),
-                                             "keys": key[own][hit[own]].view(np.int64)})
+                for rows, band, base, words, (owner, key) in sketches(doc, h, n, percent):
+                    hit = families.passes(words_seen, key)
+                    owner, key = owner[hit], key[hit]
+                    cut = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+                    for a, e in zip(cut[:-1], cut[1:], strict=True):
+                        i = owner[a]
+                        got[rows[i]].append({"band": int(band[i]), "payload": words[base[i]:base[i + 1]].astype(np.uint32).tobytes(),
+                                             "keys": key[a:e].view(np.int64)})
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(n), pa.array(node), pa.array(got, kind)],
                     names=["doc_id", "tie", "n_shingles", "node", "sketches"])
